@@ -5,12 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import leaks, packing, pieces
+from marginalia.llm import leaks, nearcopies, packing, pieces
 from marginalia.session import table
 
 CAPACITY, LIMIT, OVERLAP = 2048, 512, 64
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return nearcopies.NearCopies(table(spark, d, "file_sections")).pairs()
+
+
+def p2_classes(spark: SparkSession, d: str) -> DataFrame:
+    return nearcopies.NearCopies(table(spark, d, "file_sections")).classes().withColumnRenamed("id", "section_id")
+
+
 def p8_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"), CAPACITY)
 
@@ -39,12 +47,18 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found, "p2_classes": p2_classes,
     "p8_packed": p8_packed, "p8_fill": p8_fill,
     "p9_found": p9_found, "p9_leaks": p9_leaks, "p9_clean": p9_clean,
     "p10_pieces": p10_pieces,
 }
 
 SQL = {
+    "p2_found": r"""
+WITH s AS (SELECT DISTINCT id, regexp_extract_all(lower(content_full), '[\p{L}\p{Nd}]+') AS w FROM file_sections WHERE content_full IS NOT NULL AND id IS NOT NULL),
+e AS (SELECT id, n, t, row_number() OVER (PARTITION BY id, t) AS k FROM (SELECT id, len(w) AS n, unnest(w) AS t FROM s WHERE len(w) >= 40)),
+c AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS common, max(greatest(a.n, b.n)) AS longer FROM e a JOIN e b ON a.t = b.t AND a.k = b.k AND a.id < b.id GROUP BY 1, 2)
+SELECT id_a, id_b FROM c WHERE common >= 0.8 * longer""",
     "p9_found": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+') AS w FROM documents WHERE text IS NOT NULL),
 dg AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d)),
