@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import leaks, nearcopies, packing, pieces
+from marginalia.llm import distinctive, leaks, nearcopies, packing, pieces, ranking
 from marginalia.session import table
 
 CAPACITY, LIMIT, OVERLAP = 2048, 512, 64
@@ -19,6 +19,41 @@ def p2_classes(spark: SparkSession, d: str) -> DataFrame:
     return nearcopies.NearCopies(table(spark, d, "file_sections")).classes().withColumnRenamed("id", "section_id")
 
 
+#: Sources of search results, and whether their smaller scores are better.
+SOURCES = {"chroma": False, "fts5": True, "tfidf": False}
+
+
+def _ranked(spark: SparkSession, d: str, winners: bool) -> DataFrame:
+    items, scores = ranking.combine(table(spark, d, "search_results"), SOURCES)
+    return ranking.ranking(items, "search_id", "section_id", scores, winners)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _ranked(spark, d, True).where("unbeaten").select(F.col("list").alias("search_id"), F.col("item").alias("section_id"))
+
+
+def p4_ranking(spark: SparkSession, d: str) -> DataFrame:
+    return _ranked(spark, d, False).select(F.col("list").alias("search_id"), F.col("item").alias("section_id"), F.round("stationary", 9).alias("stationary"), "place")
+
+
+def p4_rating(spark: SparkSession, d: str) -> DataFrame:
+    """Per grade: judged sections and the mean of their place divided by the length of their list."""
+    ranked = p4_ranking(spark, d)
+    sizes = ranked.groupBy("search_id").agg(F.count("*").alias("n"))
+    judged = table(spark, d, "search_judgements").select("search_id", "section_id", "grade").distinct()
+    both = ranked.join(sizes, "search_id").join(judged, ["search_id", "section_id"])
+    return both.groupBy("grade").agg(F.count("*").alias("sections"), F.avg(F.col("place") / F.col("n")).alias("mean_place"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return distinctive.rare_keywords(table(spark, d, "file_sections")).select(F.col("id").alias("section_id"), "term")
+
+
+def p5_weights(spark: SparkSession, d: str) -> DataFrame:
+    found = distinctive.distinctive_terms(table(spark, d, "file_sections"))
+    return found.select(F.col("id").alias("section_id"), "term", "tf", "records", F.round("weight", 6).alias("weight"))
+
+
 def p8_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"), CAPACITY)
 
@@ -48,12 +83,34 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found, "p2_classes": p2_classes,
+    "p4_found": p4_found, "p4_ranking": p4_ranking, "p4_rating": p4_rating,
+    "p5_found": p5_found, "p5_weights": p5_weights,
     "p8_packed": p8_packed, "p8_fill": p8_fill,
     "p9_found": p9_found, "p9_leaks": p9_leaks, "p9_clean": p9_clean,
     "p10_pieces": p10_pieces,
 }
 
+_P5 = r"""
+s AS (SELECT DISTINCT id, lower(content_full) AS text, CASE WHEN trim(keywords) = '' THEN NULL WHEN ltrim(keywords) LIKE '[%' THEN list_transform(CAST(try_cast(keywords AS JSON) AS VARCHAR[]), lambda x: trim(lower(x)))
+  ELSE list_filter(list_transform(string_split(keywords, ','), lambda x: trim(lower(x))), lambda x: x <> '') END AS keys FROM file_sections WHERE id IS NOT NULL),
+x AS (SELECT id, t, count(*) AS n FROM (SELECT id, unnest(regexp_extract_all(text, '\p{L}+')) AS t FROM s) GROUP BY 1, 2),
+k AS (SELECT DISTINCT id, unnest(keys) AS t FROM s),
+y AS (SELECT id, t, count(*) AS n FROM (SELECT id, unnest(regexp_extract_all(array_to_string(keys, ' '), '\p{L}+')) AS t FROM s) GROUP BY 1, 2),
+c AS (SELECT id, t AS term, coalesce(x.n, 0) AS in_text, coalesce(x.n, 0) + coalesce(y.n, 0) AS tf FROM x FULL JOIN y USING (id, t)),
+g AS (SELECT term, count(*) AS records, count(*) FILTER (in_text > 0) AS text_records, sum(tf) AS total, sum(tf * ln(tf)) AS logs FROM c GROUP BY 1),
+m AS (SELECT count(DISTINCT id) AS n FROM c)"""
+
 SQL = {
+    "p4_found": r"""
+WITH i AS (SELECT search_id, section_id, coalesce(max(score) FILTER (source = 'chroma'), '-infinity') AS a, coalesce(max(-score) FILTER (source = 'fts5'), '-infinity') AS b,
+  coalesce(max(score) FILTER (source = 'tfidf'), '-infinity') AS c, coalesce(max(importance_score), '-infinity') AS d, coalesce(max(rerank_score), '-infinity') AS e
+  FROM search_results WHERE search_id IS NOT NULL AND section_id IS NOT NULL GROUP BY 1, 2)
+SELECT search_id, section_id FROM i EXCEPT
+SELECT x.search_id, x.section_id FROM i x JOIN i y ON x.search_id = y.search_id AND x.section_id <> y.section_id
+WHERE (x.a > y.a)::INT - (x.a < y.a)::INT + (x.b > y.b)::INT - (x.b < y.b)::INT + (x.c > y.c)::INT - (x.c < y.c)::INT
+  + (x.d > y.d)::INT - (x.d < y.d)::INT + (x.e > y.e)::INT - (x.e < y.e)::INT <= 0""",
+    "p5_found": f"WITH {_P5} SELECT c.id AS section_id, term FROM c JOIN g USING (term) JOIN k ON k.id = c.id AND k.t = c.term WHERE in_text >= 3 AND text_records BETWEEN 2 AND 5",
+    "p5_weights": f"WITH {_P5} SELECT c.id AS section_id, term, CAST(tf AS INT) AS tf, records, round(ln(1 + tf) * greatest(1 - (ln(total) - logs / total) / ln(n), 0), 6) AS weight FROM c JOIN g USING (term), m",
     "p2_found": r"""
 WITH s AS (SELECT DISTINCT id, regexp_extract_all(lower(content_full), '[\p{L}\p{Nd}]+') AS w FROM file_sections WHERE content_full IS NOT NULL AND id IS NOT NULL),
 e AS (SELECT id, n, t, row_number() OVER (PARTITION BY id, t) AS k FROM (SELECT id, len(w) AS n, unnest(w) AS t FROM s WHERE len(w) >= 40)),
