@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import distinctive, leaks, nearcopies, packing, pieces, ranking
+from marginalia.llm import distinctive, leaks, nearcopies, neighbours, packing, pieces, ranking
 from marginalia.session import table
 
 CAPACITY, LIMIT, OVERLAP = 2048, 512, 64
@@ -54,6 +54,23 @@ def p5_weights(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("id").alias("section_id"), "term", "tf", "records", F.round("weight", 6).alias("weight"))
 
 
+def _vectors(spark: SparkSession, d: str) -> neighbours.VectorIndex:
+    done = table(spark, d, "embedding_jobs").where(F.lower(F.trim("status")) == "completed")
+    return neighbours.VectorIndex(done.select(F.col("job_id").alias("vec_id"), F.col("section_id").alias("key"), F.col("processed_at").alias("at"), "embedding"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.similar_pairs(_vectors(spark, d)).select(F.col("a").alias("section_a"), F.col("b").alias("section_b"))
+
+
+def p7_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The five most similar sections of each section whose job_id is divisible by 20, at any similarity."""
+    index = _vectors(spark, d)
+    asked = index.members.where("rep % 20 = 0").select(F.col("rep").alias("vec_id")).distinct()
+    near = index.nearest(5, -1.0, probes=max(1, round(0.6 * index.lists)), asked=asked)
+    return near.select(F.col("key").alias("section_id"), F.col("neighbour").alias("similar_id"), "similarity", "place")
+
+
 def p8_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"), CAPACITY)
 
@@ -85,6 +102,7 @@ QUERIES = {
     "p2_found": p2_found, "p2_classes": p2_classes,
     "p4_found": p4_found, "p4_ranking": p4_ranking, "p4_rating": p4_rating,
     "p5_found": p5_found, "p5_weights": p5_weights,
+    "p7_found": p7_found, "p7_topk": p7_topk,
     "p8_packed": p8_packed, "p8_fill": p8_fill,
     "p9_found": p9_found, "p9_leaks": p9_leaks, "p9_clean": p9_clean,
     "p10_pieces": p10_pieces,
@@ -116,6 +134,12 @@ WITH s AS (SELECT DISTINCT id, regexp_extract_all(lower(content_full), '[\p{L}\p
 e AS (SELECT id, n, t, row_number() OVER (PARTITION BY id, t) AS k FROM (SELECT id, len(w) AS n, unnest(w) AS t FROM s WHERE len(w) >= 40)),
 c AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS common, max(greatest(a.n, b.n)) AS longer FROM e a JOIN e b ON a.t = b.t AND a.k = b.k AND a.id < b.id GROUP BY 1, 2)
 SELECT id_a, id_b FROM c WHERE common >= 0.8 * longer""",
+    "p7_found": r"""
+WITH j AS (SELECT section_id, job_id, processed_at, CAST(embedding AS DOUBLE[]) AS v FROM embedding_jobs WHERE lower(trim(status)) = 'completed' AND len(embedding) = 128 AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0),
+n AS (SELECT section_id, v FROM (SELECT *, row_number() OVER (PARTITION BY section_id ORDER BY processed_at DESC NULLS LAST, job_id DESC) AS r FROM j) WHERE r = 1),
+p AS (SELECT a.section_id AS a, b.section_id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS s FROM n a JOIN n b ON a.section_id <> b.section_id),
+t AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM p WHERE s >= 0.8)
+SELECT DISTINCT least(a, b) AS section_a, greatest(a, b) AS section_b FROM t WHERE r <= 5""",
     "p9_found": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+') AS w FROM documents WHERE text IS NOT NULL),
 dg AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d)),
