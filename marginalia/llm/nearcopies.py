@@ -111,7 +111,7 @@ def _key(hashes: np.ndarray) -> tuple[int, int]:
 
 def _band_rows(least: int):
     """Rows (bucket, key) of each text. A bucket's upper 40 bits are band and band value, the lower 24 one bit each of other registers."""
-    power = (np.arange(ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)) * _GOLD
+    power = mixed((np.arange(ROWS, dtype=np.uint64) + np.uint64(1)) * _GOLD) | np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = _elements("bands")
