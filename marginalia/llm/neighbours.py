@@ -248,6 +248,7 @@ class VectorIndex:
         dim, all_ask = self.dim, asked is None
 
         def search(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.drop_duplicates(["vec_id", "home"])  # repeated rows
             home, asks = pdf["home"].to_numpy(bool), pdf["asks"].to_numpy(bool)
             v = np.frombuffer(b"".join(pdf["vector"]), np.float32).reshape(-1, dim)
             ids = pdf["vec_id"].to_numpy(np.int64)
