@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import distinctive, leaks, nearcopies, neighbours, packing, pieces, ranking
+from marginalia.llm import distinctive, leaks, markup, nearcopies, neighbours, packing, pieces, ranking
 from marginalia.session import table
 
 CAPACITY, LIMIT, OVERLAP = 2048, 512, 64
@@ -54,6 +54,16 @@ def p5_weights(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("id").alias("section_id"), "term", "tf", "records", F.round("weight", 6).alias("weight"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    found = markup.rendered(table(spark, d, "file_sections"))
+    return found.select(F.col("id").alias("section_id"), F.explode("kinds").alias("markup")).distinct()
+
+
+def p6_clean(spark: SparkSession, d: str) -> DataFrame:
+    found = markup.rendered(table(spark, d, "file_sections").select("id", "content_full").distinct())
+    return found.select(F.col("id").alias("section_id"), "text")
+
+
 def _vectors(spark: SparkSession, d: str) -> neighbours.VectorIndex:
     done = table(spark, d, "embedding_jobs").where(F.lower(F.trim("status")) == "completed")
     return neighbours.VectorIndex(done.select(F.col("job_id").alias("vec_id"), F.col("section_id").alias("key"), F.col("processed_at").alias("at"), "embedding"))
@@ -102,6 +112,7 @@ QUERIES = {
     "p2_found": p2_found, "p2_classes": p2_classes,
     "p4_found": p4_found, "p4_ranking": p4_ranking, "p4_rating": p4_rating,
     "p5_found": p5_found, "p5_weights": p5_weights,
+    "p6_found": p6_found, "p6_clean": p6_clean,
     "p7_found": p7_found, "p7_topk": p7_topk,
     "p8_packed": p8_packed, "p8_fill": p8_fill,
     "p9_found": p9_found, "p9_leaks": p9_leaks, "p9_clean": p9_clean,
