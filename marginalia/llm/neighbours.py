@@ -24,8 +24,9 @@ BLOCK = 8192
 #: Dimensions looked at in one step, and the tests' strictness (Gao and Long, ADSampling): a candidate is given up if its
 #: partial distance is improbable, at so many deviations, for a vector that is near enough.
 STEP, STRICT = 32, 3.0
-#: A list is probed if a neighbour just similar enough would fall into it, at so many deviations.
-PROBE = 3.0
+#: A list is probed if a neighbour just similar enough would fall into it, at so many deviations. A pair is found from
+#: either side, so both must fail for it to be missed.
+PROBE = 1.25
 #: Keys of outdated vectors and copies that are broadcast at most; beyond, they are removed by a shuffle.
 BROADCAST_KEYS = 4_000_000
 
