@@ -36,7 +36,8 @@ def bm25(df: DataFrame, id_col: str, text: Column, query: str, limit: int = 100,
         return df.select(F.col(id_col), F.lit(0.0).alias("rank"), F.lit(0).alias("row_num")).limit(0)
     tokens = F.coalesce(index_tokens(text), F.array().cast("array<string>"))
     base = df.select(F.col(id_col), tokens.alias("__t"))
-    base = base.select(id_col, F.size("__t").alias("__len"), *[F.size(F.filter("__t", lambda x, t=t: x == t)).alias(f"__f{i}") for i, t in enumerate(terms)])
+    times = lambda t: F.size(F.filter("__t", lambda x: x == F.lit(t)))
+    base = base.select(id_col, F.size("__t").alias("__len"), *[times(t).alias(f"__f{i}") for i, t in enumerate(terms)])
     stats = base.agg(F.count("*").alias("__n"), F.avg("__len").alias("__avg"), *[F.count_if(F.col(f"__f{i}") > 0).alias(f"__d{i}") for i in range(len(terms))])
     hit = base.where(" AND ".join(f"__f{i} > 0" for i in range(len(terms)))).join(F.broadcast(stats))  # one row
     score = F.lit(0.0)

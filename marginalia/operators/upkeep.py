@@ -76,9 +76,9 @@ def conflict_plan(kb: DataFrame, vault: DataFrame, last_sync: Column, strategy:
 
 
 def issues(df: DataFrame, checks: list[tuple[str, str, Column]], id_col: str) -> DataFrame:
-    """(check, severity, id) for every row and check that fails; one pass over the rows."""
-    failed = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(n).alias("check"), F.lit(s).alias("severity"))) for n, s, c in checks]))
-    return df.select(F.col(id_col).cast("string").alias("id"), F.explode(failed).alias("i")).select("i.check", "i.severity", "id")
+    """(issue, severity, id) for every row and check that fails; one pass over the rows."""
+    failed = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(n).alias("issue"), F.lit(s).alias("severity"))) for n, s, c in checks]))
+    return df.select(F.col(id_col).cast("string").alias("id"), F.explode(failed).alias("i")).select("i.issue", "i.severity", "id")
 
 
 def job_state(log: DataFrame, job: str, status: str, at: str, unique: str) -> DataFrame:
