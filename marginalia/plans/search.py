@@ -33,7 +33,7 @@ def keyword_provider_score(spark, d):
 
 def sections_bm25(spark, d):
     s = table(spark, d, "file_sections").distinct()
-    hits = search.bm25(s, "id", F.concat_ws(" ", "section_header", "content_full"), "leber zink")
+    hits = search.bm25(s, "id", F.concat_ws(" ", "section_header", "content_full"), "zinc check")
     return hits.select("id", "row_num", F.round("rank", 6).alias("rank"))
 
 
@@ -155,7 +155,7 @@ def _like(least: int, query: str) -> str:
 SQL = {
     "keyword_bm25": f"WITH {_bm25('documents', 'doc_id', 'text', TERMS)} SELECT doc_id, row_num::INT AS row_num, round(rank, 6) AS rank, round({_score(1)}, 6) AS score FROM kw",
     "keyword_provider_score": f"WITH {_bm25('documents', 'doc_id', 'text', TERMS)} SELECT doc_id, row_num::INT AS row_num, round({_score(0)}, 6) AS score FROM kw",
-    "sections_bm25": "WITH s AS (SELECT DISTINCT * FROM file_sections), " + _bm25("s", "id", "concat_ws(' ', section_header, content_full)", ["leber", "zink"]) + " SELECT id, row_num::INT AS row_num, round(rank, 6) AS rank FROM kw",
+    "sections_bm25": "WITH s AS (SELECT DISTINCT * FROM file_sections), " + _bm25("s", "id", "concat_ws(' ', section_header, content_full)", ["zinc", "check"]) + " SELECT id, row_num::INT AS row_num, round(rank, 6) AS rank FROM kw",
     "keyword_like": _like(2, "Iron liver"),
     "keyword_like_provider": _like(1, "a iron"),
     "postings_stats": f"WITH x AS (SELECT doc_id, unnest(regexp_extract_all(translate(lower(text), '{FOLD_FROM}', '{FOLD_TO}'), '[\\p{{L}}\\p{{N}}]+')) AS term FROM documents), p AS (SELECT doc_id, term, count(*) AS tf FROM x GROUP BY 1, 2) SELECT term, count(*) AS docs, sum(tf)::BIGINT AS total, max(tf) AS most FROM p GROUP BY 1",
