@@ -113,7 +113,8 @@ class Rendering:
 
     def __init__(self, source: str):
         self.kinds: set[str] = set()
-        self.kept: list[str] = []
+        #: What was set aside, and whether it may hold other parts.
+        self.kept: list[tuple[str, bool]] = []
         self.tags: list[re.Match] = []
         self.text = self._whole(source) if ANY.search(source) else source
 
@@ -124,7 +125,7 @@ class Rendering:
         return out
 
     def _keep(self, m: re.Match | str) -> str:
-        self.kept.append(m if isinstance(m, str) else m.group(0))
+        self.kept.append((m, True) if isinstance(m, str) else (m.group(0), False))
         return f"\ue000{len(self.kept) - 1}\ue001"
 
     def _whole(self, text: str) -> str:
@@ -141,12 +142,16 @@ class Rendering:
         text = self._markdown(text)
         if self.tags or "&" in text:
             text = self._html(text)
-        for _ in range(4):  # kept parts may lie in kept parts
-            if "\ue000" not in text:
-                break
-            text = SLOT.sub(lambda m: self.kept[int(m.group(1))], text)
+        text = self._restored(text)
         return re.sub(r"\n{3,}", "\n\n", text) if self.kinds else text
 
+    def _restored(self, text: str) -> str:
+        def one(m: re.Match) -> str:
+            part, nested = self.kept[int(m.group(1))]
+            return self._restored(part) if nested else part
+
+        return SLOT.sub(one, text) if self.kept else text
+
     # ---- LaTeX
 
     def _latex(self, text: str) -> str:

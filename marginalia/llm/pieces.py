@@ -48,7 +48,7 @@ def cuts(bits: np.ndarray, ends: np.ndarray, least: int, most: int) -> list[int]
 
     Landmarks are the places where a hash of the last WINDOW pre-tokens is small; they depend on the nearby text only.
     From a start on, the first landmark at ``least`` tokens or more is snapped to the nearest boundary of the greatest
-    strength within a quarter of the room around it; without a landmark the last strongest boundary is taken. A
+    strength within a quarter of the room around it, or if it has none but between words, within all the room; without a landmark the last strongest boundary is taken. A
     piece holds ``most`` tokens at most; text without any boundary is cut between pre-tokens.
     """
     n = len(bits)
@@ -60,7 +60,7 @@ def cuts(bits: np.ndarray, ends: np.ndarray, least: int, most: int) -> list[int]
     marks = np.nonzero(rolled < (1 << 24) / often)[0]
     strong = strengths(bits >> LOOK)
     out, start = [0], 0
-    while ends[-1] - ends[start] > most:
+    while ends[-1] - ends[start] > most and start + 1 < n:
         lo = int(np.searchsorted(ends, ends[start] + least, "left"))
         hi = int(np.searchsorted(ends, ends[start] + most, "right")) - 1
         lo = max(min(lo, hi), start + 1)
@@ -71,6 +71,8 @@ def cuts(bits: np.ndarray, ends: np.ndarray, least: int, most: int) -> list[int]
             reach = (ends[hi] - ends[lo]) / 4
             a, z = lo + int(np.searchsorted(ends[lo : hi + 1], ends[at] - reach)), lo + int(np.searchsorted(ends[lo : hi + 1], ends[at] + reach, "right")) - 1
             near = strong[a : z + 1]
+            if near.max() <= BLANK:  # no natural boundary that near
+                a, near = lo, strong[lo : hi + 1]
             best = a + np.nonzero(near == near.max())[0]
             cut = int(best[np.argmin(np.abs(best - at))])
         else:
@@ -81,11 +83,16 @@ def cuts(bits: np.ndarray, ends: np.ndarray, least: int, most: int) -> list[int]
     return out
 
 
-def _refined(parts: list[str]) -> list[str]:
-    """Pre-tokens with the very long ones cut into parts."""
+def _refined(t: Tokens, parts: list[str], most: int) -> list[str]:
+    """Pre-tokens with the very long ones cut into parts of at most ``most`` tokens (one character at least)."""
     out: list[str] = []
-    for p in parts:
-        out += [p] if len(p) <= LONG else [p[i : i + LONG] for i in range(0, len(p), LONG)]
+    left = [p[i : i + LONG] for p in reversed(parts) for i in reversed(range(0, len(p), LONG))]
+    while left:
+        p = left.pop()
+        if t.counts[p] <= most or len(p) == 1:
+            out.append(p)
+        else:
+            left += [p[len(p) // 2 :], p[: len(p) // 2]]
     return out
 
 
@@ -95,13 +102,13 @@ def pieces(text: str, limit: int, overlap: int, t: Tokens, share: float = 0.4) -
     bits = np.fromiter(map(t.__getitem__, parts), np.int64, len(parts))
     if int((bits >> COUNT).sum()) <= limit:
         return [(0, 0, len(text), int((bits >> COUNT).sum()))]
-    if uneven := bool((((bits >> LENGTH) & LONGEST) > LONG).any()):
-        parts = _refined(parts)
+    room = limit - overlap
+    if uneven := bool(((((bits >> LENGTH) & LONGEST) > LONG) | ((bits >> COUNT) > room // 4)).any()):
+        parts = _refined(t, parts, max(1, room // 4))
         bits = np.fromiter(map(t.__getitem__, parts), np.int64, len(parts))
     zero = np.zeros(1, np.int64)
     ends = np.concatenate((zero, np.cumsum(bits >> COUNT)))
     chars = np.concatenate((zero, np.cumsum((bits >> LENGTH) & LONGEST)))
-    room = limit - overlap
     while True:
         starts = cuts(bits, ends, max(1, int(room * share)), room)
         begins = [0, *np.searchsorted(ends, ends[starts[1:]] - overlap, "left").tolist()]
