@@ -85,7 +85,8 @@ def vault_search(notes: DataFrame, query: str, path_col: str = "path", front: Co
         (F.contains(text, F.lit(q)), F.lit(0.5), "content"),
         (in_body > 0, 0.3 + 0.2 * in_body / F.size(terms), "content_words"),
     ]
-    score = F.least(F.lit(1.0), F.greatest(*[F.when(c, s) for c, s, _ in rules]))
+    best = F.greatest(*[F.when(c, s) for c, s, _ in rules])
+    score = F.when(best.isNotNull(), F.least(F.lit(1.0), best))
     kind = F.coalesce(*[F.when(c, F.lit(k)) for c, _, k in rules])
     out = notes.select(F.col(path_col).alias("path"), F.round(score, 6).alias("score"), kind.alias("match_type")).where(F.col("score").isNotNull())
     return out.orderBy(F.desc("score"), "path").limit(limit)
