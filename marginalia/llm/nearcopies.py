@@ -64,7 +64,7 @@ class Elements(dict):
             self.hashes = np.concatenate((self.hashes, np.zeros_like(self.hashes)))
             self.values = np.concatenate((self.values, np.zeros_like(self.values)))
         word, nth = element if isinstance(element, tuple) else (element, 0)
-        h = np.uint64(xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"), seed=nth))
+        h = mixed(np.array([xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))], np.uint64) + np.array([nth], np.uint64) * _GOLD)[0]
         self.hashes[row] = h
         u = (mixed(h + self.which) >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
         self.values[row] = np.clip(np.floor(1 - np.log(-np.log(u)) / math.log(BASE)) + 40, 0, 255)
