@@ -107,7 +107,7 @@ def pending_observations(
         hash_key(F.col(checksum)).alias("__hash"),
         instant(F.col(modified)).alias("__at"),
         F.coalesce(committed, F.lit(False)).alias("__done"),
-    )
+    ).distinct()
     entry = F.when(F.col("__done"), F.struct(F.col("__at"), F.col("__hash")))
     manifest = last_before(rows, "__key", "__version", entry, "__entry")
     old = F.col("__entry")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from marginalia.operators.skew import skew_join
 
 
 def candidate_keys(notes: DataFrame, path_col: str = "path") -> DataFrame:
@@ -25,12 +26,12 @@ def resolve(links: DataFrame, notes: DataFrame, path_col: str = "path", target_c
 
     A target matches ignoring case and an ``.md`` ending: exactly, then an index note, then as a suffix; of several
     the best priority, then the shortest path, then the first in order. Keys are reduced to their best note before the join,
-    which is one row per key, so the number of links never grows.
+    which is one row per key, so the number of links never grows; a note that very many links name is split.
     """
     best = candidate_keys(notes, path_col).groupBy("key").agg(F.min(F.struct("priority", F.length("target_path").alias("n"), "target_path")).alias("b"))
     best = best.select("key", F.col("b.target_path").alias("target_path"))
     key = F.lower(F.regexp_replace(F.regexp_replace(F.col(target_col), r"^(?:\.\.?/)+", ""), r"\.md$", ""))
-    return links.withColumn("key", key).join(best, "key", "left").drop("key")
+    return skew_join(links.withColumn("key", key), best, ["key"], "left").drop("key")
 
 
 def backlinks(resolved: DataFrame, source_col: str = "source_path") -> DataFrame:

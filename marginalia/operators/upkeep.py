@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import safe_name
+from marginalia.operators.skew import skew_join
 
 
 def delta_plan(stored: DataFrame, current: DataFrame, key: str = "path", mark: str = "hash", scope: str | None = None) -> DataFrame:
@@ -31,7 +32,12 @@ def apply_delta(old: DataFrame, fresh: DataFrame, plan: DataFrame, key: str = "p
 
 def cascade(parents_gone: DataFrame, children: DataFrame, key: str) -> DataFrame:
     """Children whose parent was not removed."""
-    return children.join(parents_gone.select(key).distinct(), key, "left_anti")
+    return skew_join(children, parents_gone.select(key).distinct(), [key], "left_anti")
+
+
+def without_parent(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
+    """Children with a key that no parent has; null keys refer to nothing and are left out."""
+    return skew_join(children.where(F.col(key).isNotNull()), parents.select(key).distinct(), [key], "left_anti")
 
 
 def missing_and_orphans(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

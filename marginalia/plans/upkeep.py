@@ -11,9 +11,11 @@ from marginalia.operators.references import ref_key
 from marginalia.session import table
 
 
-def _scan(spark, d, n):
-    w = table(spark, d, "watched_files").where(f"scan_id = {n}")
-    return w.groupBy("path").agg(F.max(hash_key(F.col("file_hash"))).alias("hash"))
+def _scans(spark, d, shift):
+    """Each scan's paths, named by scan and path; with ``shift`` 1 each scan stands for the one after it."""
+    w = table(spark, d, "watched_files").where(f"scan_id BETWEEN {2 - shift} AND {40 - shift} AND path IS NOT NULL")
+    name = F.concat_ws(":", F.col("scan_id") + shift, "path")
+    return w.groupBy(name.alias("path")).agg(F.max(hash_key(F.col("file_hash"))).alias("hash"))
 
 
 def _sections(spark, d):
@@ -27,21 +29,21 @@ def _keys(spark, d):
 
 
 def delta_plan(spark, d):
-    return upkeep.delta_plan(_scan(spark, d, 10), _scan(spark, d, 11))
+    return upkeep.delta_plan(_scans(spark, d, 1), _scans(spark, d, 0))
 
 
 def delta_plan_scoped(spark, d):
-    return upkeep.delta_plan(_scan(spark, d, 10), _scan(spark, d, 11), scope="vault/")
+    return upkeep.delta_plan(_scans(spark, d, 1), _scans(spark, d, 0), scope="1")
 
 
 def delta_applied(spark, d):
-    old, new = _scan(spark, d, 10), _scan(spark, d, 11)
+    old, new = _scans(spark, d, 1), _scans(spark, d, 0)
     return upkeep.apply_delta(old, new, upkeep.delta_plan(old, new))
 
 
 def delta_twice(spark, d):
     """After a plan was applied, the next one has nothing to do."""
-    return upkeep.delta_plan(delta_applied(spark, d), _scan(spark, d, 11)).groupBy("action").agg(F.count("*").alias("n"))
+    return upkeep.delta_plan(delta_applied(spark, d), _scans(spark, d, 0)).groupBy("action").agg(F.count("*").alias("n"))
 
 
 def remove_cascade(spark, d):
@@ -65,9 +67,8 @@ def sync_coverage(spark, d):
 
 
 def orphan_sections(spark, d):
-    s = _sections(spark, d).withColumn("key", ref_key(F.col("file_id"))).where("key IS NOT NULL")
-    f = table(spark, d, "files").select(ref_key(F.col("id")).alias("key"))
-    return s.join(f, "key", "left_anti").select("id", "file_id")
+    s = _sections(spark, d).withColumn("key", ref_key(F.col("file_id")))
+    return upkeep.without_parent(s, table(spark, d, "files").select(ref_key(F.col("id")).alias("key")), "key").select("id", "file_id")
 
 
 def ghost_files(spark, d):
@@ -183,7 +184,7 @@ def _k(c: str) -> str:
 
 
 _H = "nullif(regexp_replace(lower(trim(file_hash)), '^[a-z][a-z0-9_/.\\-]*\\s*:\\s*', ''), '')"
-_PLAN = f"""WITH a AS (SELECT path, max({_H}) AS h FROM watched_files WHERE scan_id = 10 GROUP BY 1), b AS (SELECT path, max({_H}) AS h FROM watched_files WHERE scan_id = 11 GROUP BY 1),
+_PLAN = f"""WITH a AS (SELECT (scan_id + 1) || ':' || path AS path, max({_H}) AS h FROM watched_files WHERE scan_id BETWEEN 1 AND 39 AND path IS NOT NULL GROUP BY 1), b AS (SELECT scan_id || ':' || path AS path, max({_H}) AS h FROM watched_files WHERE scan_id BETWEEN 2 AND 40 AND path IS NOT NULL GROUP BY 1),
 p AS (SELECT path, CASE WHEN a.path IS NULL THEN 'new' WHEN b.path IS NULL THEN 'removed' WHEN a.h IS NOT DISTINCT FROM b.h THEN 'same' ELSE 'changed' END AS action FROM a FULL JOIN b USING (path))"""
 _ISS = """f AS (SELECT DISTINCT * FROM files), s AS (SELECT DISTINCT * FROM file_sections),
 i AS (SELECT 'empty_path' AS issue, 'error' AS severity, id FROM f WHERE file_path IS NULL OR trim(file_path) = '' UNION ALL SELECT 'no_hash', 'error', id FROM f WHERE file_hash IS NULL
@@ -193,7 +194,7 @@ i AS (SELECT 'empty_path' AS issue, 'error' AS severity, id FROM f WHERE file_pa
 
 SQL = {
     "delta_plan": _PLAN + " SELECT * FROM p",
-    "delta_plan_scoped": _PLAN + " SELECT * FROM p WHERE action <> 'removed' OR starts_with(path, 'vault/')",
+    "delta_plan_scoped": _PLAN + " SELECT * FROM p WHERE action <> 'removed' OR starts_with(path, '1')",
     "delta_applied": _PLAN + " SELECT path, h AS hash FROM b",
     "delta_twice": _PLAN + " SELECT 'same' AS action, count(*) AS n FROM b",
     "remove_cascade": f"WITH s AS (SELECT DISTINCT * FROM file_sections) SELECT file_id, count(*) AS sections FROM s WHERE {_k('file_id')} IS NULL OR {_k('file_id')} NOT IN (SELECT {_k('ref_id')} FROM removal_log WHERE lower(trim(ref_table)) = 'files' AND {_k('ref_id')} IS NOT NULL) GROUP BY 1",

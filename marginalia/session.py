@@ -47,11 +47,20 @@ def shared_folder(spark: SparkSession) -> str:
 def stored(df: DataFrame, hint: str = "step") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = os.path.join(shared_folder(spark), f"{hint}-{uuid.uuid4().hex}")
+    path = os.path.join(_own_folder(spark), f"{hint}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return os.path.join(shared_folder(spark), f"marginalia-{spark.sparkContext.applicationId}")
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete what ``stored`` wrote for this application, once no frame that reads it is needed."""
+    drop_folder(spark, _own_folder(spark))
+
+
 def files_of(spark: SparkSession, path: str):
     """The Hadoop file system and path object of ``path``."""
     jvm = spark.sparkContext._jvm
