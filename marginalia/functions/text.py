@@ -5,17 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Stopwords of section keywords.
-STOPWORDS = (
-    "der die das und oder mit fuer von auf in zu ist sind war wurden wird werden kann koennen eine einer einem einen als an auch bei bis durch "
-    "hat nach nicht nur ob sich sie so sowie um unter vor wenn wie noch schon sehr wurde sein"
-).split()
-
-# File categories in the order in which they are tried, with the words that decide.
-CATEGORIES = [("learnings", "learning"), ("adr", "adr"), ("briefing", "briefing"), ("projektplanung", "projekt")]
-
-# Words and marks that make a query unsafe.
-UNSAFE = ["drop ", "delete ", "insert ", "update ", "alter ", "--", ";", "/*", "exec "]
+from marginalia.functions.wordlists import IMAGES, PDF, UNSAFE
 
 #: Letters with diacritics and what search folds them to; ß stays.
 FOLD_FROM, FOLD_TO = "äöüáàâãåéèêëíìîïóòôõúùûçñý", "aouaaaaaeeeeiiiioooouuucny"
@@ -76,11 +66,26 @@ def preview(c: Column, n: int = 200) -> Column:
 
 
 def file_category(path: Column) -> Column:
-    """Category by folder or name, in the fixed order; ``dokumentation`` otherwise."""
-    low = F.lower(path)
-    out = F.lit("dokumentation")
-    for name, mark in reversed(CATEGORIES):
-        out = F.when(low.contains(mark), name).otherwise(out)
+    """Category of a note by its name and folder; the first rule that holds counts, ``dokumentation`` otherwise."""
+    parts = F.split(path, "/")
+    name, parent = F.lower(F.element_at(parts, -1)), F.coalesce(F.try_element_at(parts, F.lit(-2)), F.lit(""))
+    return (
+        F.when(parent.contains("learnings") | name.contains("learning"), "learnings")
+        .when(name.contains("adr") | parent.contains("architecture"), "adr")
+        .when(name.contains("briefing"), "briefing")
+        .when(path.contains("projektplanung"), "projektplanung")
+        .otherwise("dokumentation")
+    )
+
+
+def path_category(path: Column, kind: str = "pdf") -> Column:
+    """Category of a PDF (``pdf``) or an image (``image``) by what its path contains."""
+    low, out = F.lower(path), F.lit("dokumentation")
+    for name, marks in reversed({"pdf": PDF, "image": IMAGES}[kind]):
+        hit = F.lit(False)
+        for mark in marks:
+            hit = hit | low.contains(mark)
+        out = F.when(hit, name).otherwise(out)
     return out
 
 
@@ -96,28 +101,111 @@ def heading_slug(c: Column) -> Column:
 
 
 def safe_name(c: Column) -> Column:
-    """A title as file name: reserved characters to underscores, at most 200 characters."""
-    return F.substring(F.trim(F.regexp_replace(c, r'[<>:"/\\|?*]', "_")), 1, 200)
+    """A title as file name: reserved characters and white space to underscores, at most 200 characters."""
+    plain = F.regexp_replace(F.regexp_replace(c, r"^\s+|\s+$", ""), r'[/\\:*?"<>|#]', "_")
+    return F.substring(F.regexp_replace(F.regexp_replace(plain, r"^\s+|\s+$", ""), r"\s+", "_"), 1, 200)
+
+
+def safe_file_name(c: Column) -> Column:
+    """Any characters but Latin letters, digits, point, underscore and hyphen to underscores, at most 255; ``unnamed`` if nothing is left."""
+    plain = F.regexp_replace(c, r"[^a-zA-Z0-9._-]", "_")
+    ending = F.regexp_extract(plain, r"(\.[^.]*)$", 1)
+    return F.when(F.coalesce(c, F.lit("")) == "", "unnamed").when(F.length(plain) > 255, F.concat(F.substring(F.regexp_replace(plain, r"\.[^.]*$", ""), 1, 250), ending)).otherwise(plain)
 
 
 def is_safe_query(c: Column) -> Column:
+    """No mark of ``UNSAFE``, not empty and at most 1,000 characters."""
     low = F.lower(c)
     bad = F.lit(False)
     for mark in UNSAFE:
         bad = bad | low.contains(mark)
-    return F.coalesce(~bad & (F.length(c) <= 1000), F.lit(False))
+    return F.coalesce(~bad & (F.length(c) <= 1000) & (c != ""), F.lit(False))
+
+
+def clean_query(c: Column) -> Column:
+    """Without control characters, at most 1,000 characters, trimmed."""
+    return F.regexp_replace(F.substring(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\x00-\x1f]", ""), 1, 1000), r"^\s+|\s+$", "")
 
 
 def size_text(n: Column) -> Column:
-    """Bytes as B, KB, MB or GB with one decimal."""
+    """Bytes with one decimal in the greatest unit of B, KB, MB, GB, TB that fits."""
+    out = F.format_string("%.1f TB", n / 1024.0**4)
+    for power, unit in ((3, "GB"), (2, "MB"), (1, "KB"), (0, "B")):
+        out = F.when(n < 1024.0 ** (power + 1), F.format_string(f"%.1f {unit}", n / 1024.0**power)).otherwise(out)
+    return out
+
+
+def duration_text(seconds: Column) -> Column:
+    whole = F.floor(seconds)
+    return (
+        F.when(seconds < 1, F.format_string("%.1fs", seconds.cast("double")))
+        .when(seconds < 60, F.format_string("%.0fs", seconds.cast("double")))
+        .when(seconds < 3600, F.format_string("%dm %ds", F.floor(whole / 60), whole % 60))
+        .otherwise(F.format_string("%dh %dm", F.floor(whole / 3600), F.floor(whole % 3600 / 60)))
+    )
+
+
+def location(path: Column, line: Column) -> Column:
+    """``file:line``, or the file's name where no line is known."""
+    name = F.element_at(F.split(path, "/"), -1)
+    return F.when(line > 0, F.concat_ws(":", name, line.cast("string"))).otherwise(name)
+
+
+def shown(c: Column, most: int = 80) -> Column:
+    """One line of at most ``most`` characters."""
+    flat = F.regexp_replace(F.replace(F.coalesce(c, F.lit("")), F.lit("\n"), F.lit(" ")), r"^\s+|\s+$", "")
+    return F.when(F.length(flat) > most, F.concat(F.substring(flat, 1, most - 3), F.lit("..."))).otherwise(flat)
+
+
+def frontmatter_text(fields: Column) -> Column:
+    """A map as a frontmatter block, keys in their order."""
+    lines = F.transform(F.map_entries(fields), lambda e: F.concat(e["key"], F.lit(": "), e["value"], F.lit("\n")))
+    return F.concat(F.lit("---\n"), F.array_join(lines, ""), F.lit("---\n"))
+
+
+def essence_body(connections: Column, contradictions: Column, questions: Column) -> Column:
+    """The analysis part of a summary as Markdown."""
+    def part(title: str, mark: str, items: Column) -> Column:
+        lines = F.array_join(F.transform(items, lambda x: F.concat(F.lit("- " + mark), x)), "\n")
+        return F.when(F.size(items) > 0, F.concat(F.lit(f"## {title}\n\n"), lines, F.lit("\n")))
+
+    body = F.concat_ws("\n", part("Verknüpfungen", "", connections), part("Widersprüche", "⚠️ ", contradictions), part("Offene Fragen", "❓ ", questions))
+    return F.when(body == "", "Keine zusätzlichen Analysen verfügbar.").otherwise(body)
+
+
+def report_title(kind: Column, start: Column, end: Column) -> Column:
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
     return (
-        F.when(n < 1024, F.format_string("%d B", n.cast("bigint")))
-        .when(n < 1024**2, F.format_string("%.1f KB", n / 1024))
-        .when(n < 1024**3, F.format_string("%.1f MB", n / 1024**2))
-        .otherwise(F.format_string("%.1f GB", n / 1024**3))
+        F.when(kind == "daily", F.concat(F.lit("Daily Report — "), day(start)))
+        .when(kind == "weekly", F.concat(F.lit("Weekly Report — "), day(start), F.lit(" bis "), day(end)))
+        .otherwise(F.concat(F.lit("Monthly Report — "), F.date_format(start, "yyyy-MM")))
     )
 
 
+def json_object(raw: Column) -> Column:
+    """The JSON object in a model's answer: inside a code fence if there is one, from the first brace to the last that balances it."""
+    text = F.coalesce(F.nullif(F.regexp_extract(raw, r"(?s)```(?:json)?(.*?)```", 1), F.lit("")), raw)
+    start = F.instr(text, "{")
+    tail = F.substring(text, start, F.length(text))
+    zero = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end")).cast("struct<depth:int,at:int,end:int>")
+
+    def step(s: Column, c: Column) -> Column:
+        depth = s["depth"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)
+        end = F.when((s["end"] == 0) & (depth == 0) & (c == "}"), s["at"] + 1).otherwise(s["end"])
+        return F.struct(depth.alias("depth"), (s["at"] + 1).alias("at"), end.alias("end"))
+
+    end = F.aggregate(F.split(tail, ""), zero, step, lambda s: s["end"])
+    return F.when(start > 0, F.when(end > 0, F.substring(tail, F.lit(1), end)).otherwise(tail))
+
+
+def hashed_vector(tokens: Column, dim: int = 64) -> Column:
+    """A deterministic embedding: signed counts of hashed tokens, of length one; a text without tokens gives zeros."""
+    spot = F.transform(tokens, lambda t: F.struct(F.pmod(F.xxhash64(t), F.lit(dim)).alias("i"), F.when(F.pmod(F.hash(t), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("s")))
+    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.aggregate(F.filter(spot, lambda x: x["i"] == d), F.lit(0.0), lambda a, x: a + x["s"]))
+    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, x: a + x * x))
+    return F.transform(raw, lambda x: F.when(norm > 0, x / norm).otherwise(0.0).cast("float"))
+
+
 def importance(c: Column) -> Column:
     """A missing or zero importance counts as 0.5."""
     return F.when(c.isNull() | (c == 0), F.lit(0.5)).otherwise(c)

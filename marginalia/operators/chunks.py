@@ -14,14 +14,13 @@ def _fold(parts: Column, most: int, overlap: int, carry) -> Column:
     zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur")).cast(_STATE)
 
     def step(s: Column, p: Column) -> Column:
-        p = F.substring(p, 1, most)
-        joined = F.when(s["cur"] == "", p).otherwise(F.concat(s["cur"], F.lit(" "), p))
-        tail = carry(s["cur"], overlap)
-        again = F.when(tail == "", p).otherwise(F.concat(tail, F.lit(" "), p))
-        again = F.when(F.length(again) <= most, again).otherwise(p)
-        fits = (s["cur"] == "") | (F.length(joined) <= most)
-        return F.when(fits, F.struct(s["done"].alias("done"), joined.alias("cur"))).otherwise(
-            F.struct(F.concat(s["done"], F.array(s["cur"])).alias("done"), again.alias("cur"))
+        flush = (s["cur"] != "") & (F.length(s["cur"]) + F.length(p) > most)
+        done = F.when(flush, F.concat(s["done"], F.array(s["cur"]))).otherwise(s["done"])
+        cur = F.when(flush, carry(s["cur"], overlap)).otherwise(s["cur"])
+        alone = (cur == "") & (F.length(p) > most)
+        return F.struct(
+            F.when(alone, F.concat(done, F.array(F.substring(p, 1, most)))).otherwise(done).alias("done"),
+            F.when(alone, "").when(cur == "", p).otherwise(F.concat(cur, F.lit(" "), p)).alias("cur"),
         )
 
     end = lambda s: F.when(s["cur"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["cur"])))
@@ -29,8 +28,10 @@ def _fold(parts: Column, most: int, overlap: int, carry) -> Column:
 
 
 def _last_sentence(cur: Column, overlap: int) -> Column:
-    """The last sentence of the tail of ``overlap`` characters, if a sentence ends in it."""
-    return F.when(F.lit(overlap) > 0, F.regexp_extract(F.right(cur, F.lit(overlap)), r"[.!?] ([^.!?]+[.!?]?)$", 1)).otherwise("")
+    """What follows the last full stop and blank in the tail of ``overlap`` characters, else the last ``! ``, else ``? ``."""
+    tail = F.right(cur, F.lit(overlap))
+    after = lambda mark: F.when(F.contains(tail, F.lit(mark)), F.element_at(F.split(tail, mark.replace("?", "[?]").replace(".", "[.]")), -1))
+    return F.coalesce(after(". "), after("! "), after("? "), F.lit("")) if overlap > 0 else F.lit("")
 
 
 def _last_words(cur: Column, overlap: int) -> Column:
@@ -40,14 +41,17 @@ def _last_words(cur: Column, overlap: int) -> Column:
 def sentence_chunks(df: DataFrame, id_col: str, text_col: str, most: int = 500, overlap: int = 50) -> DataFrame:
     """(id, chunk_index, total_chunks, text): sentences packed greedily into at most ``most`` characters.
 
-    A longer sentence is cut to ``most``. A chunk starts with the last sentence of the one before, if it lies within
-    ``overlap`` characters. Null and blank texts give no row.
+    A chunk starts with the last sentence of the one before, if it begins within its last ``overlap`` characters, and
+    may exceed ``most`` by that; a sentence longer than ``most`` that starts a chunk is cut to it. A text of white space
+    is one chunk; null and empty texts give no row.
     """
-    return _rows(df, id_col, _fold(sentences(F.col(text_col)), most, overlap, _last_sentence))
+    text = F.col(text_col)
+    found = _fold(sentences(text), most, overlap, _last_sentence)
+    return _rows(df, id_col, F.when((F.size(sentences(text)) == 0) & (text != ""), F.array(F.substring(text, 1, most))).otherwise(found))
 
 
 def word_chunks(df: DataFrame, id_col: str, text_col: str, most: int = 500, overlap: int = 50) -> DataFrame:
-    """The same with words as units; no word is lost."""
+    """The same with words as units; no word is lost, unless it alone is longer than ``most``."""
     parts = F.filter(F.split(F.col(text_col), r"\s+"), lambda w: w != "")
     return _rows(df, id_col, _fold(parts, most, overlap, _last_words))
 

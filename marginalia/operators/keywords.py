@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from marginalia.functions.text import STOPWORDS, keyword_tokens, umlauts, words
+from marginalia.functions.text import keyword_tokens, umlauts, words
+from marginalia.functions.wordlists import FIELD, GERMAN, SECTION
 
 
 def token_rows(df: DataFrame, id_col: str, tokens: Column) -> DataFrame:
@@ -20,14 +21,14 @@ def top_keywords(df: DataFrame, id_col: str, text_col: str, n: int = 10, least:
 
     Null and empty texts give no row; repeated ids are taken together.
     """
-    counted = token_rows(df, id_col, keyword_tokens(F.col(text_col), least)).where(~F.col("word").isin(STOPWORDS if stopwords is None else stopwords))
+    counted = token_rows(df, id_col, keyword_tokens(F.col(text_col), least)).where(~F.col("word").isin(SECTION if stopwords is None else stopwords))
     w = W.partitionBy(id_col).orderBy(F.desc("n"), "first")
     return counted.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select(id_col, "rank", "word", "n")
 
 
-def handler_keywords(df: DataFrame, id_col: str, text_col: str, stopwords: list[str], n: int = 20) -> DataFrame:
-    """``top_keywords`` over all words of two characters or more."""
-    counted = token_rows(df, id_col, words(F.col(text_col))).where((F.length("word") >= 2) & ~F.col("word").isin(stopwords))
+def handler_keywords(df: DataFrame, id_col: str, text_col: str, stopwords: list[str] | None = None, n: int = 20) -> DataFrame:
+    """``top_keywords`` over all words of two characters or more; by default without the German and the field's stopwords."""
+    counted = token_rows(df, id_col, words(F.col(text_col))).where((F.length("word") >= 2) & ~F.col("word").isin(GERMAN + FIELD if stopwords is None else stopwords))
     w = W.partitionBy(id_col).orderBy(F.desc("n"), "first")
     return counted.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select(id_col, "rank", "word", "n")
 

@@ -30,8 +30,8 @@ def graph_nodes(essences: DataFrame, id_col: str, entities: Column, keywords: Co
     rows = essences.select(
         F.explode(F.concat(
             F.array(F.struct(F.concat(F.lit("essence:"), F.col(id_col).cast("string")).alias("id"), F.lit("essence").alias("kind"))),
-            F.transform(F.coalesce(entities, F.array().cast("array<string>")), lambda e: F.struct(F.lower(F.trim(e)).alias("id"), F.lit("entity").alias("kind"))),
-            F.transform(F.coalesce(keywords, F.array().cast("array<string>")), lambda k: F.struct(F.concat(F.lit("kw:"), F.lower(F.trim(k))).alias("id"), F.lit("keyword").alias("kind"))),
+            F.transform(F.coalesce(entities, F.array().cast("array<string>")), lambda e: F.struct(e.alias("id"), F.lit("entity").alias("kind"))),
+            F.transform(F.coalesce(keywords, F.array().cast("array<string>")), lambda k: F.struct(F.concat(F.lit("kw:"), k).alias("id"), F.lit("keyword").alias("kind"))),
         )).alias("n")
     )
     return rows.groupBy("n.id", "n.kind").agg(F.count("*").alias("weight"))
@@ -40,7 +40,7 @@ def graph_nodes(essences: DataFrame, id_col: str, entities: Column, keywords: Co
 def mention_edges(essences: DataFrame, id_col: str, keywords: Column) -> DataFrame:
     """(source, target, relation): essence mentions keyword, each once."""
     return essences.select(F.concat(F.lit("essence:"), F.col(id_col).cast("string")).alias("source"), F.explode(keywords).alias("k")).select(
-        "source", F.concat(F.lit("kw:"), F.lower(F.trim("k"))).alias("target"), F.lit("mentions").alias("relation")).distinct()
+        "source", F.concat(F.lit("kw:"), "k").alias("target"), F.lit("mentions").alias("relation")).distinct()
 
 
 def per_period(df: DataFrame, at: str, unit: str) -> DataFrame:

@@ -69,9 +69,9 @@ def unlinked_mentions(notes: DataFrame, name: str, path_col: str = "path", text_
 
 
 def vault_search(notes: DataFrame, query: str, path_col: str = "path", front: Column | None = None, body: Column | None = None, limit: int = 20) -> DataFrame:
-    """(path, score, match_type): by name 0.8, words of the name 0.6 + 0.1 n, frontmatter 0.7, body 0.5, words of the body 0.3 + 0.2 share.
+    """(path, score, match_type): by name 0.8, n words of the name 0.6 + 0.1 n, frontmatter values 0.7, body 0.5, n words of the body 0.3 + 0.2 n.
 
-    The greatest counts, at most 1; the type is that of the first rule that holds. Ordered by score, then path.
+    The greatest counts, at most 1; the type (name, frontmatter, content) is that of the first rule that holds. Ordered by score, then path.
     """
     q = query.lower().strip()
     terms = F.array(*[F.lit(t) for t in dict.fromkeys(q.split())])
@@ -81,10 +81,10 @@ def vault_search(notes: DataFrame, query: str, path_col: str = "path", front: Co
     in_body = F.size(F.array_intersect(terms, F.split(text, r"\s+")))
     rules = [
         (F.contains(name, F.lit(q)), F.lit(0.8), "name"),
-        (in_name > 0, 0.6 + 0.1 * in_name, "name_words"),
+        (in_name > 0, 0.6 + 0.1 * in_name, "name"),
         (F.contains(F.lower(F.coalesce(front, F.lit(""))), F.lit(q)), F.lit(0.7), "frontmatter"),
         (F.contains(text, F.lit(q)), F.lit(0.5), "content"),
-        (in_body > 0, 0.3 + 0.2 * in_body / F.size(terms), "content_words"),
+        (in_body > 0, 0.3 + 0.2 * in_body, "content"),
     ]
     best = F.greatest(*[F.when(c, s) for c, s, _ in rules])
     score = F.when(best.isNotNull(), F.least(F.lit(1.0), best))

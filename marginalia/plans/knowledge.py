@@ -73,9 +73,15 @@ def _pairs(spark, d):
 
 
 def essence_diff(spark, d):
+    """Keywords and previews of a section against its parent's: what both have, what one has, and whether they can be merged."""
     common, a, b = knowledge.diff_lists(F.col("keys"), F.col("parent_keys"))
-    out = _pairs(spark, d).select("id", "parent_section_id", F.size(common).alias("common"), F.array_join(a, "|").alias("only_here"), F.array_join(b, "|").alias("only_parent"))
-    return out.withColumn("can_merge", (F.col("only_parent") != "") | (F.col("only_here") != ""))
+    here, there = F.coalesce("content_preview", F.lit("")), F.coalesce("parent_text", F.lit(""))
+    alone = ((here == "") != (there == "")).cast("int")
+    out = _pairs(spark, d).select(
+        "id", "parent_section_id", (F.size(common) + (here == there).cast("int")).alias("unchanged"), (F.size(a) + F.size(b) + alone).alias("complements"),
+        ((here != there) & (here != "") & (there != "")).cast("int").alias("conflicts"), F.array_join(a, "|").alias("only_here"), F.array_join(b, "|").alias("only_parent"),
+    )
+    return out.withColumn("can_merge", (F.col("conflicts") == 0) & (F.col("complements") > 0))
 
 
 def essence_merge(spark, d):
@@ -133,17 +139,18 @@ SQL = {
     "hotspots": f"WITH {_E}, {_HOT} SELECT topic, kind, count(DISTINCT id) AS n FROM k WHERE topic <> '' GROUP BY 1, 2 HAVING n >= 2 ORDER BY n DESC, topic, kind LIMIT 20",
     "hotspots_mentions": f"WITH {_E}, {_HOT} SELECT topic, kind, count(*) AS n FROM k WHERE topic <> '' AND kind = 'keyword' GROUP BY 1, 2 HAVING n >= 2 ORDER BY n DESC, topic, kind LIMIT 20",
     "hotspot_score": f"WITH {_E}, {_HOT}, h AS (SELECT topic, count(DISTINCT id) AS n FROM k WHERE topic <> '' AND kind = 'keyword' GROUP BY 1 HAVING n >= 2 ORDER BY n DESC, topic LIMIT 20) SELECT topic, count(DISTINCT file_id) AS files FROM (SELECT file_id, lower(trim(unnest(keys))) AS topic FROM e) JOIN h USING (topic) GROUP BY 1",
-    "kg_nodes": f"WITH {_E} SELECT id, kind, count(*) AS weight FROM (SELECT 'essence:' || id AS id, 'essence' AS kind FROM e UNION ALL SELECT lower(trim(section_header)), 'entity' FROM e WHERE section_header IS NOT NULL UNION ALL SELECT 'kw:' || lower(trim(unnest(keys))), 'keyword' FROM e) GROUP BY 1, 2",
-    "kg_edges": f"WITH {_E} SELECT DISTINCT 'essence:' || id AS source, 'kw:' || lower(trim(k)) AS target, 'mentions' AS relation FROM (SELECT id, unnest(keys) AS k FROM e)",
+    "kg_nodes": f"WITH {_E} SELECT id, kind, count(*) AS weight FROM (SELECT 'essence:' || id AS id, 'essence' AS kind FROM e UNION ALL SELECT section_header, 'entity' FROM e WHERE section_header IS NOT NULL UNION ALL SELECT 'kw:' || unnest(keys), 'keyword' FROM e) GROUP BY 1, 2",
+    "kg_edges": f"WITH {_E} SELECT DISTINCT 'essence:' || id AS source, 'kw:' || k AS target, 'mentions' AS relation FROM (SELECT id, unnest(keys) AS k FROM e)",
     "essences_per_day": "SELECT strftime(created_at, '%Y-%m-%d') AS period, count(*) AS n FROM documents WHERE created_at IS NOT NULL GROUP BY 1",
     "essences_per_week": "SELECT strftime(created_at, '%G-W%V') AS period, count(*) AS n FROM documents WHERE created_at IS NOT NULL GROUP BY 1",
     "report_rollup": "WITH a AS (SELECT strftime(created_at, '%Y-%m-%d') AS p, count(*) AS n FROM documents WHERE created_at IS NOT NULL GROUP BY 1) SELECT left(p, 7) AS month, count(*) AS days, sum(n)::BIGINT AS n, max(n) AS busiest FROM a GROUP BY 1",
     "period_filter": "SELECT doc_id, created_at FROM documents WHERE created_at >= TIMESTAMP '2024-05-01' AND created_at < TIMESTAMP '2024-06-01'",
     "essence_gc": "WITH l AS (SELECT max(created_at) AS m FROM documents) SELECT CASE WHEN created_at < m - INTERVAL 365 DAYS THEN 'remove' WHEN created_at < m - INTERVAL 90 DAYS THEN 'archive' ELSE 'keep' END AS action, count(*) AS n FROM documents, l GROUP BY 1",
-    "essence_diff": f"""WITH {_E}, {_PAIR}, q AS (SELECT id, parent_section_id, {_LOW.format('keys')} AS a, {_LOW.format('pk')} AS b FROM p),
-r AS (SELECT id, parent_section_id, len(list_distinct(list_filter(a, lambda x: list_contains(b, x))))::INT AS common, coalesce(array_to_string(list_sort(list_distinct(list_filter(a, lambda x: NOT list_contains(b, x)))), '|'), '') AS only_here,
+    "essence_diff": f"""WITH {_E}, {_PAIR}, q AS (SELECT id, parent_section_id, {_LOW.format('keys')} AS a, {_LOW.format('pk')} AS b, coalesce(content_preview, '') AS here, coalesce(pt, '') AS there FROM p),
+r AS (SELECT id, parent_section_id, here, there, len(list_distinct(list_filter(a, lambda x: list_contains(b, x))))::INT AS common, len(list_distinct(list_filter(a, lambda x: NOT list_contains(b, x)))) + len(list_distinct(list_filter(b, lambda x: NOT list_contains(a, x)))) AS apart, coalesce(array_to_string(list_sort(list_distinct(list_filter(a, lambda x: NOT list_contains(b, x)))), '|'), '') AS only_here,
  coalesce(array_to_string(list_sort(list_distinct(list_filter(b, lambda x: NOT list_contains(a, x)))), '|'), '') AS only_parent FROM q)
-SELECT *, only_here <> '' OR only_parent <> '' AS can_merge FROM r""",
+SELECT id, parent_section_id, common + (here = there)::INT AS unchanged, apart + ((here = '') <> (there = ''))::INT AS complements, (here <> there AND here <> '' AND there <> '')::INT AS conflicts, only_here, only_parent,
+ NOT (here <> there AND here <> '' AND there <> '') AND apart + ((here = '') <> (there = ''))::INT > 0 AS can_merge FROM r""",
     "essence_merge": f"""WITH {_E}, {_PAIR}, m AS (SELECT id, parent_section_id, content_preview, pt, list_concat(keys, pk) AS l FROM p)
 SELECT id, parent_section_id, coalesce(array_to_string(list_transform(list_filter(list_zip(l, range(len(l))), lambda z: list_position({_LOW.format('l')}, lower(trim(z[1]))) = z[2] + 1), lambda z: z[1]), '|'), '') AS keys,
  CASE WHEN content_preview IS NULL OR len(pt) > 1.2 * len(content_preview) THEN coalesce(pt, content_preview) ELSE content_preview END AS summary FROM m""",

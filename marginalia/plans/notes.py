@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as X
+from marginalia.functions import wordlists
 from marginalia.operators import chunks, keywords, links, markdown
 from marginalia.session import table
 
@@ -35,7 +36,8 @@ NOTES = "notes AS (SELECT doc_id, created_at, " + _NOTE.format(nl="chr(10)", hal
 # Synonyms of a few terms, as an example table for expansion.
 SYNONYMS = {"eisen": ["ferrum", "fe"], "iron": ["ferrum", "fe"], "leber": ["hepar"], "liver": ["hepar"], "sleep": ["rest"], "schlaf": ["ruhe"], "note": ["notiz", "entry"]}
 
-STOP = ", ".join(f"'{w}'" for w in X.STOPWORDS)
+STOP = ", ".join(f"'{w}'" for w in wordlists.SECTION)
+STOP_HANDLER = ", ".join(f"'{w}'" for w in wordlists.GERMAN + wordlists.FIELD)
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -55,7 +57,7 @@ def keywords_top15(spark, d):
 
 
 def keywords_handler_top20(spark, d):
-    return keywords.handler_keywords(_docs(spark, d), "doc_id", "text", X.STOPWORDS, 20)
+    return keywords.handler_keywords(_docs(spark, d), "doc_id", "text", n=20)
 
 
 def keyword_dictionary(spark, d):
@@ -85,7 +87,7 @@ def content_hashes(spark, d):
 
 
 def file_category(spark, d):
-    return table(spark, d, "files").distinct().select("id", "file_path", X.file_category(F.col("file_path")).alias("category"), X.suffix(F.col("file_path")).alias("suffix"))
+    return table(spark, d, "files").distinct().select("id", "file_path", X.file_category(F.col("file_path")).alias("category"), X.path_category(F.col("file_path")).alias("pdf_category"), X.suffix(F.col("file_path")).alias("suffix"))
 
 
 def sentences(spark, d):
@@ -206,7 +208,7 @@ def unlinked_mentions(spark, d):
 
 
 def vault_search(spark, d):
-    return links.vault_search(notes(spark, d), "note_12 links", front=markdown.frontmatter(F.col("content")), body=markdown.body(F.col("content")))
+    return links.vault_search(notes(spark, d), "note_12 links", front=F.array_join(F.map_values(markdown.front_fields(F.col("content"))), " "), body=markdown.body(F.col("content")))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -221,8 +223,8 @@ t AS (SELECT doc_id, w, pos FROM (SELECT doc_id, unnest(l) AS w, unnest(range(le
 """
 
 
-def _top(n: int, cond: str) -> str:
-    return _TOP + f"""c AS (SELECT doc_id, w AS word, count(*) AS n, min(pos) AS first FROM t WHERE {cond} AND w NOT IN ({STOP}) GROUP BY 1, 2),
+def _top(n: int, cond: str, stop: str = STOP) -> str:
+    return _TOP + f"""c AS (SELECT doc_id, w AS word, count(*) AS n, min(pos) AS first FROM t WHERE {cond} AND w NOT IN ({stop}) GROUP BY 1, 2),
 r AS (SELECT doc_id, word, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) AS rank FROM c QUALIFY rank <= {n})"""
 
 
@@ -244,7 +246,7 @@ _EDGES = _RES + ", e AS (SELECT source_path, target_path, count(*) AS links FROM
 SQL = {
     "keywords_top10": f"WITH {_top(10, _LATIN)} SELECT * FROM r",
     "keywords_top15": f"WITH {_top(15, _LATIN)} SELECT * FROM r",
-    "keywords_handler_top20": f"WITH {_top(20, 'len(w) >= 2')} SELECT * FROM r",
+    "keywords_handler_top20": f"WITH {_top(20, 'len(w) >= 2', STOP_HANDLER)} SELECT * FROM r",
     "keyword_dictionary": f"WITH {_top(10, _LATIN)} SELECT {_UML.format('word')} AS normalized, min(word) AS keyword, count(*) AS usage_count FROM r GROUP BY 1",
     "section_keywords": f"WITH {_SEC} SELECT DISTINCT id, {_UML.format('trim(k)')} AS normalized FROM (SELECT id, unnest(keys) AS k FROM s)",
     "keyword_parse_json_csv": f"WITH s AS (SELECT DISTINCT * FROM file_sections) SELECT id, array_to_string({_KEYS}, '|') AS keywords FROM s",
@@ -254,10 +256,21 @@ SELECT search_id, query, coalesce(array_to_string(list_transform(list_filter(lis
     "embedding_text": f"""WITH s AS (SELECT DISTINCT * FROM file_sections), k AS (SELECT *, {_KEYS} AS keys FROM s)
 SELECT id, concat_ws(' | ', nullif(section_header, ''), nullif(section_header, ''), CASE WHEN content_full <> '' THEN trim(left(content_full, 500)) END, nullif(array_to_string(keys[1:10], ' '), '')) AS embedding_text FROM k""",
     "content_hashes": "SELECT doc_id, md5(text) AS md5, 'sha256:' || left(sha256(text), 16) AS sha FROM documents",
-    "file_category": "SELECT DISTINCT id, file_path, category, suffix FROM (SELECT *, CASE WHEN contains(lower(file_path), 'learning') THEN 'learnings' WHEN contains(lower(file_path), 'adr') THEN 'adr' WHEN contains(lower(file_path), 'briefing') THEN 'briefing' WHEN contains(lower(file_path), 'projekt') THEN 'projektplanung' ELSE 'dokumentation' END AS category, lower(regexp_extract(file_path, '\\.([^./\\\\]+)$', 1)) AS suffix FROM (SELECT DISTINCT * FROM files))",
+    "file_category": """WITH f AS (SELECT DISTINCT *, lower(string_split(file_path, '/')[-1]) AS n, coalesce(string_split(file_path, '/')[-2], '') AS p, lower(file_path) AS l FROM (SELECT DISTINCT * FROM files))
+SELECT id, file_path, CASE WHEN contains(p, 'learnings') OR contains(n, 'learning') THEN 'learnings' WHEN contains(n, 'adr') OR contains(p, 'architecture') THEN 'adr' WHEN contains(n, 'briefing') THEN 'briefing' WHEN contains(file_path, 'projektplanung') THEN 'projektplanung' ELSE 'dokumentation' END AS category,
+ CASE WHEN contains(l, 'medizin_studien') OR contains(l, 'medizin-studien') THEN 'medizin_studien' WHEN contains(l, 'gesundheit') THEN 'gesundheit' WHEN contains(l, 'buecher') OR contains(l, 'bucher') THEN 'buecher' WHEN contains(l, 'aluminium') THEN 'aluminium' ELSE 'dokumentation' END AS pdf_category,
+ lower(regexp_extract(file_path, '\\.([^./\\\\]+)$', 1)) AS suffix FROM f""",
     "sentences": "SELECT doc_id, unnest(range(len(l)))::INT AS pos, unnest(l) AS sentence FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> '') AS l FROM documents)",
     "word_counts_preview": "SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))::INT AS words, CASE WHEN len(text) > 200 THEN left(text, 200) || '...' ELSE text END AS preview FROM documents",
     "normalised_words": f"WITH {_TOP.rstrip().rstrip(',')} SELECT w AS word, {_UML.format('w')} AS normalized, count(*) AS n FROM t WHERE {_LATIN} GROUP BY 1, 2",
+    "chunks_sentence": """WITH s AS (SELECT doc_id, text, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS l FROM documents WHERE text <> ''),
+f AS (SELECT doc_id, CASE WHEN len(l) = 0 THEN [left(text, 500)] ELSE list_filter(string_split(list_reduce(list_prepend('', l), lambda acc, p: CASE
+  WHEN acc[-1:] <> chr(1) AND acc <> '' AND len(string_split(acc, chr(1))[-1]) + len(p) > 500 THEN acc || chr(1) || (CASE WHEN contains(right(string_split(acc, chr(1))[-1], 50), '. ') AND string_split(right(string_split(acc, chr(1))[-1], 50), '. ')[-1] <> '' THEN string_split(right(string_split(acc, chr(1))[-1], 50), '. ')[-1] || ' ' || p
+    WHEN contains(right(string_split(acc, chr(1))[-1], 50), '. ') THEN (CASE WHEN len(p) > 500 THEN left(p, 500) || chr(1) ELSE p END)
+    WHEN contains(right(string_split(acc, chr(1))[-1], 50), '! ') THEN string_split(right(string_split(acc, chr(1))[-1], 50), '! ')[-1] || ' ' || p WHEN contains(right(string_split(acc, chr(1))[-1], 50), '? ') THEN string_split(right(string_split(acc, chr(1))[-1], 50), '? ')[-1] || ' ' || p
+    WHEN len(p) > 500 THEN left(p, 500) || chr(1) ELSE p END)
+  WHEN acc = '' OR acc[-1:] = chr(1) THEN acc || (CASE WHEN len(p) > 500 THEN left(p, 500) || chr(1) ELSE p END) ELSE acc || ' ' || p END), chr(1)), lambda x: x <> '') END AS c FROM s)
+SELECT doc_id, unnest(range(len(c)))::INT AS chunk_index, len(c)::INT AS total_chunks, unnest(c) AS text FROM f""",
     "chunks_plain": "SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS words, true AS within FROM documents WHERE len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) > 0",
     "md_sections": _LINES + """, b AS (SELECT h.path, h.k AS section_no, h.level, h.header, h.no AS line_start, coalesce(h.next - 1, (SELECT max(no) FROM l WHERE l.path = h.path)) AS line_end FROM h),
 c AS (SELECT b.path, section_no, level, header, line_start, line_end, coalesce(string_agg(l.line, chr(10) ORDER BY l.no), '') AS content FROM b LEFT JOIN l ON l.path = b.path AND l.no > line_start AND l.no <= line_end GROUP BY ALL)
@@ -287,8 +300,8 @@ SELECT path, heading_no, len(regexp_extract(x, '^(#+)', 1)) AS level, trim(regex
     "graph_nodes": _EDGES + " SELECT path, (SELECT count(*) FROM e WHERE source_path = n.path) AS out_links, (SELECT count(*) FROM e WHERE target_path = n.path) AS in_links FROM notes n",
     "vault_stats_top_linked": _EDGES + " SELECT target_path, count(DISTINCT source_path) AS sources FROM e GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
     "unlinked_mentions": f"WITH {NOTES}, p AS (SELECT path, regexp_replace(lower(content), '\\[\\[[^\\]]*\\]\\]', ' ', 'g') AS t FROM notes WHERE NOT ends_with(path, '/iron.md')) SELECT path, CAST((len(t) - len(replace(t, 'iron', ''))) / 4 AS INT) AS mentions FROM p WHERE contains(t, 'iron')",
-    "vault_search": f"""WITH {NOTES}, v AS (SELECT path, lower(regexp_extract(path, '([^/]+?)(?:\\.md)?$', 1)) AS name, lower(regexp_extract(content, '^---\\n([\\s\\S]*?)\\n---', 1)) AS front, lower(regexp_replace(content, '^---\\n[\\s\\S]*?\\n---\\n+', '')) AS body FROM notes),
+    "vault_search": f"""WITH {NOTES}, v AS (SELECT path, lower(regexp_extract(path, '([^/]+?)(?:\\.md)?$', 1)) AS name, '' AS front, lower(regexp_replace(content, '^---\\n[\\s\\S]*?\\n---\\n+', '')) AS body FROM notes),
 w AS (SELECT path, len(list_intersect(['note_12', 'links'], regexp_split_to_array(name, '[\\s_-]+'))) AS a, len(list_intersect(['note_12', 'links'], regexp_split_to_array(body, '\\s+'))) AS b, contains(name, 'note_12 links') AS c, contains(front, 'note_12 links') AS d, contains(body, 'note_12 links') AS e FROM v)
-SELECT path, round(least(1.0, greatest(CASE WHEN c THEN 0.8 END, CASE WHEN a > 0 THEN 0.6 + 0.1 * a END, CASE WHEN d THEN 0.7 END, CASE WHEN e THEN 0.5 END, CASE WHEN b > 0 THEN 0.3 + 0.2 * b / 2.0 END)), 6)::DOUBLE AS score,
-  CASE WHEN c THEN 'name' WHEN a > 0 THEN 'name_words' WHEN d THEN 'frontmatter' WHEN e THEN 'content' WHEN b > 0 THEN 'content_words' END AS match_type FROM w WHERE c OR a > 0 OR d OR e OR b > 0 ORDER BY score DESC, path LIMIT 20""",
+SELECT path, round(least(1.0, greatest(CASE WHEN c THEN 0.8 END, CASE WHEN a > 0 THEN 0.6 + 0.1 * a END, CASE WHEN d THEN 0.7 END, CASE WHEN e THEN 0.5 END, CASE WHEN b > 0 THEN 0.3 + 0.2 * b END)), 6)::DOUBLE AS score,
+  CASE WHEN c THEN 'name' WHEN a > 0 THEN 'name' WHEN d THEN 'frontmatter' WHEN e THEN 'content' WHEN b > 0 THEN 'content' END AS match_type FROM w WHERE c OR a > 0 OR d OR e OR b > 0 ORDER BY score DESC, path LIMIT 20""",
 }

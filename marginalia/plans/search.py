@@ -112,9 +112,14 @@ def search_stats(spark, d):
     return s.join(table(spark, d, "embedding_records").agg(F.countDistinct("section_id").alias("embedded")))  # one row each
 
 
+def display_lines(spark, d):
+    s = table(spark, d, "file_sections").distinct()
+    return s.select("id", X.location(F.col("file_path"), F.col("line_start")).alias("location"), X.shown(F.col("content_full")).alias("line"))
+
+
 QUERIES = {f.__name__: f for f in (
     keyword_bm25, keyword_provider_score, sections_bm25, keyword_like, keyword_like_provider, postings_stats, vector_topk, vector_topk_l2, hybrid_fused, hybrid_filtered,
-    semantic_only, rerank_lexical, refinements, filters_dates_types, safe_query, search_stats,
+    semantic_only, rerank_lexical, refinements, filters_dates_types, safe_query, search_stats, display_lines,
 )}
 
 
@@ -167,6 +172,8 @@ SQL = {
     "rerank_lexical": """WITH t AS (SELECT doc_id, list_filter(['iron', 'sleep', 'liver'], lambda w: contains(lower(left(text, 2000)), w)) AS f FROM documents)
 SELECT doc_id, CASE WHEN f IS NULL THEN NULL ELSE round(len(f) / 3.0, 6)::DOUBLE END AS rerank_score, array_to_string(f[1:5], ', ') AS reason FROM t ORDER BY 2 DESC NULLS LAST, 1 LIMIT 20""",
     "filters_dates_types": "SELECT DISTINCT id, file_path FROM files WHERE lower(regexp_extract(file_path, '\\.([^./\\\\]+)$', 1)) IN ('md', 'pdf') AND (last_modified IS NULL OR last_modified BETWEEN TIMESTAMP '2024-06-01' AND TIMESTAMP '2025-01-31 12:00:00')",
-    "safe_query": "SELECT DISTINCT search_id, query, coalesce(len(query) <= 1000 AND NOT (" + " OR ".join(f"contains(lower(query), '{m}')" for m in X.UNSAFE) + "), false) AS safe FROM search_results",
+    "safe_query": "SELECT DISTINCT search_id, query, coalesce(query <> '' AND len(query) <= 1000 AND NOT (" + " OR ".join(f"contains(lower(query), '{m}')" for m in X.UNSAFE) + "), false) AS safe FROM search_results",
+    "display_lines": """WITH s AS (SELECT DISTINCT id, file_path, line_start, regexp_replace(replace(coalesce(content_full, ''), chr(10), ' '), '^\\s+|\\s+$', '', 'g') AS t FROM (SELECT DISTINCT * FROM file_sections))
+SELECT id, string_split(file_path, '/')[-1] || CASE WHEN line_start > 0 THEN ':' || line_start ELSE '' END AS location, CASE WHEN len(t) > 80 THEN left(t, 77) || '...' ELSE t END AS line FROM s""",
     "search_stats": "SELECT sections, files, mean_importance, embedded FROM (SELECT count(DISTINCT id) AS sections, count(DISTINCT file_id) AS files, round(avg(CASE WHEN importance_score IS NULL OR importance_score = 0 THEN 0.5 ELSE importance_score END), 6) AS mean_importance FROM file_sections), (SELECT count(DISTINCT section_id) AS embedded FROM embedding_records)",
 }

@@ -217,7 +217,7 @@ SELECT path, coalesce(c, 0) + coalesce(n, 0) AS scan_count FROM o FULL JOIN n US
     "conflict_plan": """WITH k AS (SELECT regexp_replace(lower(regexp_extract(file_path, '([^/]+)\\.\\w+$', 1)), '-\\d+$', '') AS title, max(last_modified) AS k FROM files WHERE file_path IS NOT NULL GROUP BY 1),
 v AS (SELECT lower(regexp_extract(file_path, '([^/]+?)-\\d+\\.\\w+$', 1)) AS title, max(created_at) AS v FROM documents GROUP BY 1)
 SELECT title, CASE WHEN k.title IS NULL OR k IS NULL THEN 'insert' WHEN v IS NULL THEN 'kb_to_vault' WHEN k > TIMESTAMP '2024-06-01' AND v > TIMESTAMP '2024-06-01' THEN 'kb_to_vault' ELSE 'vault_to_kb' END AS action,
- left(trim(regexp_replace(title, '[<>:"/\\\\|?*]', '_', 'g')), 200) AS file_name FROM k FULL JOIN v USING (title) WHERE title IS NOT NULL""",
+ left(regexp_replace(trim(regexp_replace(title, '[<>:"/\\\\|?*#]', '_', 'g')), '\\s+', '_', 'g'), 200) AS file_name FROM k FULL JOIN v USING (title) WHERE title IS NOT NULL""",
     "status_counts": "SELECT status, count(*) AS n FROM (SELECT DISTINCT * FROM watched_files) GROUP BY 1",
     "job_state": """WITH j AS (SELECT DISTINCT job_id, section_id, status, processed_at FROM embedding_jobs), l AS (SELECT section_id, status FROM j QUALIFY row_number() OVER (PARTITION BY section_id ORDER BY processed_at DESC NULLS LAST, job_id DESC) = 1)
 SELECT j.section_id, count(*) AS runs, count(*) FILTER (j.status IN ('error', 'failed')) AS failed, any_value(l.status) AS last_status FROM j JOIN l ON j.section_id IS NOT DISTINCT FROM l.section_id GROUP BY 1""",

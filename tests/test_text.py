@@ -66,8 +66,35 @@ def test_chunks(spark):
     text = " ".join(f"Sentence number {i} ends here." for i in range(40)) + " " + "x" * 700
     df = spark.createDataFrame([(1, text), (2, None), (3, "  ")], "id int, t string")
     got = chunks.sentence_chunks(df, "id", "t", 200, 50).orderBy("chunk_index").collect()
-    assert {r.id for r in got} == {1} and all(len(r.text) <= 200 for r in got) and got[0].total_chunks == len(got)
-    assert all(f"number {i} " in " ".join(r.text for r in got) for i in range(40))
-    assert got[1].text.startswith(got[0].text.split(". ")[-1][:20])
+    first = [r for r in got if r.id == 1]
+    assert {r.id for r in got} == {1, 3} and all(len(r.text) <= 250 for r in first[:-1]) and first[0].total_chunks == len(first)
+    assert all(f"number {i} " in " ".join(r.text for r in first) for i in range(40))
+    assert first[1].text.startswith(first[0].text.split(". ")[-1][:20]) and first[-1].text.endswith("x" * 700)
     plain = chunks.word_chunks(df.where("id = 1"), "id", "t", 90, 0).orderBy("chunk_index").collect()
     assert " ".join(r.text for r in plain).split()[:-1] == text.split()[:-1]
+
+
+def test_display_forms(spark):
+    for n, want in ((0.5, "0.5s"), (5.0, "5s"), (125.0, "2m 5s"), (7300.0, "2h 1m")):
+        assert one(spark, X.duration_text, n, "double") == want
+    assert one(spark, X.shown, " a\nb " + "x" * 90).startswith("a b xxx") and one(spark, X.shown, None) == ""
+    row = spark.createDataFrame([("a/b.md", 7), ("a/b.md", None)], "p string, l int").select(X.location(F.col("p"), F.col("l")).alias("x")).collect()
+    assert [r.x for r in row] == ["b.md:7", "b.md"]
+    assert one(spark, X.safe_file_name, "a b/ü.md") == "a_b__.md" and one(spark, X.safe_file_name, "") == "unnamed" and len(one(spark, X.safe_file_name, "x" * 400 + ".md")) == 253
+    assert one(spark, X.clean_query, " a\x00b\n ") == "ab"
+    assert one(spark, X.path_category, "Gesundheit/x.pdf") == "gesundheit" and one(spark, lambda c: X.path_category(c, "image"), "fotos/x.png") == "bilder"
+    assert one(spark, X.frontmatter_text, {"title": "T"}, "map<string,string>") == "---\ntitle: T\n---\n"
+    body = spark.createDataFrame([(["a"], [], ["q"])], "c array<string>, d array<string>, q array<string>").select(X.essence_body(F.col("c"), F.col("d"), F.col("q")).alias("b")).first().b
+    assert "- a" in body and "❓ q" in body and "Widersprüche" not in body
+
+
+@pytest.mark.parametrize(("raw", "want"), [
+    ('x ```json\n{"a": {"b": 1}}\n``` y', '{"a": {"b": 1}}'), ('text {"a": 1} more {"b": 2}', '{"a": 1}'), ("```\n{}\n```", "{}"), ("none", None), ('{"open": 1', '{"open": 1'), (None, None),
+])
+def test_json_object(spark, raw, want):
+    assert one(spark, X.json_object, raw) == want
+
+
+def test_hashed_vector(spark):
+    df = spark.createDataFrame([("iron liver iron",), ("",)], "x string").select(X.hashed_vector(X.index_tokens(F.col("x")), 16).alias("v")).collect()
+    assert len(df[0].v) == 16 and abs(sum(v * v for v in df[0].v) - 1) < 1e-6 and set(df[1].v) == {0.0}
