@@ -22,8 +22,23 @@ def index_tokens(c: Column) -> Column:
 
 
 def keyword_tokens(c: Column, least: int = 4) -> Column:
-    """Whole words of Latin and German letters with at least ``least`` of them."""
-    return F.filter(words(c), lambda t: t.rlike(f"^[a-zäöüß]{{{least},}}$"))
+    """Whole words of Latin and German letters with at least ``least`` of them; one pass of one pattern."""
+    edge = r"[\p{L}\p{N}_]"
+    return F.regexp_extract_all(F.lower(c), F.lit(rf"(?<!{edge})([a-zäöüß]{{{least},}})(?!{edge})"), F.lit(1))
+
+
+def token_count(c: Column) -> Column:
+    """The number of ``index_tokens``; folding does not change it."""
+    return F.regexp_count(c, F.lit(r"[\p{L}\p{N}]+"))
+
+
+def term_frequency(low: Column, term: str) -> Column:
+    """How many ``index_tokens`` of a lower-case text equal a folded term: its letters stand for their variants instead."""
+    def variants(ch: str) -> str:
+        same = "".join(f for f, t in zip(FOLD_FROM, FOLD_TO) if t == ch)
+        return f"[{ch}{same}]" if same else ch
+
+    return F.regexp_count(low, F.lit(r"(?<![\p{L}\p{N}])" + "".join(map(variants, term)) + r"(?![\p{L}\p{N}])"))
 
 
 def umlauts(c: Column) -> Column:

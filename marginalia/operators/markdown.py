@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.text import heading_slug, preview, word_count
 
+ANY_LINK = r"(!?\[\[[^\]\|#]+(?:#[^\]\|]+)?(?:\|[^\]]+)?\]\])"
 LINK = r"(!?)\[\[([^\]\|#]+)(?:#([^\]\|]+))?(?:\|([^\]]+))?\]\]"
 
 
@@ -87,13 +88,12 @@ def front_list(fields: Column, key: str) -> Column:
 
 def wikilinks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, link_no, target, heading, alias, is_embed) of every ``[[target#heading|alias]]``, in order."""
-    group = lambda i: F.regexp_extract_all(F.col(text_col), F.lit(LINK), F.lit(i))
-    zipped = F.arrays_zip(*[group(i).alias(n) for i, n in ((1, "bang"), (2, "target"), (3, "heading"), (4, "alias"))])
-    rows = df.select(F.col(id_col), F.posexplode(zipped).alias("i", "l"))
+    found = F.regexp_extract_all(F.col(text_col), F.lit(ANY_LINK), F.lit(1))
+    rows = df.where(F.contains(F.col(text_col), F.lit("[["))).select(F.col(id_col), F.posexplode(found).alias("i", "l"))
+    part = lambda i: F.regexp_extract("l", LINK, i)
     none = lambda c: F.when(c != "", F.trim(c))
     return rows.select(
-        id_col, (F.col("i") + 1).alias("link_no"), F.trim(F.col("l").getField("target")).alias("target"),
-        none(F.col("l").getField("heading")).alias("heading"), none(F.col("l").getField("alias")).alias("alias"), (F.col("l").getField("bang") == "!").alias("is_embed"),
+        id_col, (F.col("i") + 1).alias("link_no"), F.trim(part(2)).alias("target"), none(part(3)).alias("heading"), none(part(4)).alias("alias"), F.col("l").startswith("!").alias("is_embed"),
     )
 
 

@@ -7,16 +7,18 @@ inverted table for workloads with many queries.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from marginalia.config import SearchConfig
-from marginalia.functions.text import FOLD_FROM, FOLD_TO, cosine, importance, index_tokens, suffix
+from marginalia.functions.text import FOLD_FROM, FOLD_TO, cosine, importance, index_tokens, suffix, term_frequency, token_count
+from marginalia.session import stored
 
 
 def query_terms(query: str) -> list[str]:
@@ -29,22 +31,24 @@ def bm25(df: DataFrame, id_col: str, text: Column, query: str, limit: int = 100,
     """(id, rank, row_num): rows with all terms, best (most negative) rank first, ties by id.
 
     rank = -sum idf f (k1 + 1) / (f + k1 (1 - b + b len / avg)), idf = max(ln((N - n + 0.5) / (n + 0.5)), 1e-6). Null texts count
-    as empty documents; a query without terms finds nothing.
+    as empty documents; a query without terms finds nothing. One pass over the texts: the corpus statistics are observed
+    while the rows with all terms (id, length, frequencies) are written to the shared folder.
     """
     terms = query_terms(query)
     if not terms:
         return df.select(F.col(id_col), F.lit(0.0).alias("rank"), F.lit(0).alias("row_num")).limit(0)
-    tokens = F.coalesce(index_tokens(text), F.array().cast("array<string>"))
-    base = df.select(F.col(id_col), tokens.alias("__t"))
-    times = lambda t: F.size(F.filter("__t", lambda x: x == F.lit(t)))
-    base = base.select(id_col, F.size("__t").alias("__len"), *[times(t).alias(f"__f{i}") for i, t in enumerate(terms)])
-    stats = base.agg(F.count("*").alias("__n"), F.avg("__len").alias("__avg"), *[F.count_if(F.col(f"__f{i}") > 0).alias(f"__d{i}") for i in range(len(terms))])
-    hit = base.where(" AND ".join(f"__f{i} > 0" for i in range(len(terms)))).join(F.broadcast(stats))  # one row
+    low = df.select(F.col(id_col), F.coalesce(F.lower(text), F.lit("")).alias("__x"))
+    base = low.select(id_col, token_count(F.col("__x")).alias("__len"), *[term_frequency(F.col("__x"), t).alias(f"__f{i}") for i, t in enumerate(terms)])
+    seen = Observation("bm25")
+    counted = base.observe(seen, F.count(F.lit(1)).alias("n"), F.sum("__len").alias("total"), *[F.count_if(F.col(f"__f{i}") > 0).alias(f"d{i}") for i in range(len(terms))])
+    hit = stored(counted.where(" AND ".join(f"__f{i} > 0" for i in range(len(terms)))), "hits")
+    stats = seen.get
+    n, average = stats["n"], max(1, stats["total"] or 0) / max(1, stats["n"])
     score = F.lit(0.0)
     for i in range(len(terms)):
-        f, n = F.col(f"__f{i}"), F.col(f"__d{i}")
-        idf = F.greatest(F.ln((F.col("__n") - n + 0.5) / (n + 0.5)), F.lit(1e-6))
-        score = score + idf * f * (cfg.k1 + 1) / (f + cfg.k1 * (1 - cfg.b + cfg.b * F.col("__len") / F.col("__avg")))
+        f, d = F.col(f"__f{i}"), stats[f"d{i}"]
+        idf = max(math.log((n - d + 0.5) / (d + 0.5)), 1e-6)
+        score = score + idf * f * (cfg.k1 + 1) / (f + cfg.k1 * (1 - cfg.b + cfg.b * F.col("__len") / average))
     top = hit.select(id_col, (-score).alias("rank")).orderBy("rank", id_col).limit(limit)
     return top.withColumn("row_num", F.row_number().over(W.orderBy("rank", id_col)))  # at most ``limit`` rows
 
