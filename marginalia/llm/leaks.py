@@ -15,7 +15,7 @@ from marginalia.llm.batches import values
 #: A word is a maximal run of letters and digits, in lower case.
 WORD = re.compile(r"[^\W_]+")
 #: Texts of items that one pass may hold, in characters; more items are taken in several passes.
-PASS_CHARS = 20_000_000
+PASS_CHARS = 2_000_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Texts are put together up to so many words before they are compared.
 TOGETHER = 200_000
