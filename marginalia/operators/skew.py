@@ -27,13 +27,15 @@ def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left
         return left.join(right, on, how)
     floor = max(HOT_ROWS // salts, int(total * HOT_SHARE))
     hot = left.dropna(subset=on).groupBy(*on).count().where(F.col("count") > floor).select(*on, F.lit(True).alias("__hot"))
-    salted = left.join(F.broadcast(hot), on, "left").withColumn(
-        "__salt", F.when(F.col("__hot"), F.floor(F.rand(7) * salts).cast("int")).otherwise(F.lit(0))
+    # a hash of the row, not a random number: a task that is run again must send each row to the same place
+    plain = [F.col(c) for c, kind in left.dtypes if "map<" not in kind and "variant" not in kind]
+    salted = left.withColumn("__row", F.xxhash64(*plain)).join(F.broadcast(hot), on, "left").withColumn(
+        "__salt", F.when(F.col("__hot"), F.pmod("__row", F.lit(salts)).cast("int")).otherwise(F.lit(0))
     )
     copies = right.join(F.broadcast(hot), on, "left").withColumn(
         "__salt", F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
     )
-    return salted.drop("__hot").join(copies.drop("__hot"), [*on, "__salt"], how).drop("__salt")
+    return salted.drop("__hot", "__row").join(copies.drop("__hot"), [*on, "__salt"], how).drop("__salt")
 
 
 def rank_within(df: DataFrame, group: list[str], unique: Column, out: str, slices: int = 64) -> DataFrame:

@@ -171,6 +171,11 @@ SQL = {
     "semantic_only": _hybrid("SELECT * FROM documents", 20, False),
     "rerank_lexical": """WITH t AS (SELECT doc_id, list_filter(['iron', 'sleep', 'liver'], lambda w: contains(lower(left(text, 2000)), w)) AS f FROM documents)
 SELECT doc_id, CASE WHEN f IS NULL THEN NULL ELSE round(len(f) / 3.0, 6)::DOUBLE END AS rerank_score, array_to_string(f[1:5], ', ') AS reason FROM t ORDER BY 2 DESC NULLS LAST, 1 LIMIT 20""",
+    "refinements": """WITH s AS (SELECT DISTINCT id, section_header, content_full, CASE WHEN keywords IS NULL OR trim(keywords) = '' THEN [] WHEN ltrim(keywords) LIKE '[%' THEN list_filter(list_transform(CAST(try_cast(keywords AS JSON) AS VARCHAR[]), lambda x: trim(x)), lambda x: x <> '')
+  ELSE list_filter(list_transform(string_split(keywords, ','), lambda x: trim(x)), lambda x: x <> '') END AS keys FROM file_sections),
+h AS (SELECT id, keys FROM s WHERE contains(lower(section_header), 'iron') OR contains(lower(content_full), 'iron') ORDER BY id LIMIT 5), t AS (SELECT keys, row_number() OVER (ORDER BY id) AS n FROM h ORDER BY id LIMIT 3),
+k AS (SELECT n, unnest(range(len(keys))) AS i, lower(unnest(keys)) AS k FROM t), m AS (SELECT k, min(n * 1000 + i) AS o FROM k WHERE k <> 'iron' GROUP BY 1 ORDER BY o LIMIT 5)
+SELECT k AS suggestion, row_number() OVER (ORDER BY o)::INT AS position FROM m""",
     "filters_dates_types": "SELECT DISTINCT id, file_path FROM files WHERE lower(regexp_extract(file_path, '\\.([^./\\\\]+)$', 1)) IN ('md', 'pdf') AND (last_modified IS NULL OR last_modified BETWEEN TIMESTAMP '2024-06-01' AND TIMESTAMP '2025-01-31 12:00:00')",
     "safe_query": "SELECT DISTINCT search_id, query, coalesce(query <> '' AND len(query) <= 1000 AND NOT (" + " OR ".join(f"contains(lower(query), '{m}')" for m in X.UNSAFE) + "), false) AS safe FROM search_results",
     "display_lines": """WITH s AS (SELECT DISTINCT id, file_path, line_start, regexp_replace(replace(coalesce(content_full, ''), chr(10), ' '), '^\\s+|\\s+$', '', 'g') AS t FROM (SELECT DISTINCT * FROM file_sections))
