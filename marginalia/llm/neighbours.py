@@ -24,9 +24,8 @@ BLOCK = 8192
 #: Dimensions looked at in one step, and the tests' strictness (Gao and Long, ADSampling): a candidate is given up if its
 #: partial distance is improbable, at so many deviations, for a vector that is near enough.
 STEP, STRICT = 32, 3.0
-#: A list is probed if a neighbour just similar enough would fall into it, at so many deviations. A pair is found from
-#: either side, so both must fail for it to be missed.
-PROBE = 1.25
+#: A list is probed if a neighbour just similar enough could lie in it, at so many deviations of what sets the two apart.
+PROBE = 3.5
 #: Keys of outdated vectors and copies that are broadcast at most; beyond, they are removed by a shuffle.
 BROADCAST_KEYS = 4_000_000
 
@@ -54,6 +53,22 @@ def centres(sample: np.ndarray, lists: int) -> np.ndarray:
     return c
 
 
+def spread(sample: np.ndarray, c: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """Deviation, along the difference of every two centres, of the unit vector that sets a neighbour apart: the greatest of three.
+
+    It is spread evenly over all dimensions, like what sets vectors apart from their centre, or like the vectors themselves.
+    """
+    apart = sample - c[near] * np.einsum("ij,ij->i", sample, c[near])[:, None]
+    apart /= np.maximum(np.linalg.norm(apart, axis=1, keepdims=True), 1e-12)
+    out = np.zeros((len(c), len(c)), np.float32)
+    for x in (None, apart, sample):
+        moved = c / math.sqrt(c.shape[1]) if x is None else c @ np.linalg.cholesky(x.T.astype(np.float64) @ x / len(x) + 1e-9 * np.eye(c.shape[1]))
+        moved = moved.astype(np.float32)
+        norm = (moved**2).sum(axis=1)
+        np.maximum(out, norm[:, None] + norm - 2 * (moved @ moved.T), out=out)
+    return np.sqrt(out)
+
+
 def scan(base: np.ndarray, queries: np.ndarray, base_ids: np.ndarray, query_ids: np.ndarray, k: int, floor: float, both: bool) -> tuple[np.ndarray, ...]:
     """(id, neighbour, similarity) of each query's best in ``base`` of at least ``floor``, and with ``both`` of each base vector's best among the queries.
 
@@ -186,15 +201,27 @@ class VectorIndex:
             near = np.concatenate([(unit[i : i + 4096] @ self.centres.T).argmax(axis=1) for i in range(0, len(unit), 4096)])
             share = np.bincount(near, minlength=len(self.centres)) / len(unit)
             self.blocks = np.maximum(1, np.ceil(share * self.size / BLOCK)).astype(np.int64)
+            self.spread = spread(unit, self.centres, near)
         else:
             self.blocks = np.ones(len(self.centres), np.int64)
+            self.spread = np.zeros((len(self.centres), len(self.centres)), np.float32)
+
+    def limits(self, floor: float, both: bool) -> np.ndarray:
+        """How much nearer than list j its home h may be to a query that probes j, by (h, j).
+
+        Let x and y have similarity s, homes h and j and leads a and b (of h over j for x, of j over h for y). What sets y
+        apart from x then deviates by s a + b along the difference of the centres, and the other way round by s b + a. So
+        at PROBE deviations the smaller lead is at most tan(angle / 2) of them: with ``both`` that side finds the pair.
+        Otherwise only x asks, and b may be 0.
+        """
+        near = 1 + floor if both else floor
+        return (PROBE * math.sqrt(max(0.0, 1 - floor * floor)) / near if near > 0 else np.inf) * self.spread
 
     def routed(self, floor: float, probes: int | None, asked: DataFrame | None) -> DataFrame:
         """(cell, vec_id, home, asks, vector): each vector to its list, and queries to the lists they probe."""
         c, turn, dim, blocks = self.centres, self.turn, self.dim, self.blocks
         first = np.concatenate(([0], np.cumsum(blocks)))[:-1]
-        gap = np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T))) if len(c) else np.zeros((0, 0))
-        reach = math.sqrt(max(0.0, 1 - floor * floor)) * PROBE / math.sqrt(dim)
+        limits = self.limits(floor, asked is None) if probes is None else None
         rows = self.vectors
         if asked is None:
             rows = rows.withColumn("asks", F.lit(True))
@@ -212,7 +239,7 @@ class VectorIndex:
                     home = sims.argmax(axis=1)
                     lead = sims[np.arange(len(v)), home][:, None] - sims
                     if probes is None:
-                        probe = floor * lead <= reach * gap[home]
+                        probe = lead <= limits[home]
                     else:
                         kth = np.partition(lead, min(probes, lead.shape[1]) - 1, axis=1)[:, min(probes, lead.shape[1]) - 1]
                         probe = lead <= kth[:, None]
@@ -242,7 +269,7 @@ class VectorIndex:
         """(key, neighbour, similarity, place): each key's k most similar others with a similarity of at least ``floor``.
 
         ``asked`` (vec_id) limits the keys that are looked up, never those found. Without ``probes`` a list is probed if a
-        neighbour at ``floor`` could lie in it, at PROBE deviations; with it the nearest so many lists are. Of equal
+        neighbour at ``floor`` could lie in it, at PROBE deviations (see ``limits``); with it the nearest so many lists are. Of equal
         similarities (to six places) the smaller key comes first. Classes of equal vectors are expanded by their
         first k + 1 keys, which is all a list of k can hold.
         """

@@ -102,3 +102,24 @@ def test_other_dimensions(spark, dim):
     v = fixture(60, dim)
     got = {tuple(r) for r in neighbours.similar_pairs(neighbours.VectorIndex(frame(spark, v), dim)).collect()}
     assert got == {tuple(sorted((a, b))) for a, near in brute(v).items() for b in near}
+
+
+@pytest.mark.parametrize("asked", [False, True])
+@pytest.mark.parametrize("power", [0.0, 0.5])
+def test_recall_with_hundreds_of_lists(spark, monkeypatch, power, asked):
+    monkeypatch.setattr(neighbours, "PER_LIST", 10)
+    rng = np.random.default_rng(4)
+    x, r = rng.standard_normal((2, 1500, 128)) * np.arange(1, 129) ** -power
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    r -= x * (r * x).sum(axis=1, keepdims=True)
+    r /= np.linalg.norm(r, axis=1, keepdims=True)
+    s = rng.uniform(0.801, 0.85, (1500, 1))
+    v = {f"k{i:04d}": y.astype(np.float32) for i, y in enumerate(np.concatenate((x, s * x + np.sqrt(1 - s * s) * r)))}
+    index = neighbours.VectorIndex(frame(spark, v))
+    assert index.lists == 300
+    near = index.nearest(5, 0.8, asked=index.members.where("rep < 1500").selectExpr("rep AS vec_id") if asked else None)
+    got = {(r.key, r.neighbour) for r in near.collect()}
+    want = {(a, b) for a, near in brute(v).items() for b in near if not asked or a < "k1500"}
+    if not asked:
+        got, want = ({tuple(sorted(p)) for p in pairs} for pairs in (got, want))
+    assert not got - want and len(got) >= 0.995 * len(want)
