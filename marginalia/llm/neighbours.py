@@ -178,8 +178,8 @@ class VectorIndex:
         good = stored(self.rows.mapInArrow(usable, "vec_id bigint, key string, at timestamp_ntz, same bigint"), "usable")
         newest = good.groupBy("key").agg(F.max(F.struct("at", "vec_id", "same")).alias("r")).select("key", "r.vec_id", "r.same")
         first = newest.groupBy("same").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
-        #: key, its representative vec_id and the size of its class
-        self.members = stored(newest.join(first, "same").select("key", "rep", "n"), "members")
+        #: key, its own vec_id, the vec_id that represents its class, and the size of the class
+        self.members = stored(newest.join(first, "same").select("key", "vec_id", "rep", "n"), "members")
         reps = self.members.select(F.col("rep").alias("vec_id")).distinct()
         self.size = reps.count()
         out = stored(good.select("vec_id").distinct().join(reps, "vec_id", "left_anti"), "outdated")
@@ -218,7 +218,7 @@ class VectorIndex:
         return (PROBE * math.sqrt(max(0.0, 1 - floor * floor)) / near if near > 0 else np.inf) * self.spread
 
     def routed(self, floor: float, probes: int | None, asked: DataFrame | None) -> DataFrame:
-        """(cell, vec_id, home, asks, vector): each vector to its list, and queries to the lists they probe."""
+        """(cell, vec_id, home, asks, vector): each vector to its list, and queries (``asked``: representatives) to the lists they probe."""
         c, turn, dim, blocks = self.centres, self.turn, self.dim, self.blocks
         first = np.concatenate(([0], np.cumsum(blocks)))[:-1]
         limits = self.limits(floor, asked is None) if probes is None else None
@@ -268,7 +268,7 @@ class VectorIndex:
     def nearest(self, k: int = 5, floor: float = 0.8, probes: int | None = None, asked: DataFrame | None = None) -> DataFrame:
         """(key, neighbour, similarity, place): each key's k most similar others with a similarity of at least ``floor``.
 
-        ``asked`` (vec_id) limits the keys that are looked up, never those found. Without ``probes`` a list is probed if a
+        ``asked`` (each key's own vec_id) limits the keys that are looked up, never those found. Without ``probes`` a list is probed if a
         neighbour at ``floor`` could lie in it, at PROBE deviations (see ``limits``); with it the nearest so many lists are. Of equal
         similarities (to six places) the smaller key comes first. Classes of equal vectors are expanded by their
         first k + 1 keys, which is all a list of k can hold.
@@ -284,14 +284,15 @@ class VectorIndex:
             a, b, s = (np.concatenate(c) for c in zip(*parts))
             return pd.DataFrame({"a": a, "b": b, "similarity": np.round(s.astype(np.float64), 6)})
 
+        mine = self.members
+        if asked is not None:
+            mine = mine.join(asked.select("vec_id").distinct(), "vec_id", "left_semi")
+            asked = mine.select(F.col("rep").alias("vec_id")).distinct()
         routed = self.routed(floor, probes, asked)
         found = routed.groupBy("cell").applyInPandas(search, "a bigint, b bigint, similarity double")
         found = found.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
         firsts = self.members.withColumn("i", F.row_number().over(W.partitionBy("rep").orderBy("key"))).where(F.col("i") <= k + 1)
         other = firsts.select(F.col("rep").alias("b"), F.col("key").alias("neighbour"))
-        mine = self.members
-        if asked is not None:
-            mine = mine.join(asked.select(F.col("vec_id").alias("rep")).distinct(), "rep", "left_semi")
         apart = found.join(other, "b").join(mine.select(F.col("rep").alias("a"), "key"), "a").select("key", "neighbour", "similarity")
         alike = mine.where("n > 1").join(firsts.select("rep", F.col("key").alias("neighbour")), "rep").where("key <> neighbour").select("key", "neighbour", F.lit(1.0).alias("similarity"))
         place = F.row_number().over(W.partitionBy("key").orderBy(F.desc("similarity"), "neighbour"))

@@ -3,7 +3,7 @@ import datetime as dt
 import numpy as np
 import pytest
 
-from marginalia.llm import neighbours
+from marginalia.llm import neighbours, queries
 
 
 def brute(vectors, k=5, floor=0.8):
@@ -123,3 +123,18 @@ def test_recall_with_hundreds_of_lists(spark, monkeypatch, power, asked):
     if not asked:
         got, want = ({tuple(sorted(p)) for p in pairs} for pairs in (got, want))
     assert not got - want and len(got) >= 0.995 * len(want)
+
+
+def test_topk_asks_by_own_job(spark, tmp_path):
+    """Equal vectors in a third of the rows: sections are asked by their own job_id, not by the least of their class."""
+    v = fixture(120)
+    copy = v[next(iter(v))]
+    v |= {f"c{i:03d}": copy for i in range(60)}
+    ids = [i + 101 for i in range(len(v))]  # the class is represented by 101
+    rows = [(i, key, dt.datetime(2024, 1, 1), "completed", [float(x) for x in y]) for i, (key, y) in zip(ids, v.items())]
+    spark.createDataFrame(rows, "job_id long, section_id string, processed_at timestamp_ntz, status string, embedding array<float>").write.parquet(f"{tmp_path}/embedding_jobs.parquet")
+    got = {}
+    for r in queries.p7_topk(spark, str(tmp_path)).orderBy("section_id", "place").collect():
+        got.setdefault(r.section_id, []).append(r.similar_id)
+    want = brute(v, 5, -1.0)
+    assert got == {key: want[key] for i, key in zip(ids, v) if i % 20 == 0}
