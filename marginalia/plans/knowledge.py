@@ -13,7 +13,7 @@ from marginalia.streaming import windows
 def _essences(spark, d):
     """Sections as essences: keywords as they are, the header as entity."""
     s = table(spark, d, "file_sections").distinct()
-    return s.select("id", "file_id", "parent_section_id", "section_header", "content_preview", "section_level", "created_at", X.keyword_array(F.col("keywords")).alias("keys"),
+    return s.select("id", "file_id", "parent_section_id", "section_header", "content_preview", "content_full", "section_level", "line_start", "created_at", X.keyword_array(F.col("keywords")).alias("keys"),
                     F.when(F.col("section_header").isNotNull(), F.array("section_header")).otherwise(F.array().cast("array<string>")).alias("entities"))
 
 
@@ -102,8 +102,10 @@ def report_unified_diff(spark, d):
 
 
 def report_merge(spark, d):
-    e = _essences(spark, d).where("section_header IS NOT NULL").select("file_id", F.col("section_header").alias("title"), "section_level", F.col("content_preview").alias("text"))
-    part = lambda c: e.where(c).groupBy("file_id", "title").agg(F.max("text").alias("text"))
+    """Upper and lower sections of a file merged by title, with their whole texts; same-titled sections of a side are joined in the order of their lines."""
+    e = _essences(spark, d).where("section_header IS NOT NULL").select("file_id", F.col("section_header").alias("title"), "section_level", "line_start", "id", F.col("content_full").alias("text"))
+    texts = F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("line_start", "id", "text"))))["text"]
+    part = lambda c: e.where(c).groupBy("file_id", "title").agg(F.when(F.count("text") > 0, F.array_join(texts, "\n\n")).alias("text"))
     return knowledge.merge_sections(part("section_level <= 2"), part("section_level > 2"), "file_id")
 
 

@@ -3,6 +3,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from marginalia.operators import knowledge, upkeep
+from marginalia.plans import knowledge as plans
 
 
 def test_delta(spark):
@@ -86,3 +87,17 @@ def test_generator_errors_become_rows(spark):
         raise ValueError("model is away")
 
     assert knowledge.generate(df, "id long, error string", broken).first().error == "model is away"
+
+
+def test_report_merge_takes_whole_texts(spark, tmp_path):
+    """Texts that differ only after the preview get a supplement; same-titled sections of a side are joined in order."""
+    same = "x" * 200
+    rows = [
+        ("1", "f", 1, "A", same, same + " upper", 1), ("2", "f", 3, "A", same, same + " lower", 9), ("3", "f", 2, "B", "second", "second", 30), ("4", "f", 2, "B", "first", "first", 20),
+        ("5", "f", 4, "C", None, "no preview", 40), ("6", "f", 4, "D", "cut", "cut and rest", 50), ("7", "f", 4, "D", None, None, 60), ("8", "f", 4, "E", None, None, 70),
+    ]
+    rows = [(*r[:2], None, *r[2:], None, dt.datetime(2024, 1, 1)) for r in rows + rows[:1]]  # a repeated row counts once
+    schema = "id string, file_id string, parent_section_id string, section_level int, section_header string, content_preview string, content_full string, line_start int, keywords string, created_at timestamp_ntz"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/file_sections.parquet")
+    got = {r.title: r.text for r in plans.report_merge(spark, str(tmp_path)).collect()}
+    assert got == {"A": f"{same} upper\n[supplement]\n{same} lower", "B": "first\n\nsecond", "C": "no preview", "D": "cut and rest", "E": None}
