@@ -88,3 +88,13 @@ def test_components(spark):
     got = {r.node: r.component for r in graphs.components(edges).collect()}
     assert got["c"] == got["a"] == "a" and got["y"] == "x" and {got[f"h{i}"] for i in range(10, 41)} == {"h10"} and "p" not in got
     assert graphs.components(edges.limit(0)).count() == 0
+
+
+def test_one_equal_band_is_enough(spark):
+    """Pairs with an equal band whose other registers agree in parity in fewer than 15 of 24 places."""
+    rows = []
+    for s in (1042, 1165, 1615, 2022, 2174, 2597):
+        words = [f"s{s}w{i}" for i in range(72)]
+        rows += [(f"{s}a", " ".join(words[:60])), (f"{s}b", " ".join(words[12:]))]
+    df = spark.createDataFrame(rows, "id string, content_full string")
+    assert {tuple(r) for r in nearcopies.NearCopies(df).pairs().collect()} == brute(rows)
