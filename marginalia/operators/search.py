@@ -145,14 +145,14 @@ def filter_records(df: DataFrame, path_col: str, types: list[str] | None = None,
 
 
 def lexical_rerank(df: DataFrame, id_col: str, text_col: str, query: str, limit: int = 20, scorer: Callable[[Column, list[str]], Column] | None = None) -> DataFrame:
-    """(id, rerank_score, reason): share of the query's terms in the first 2,000 characters, and up to five of them.
+    """(id, rerank_score, reason): share of the query's terms in the text, and up to five of them.
 
-    ``scorer`` may give another score from the text and the terms, for instance a model's pandas UDF.
+    ``scorer`` may give another score from the first 2,000 characters and the terms, for instance a model's pandas UDF.
     """
     terms = [t for t in dict.fromkeys(query.lower().split())]
-    text = F.lower(F.substring(F.col(text_col), 1, 2000))
+    text = F.lower(F.col(text_col))
     found = F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(text, t))
-    score = scorer(text, terms) if scorer else F.size(found) / F.lit(float(max(1, len(terms))))
+    score = scorer(F.lower(F.substring(F.col(text_col), 1, 2000)), terms) if scorer else F.size(found) / F.lit(float(max(1, len(terms))))
     out = df.select(F.col(id_col), F.round(score, 6).alias("rerank_score"), F.array_join(F.slice(found, 1, 5), ", ").alias("reason"))
     return out.orderBy(F.desc("rerank_score"), id_col).limit(limit)
 

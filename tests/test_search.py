@@ -52,3 +52,11 @@ def test_like_rerank_refine(spark):
     from marginalia.functions.text import keyword_array
 
     assert [r.suggestion for r in search.refinements(hits, "id", keyword_array(F.col("k")), "iron").orderBy("position").collect()] == ["dose", "liver", "deficit"]
+
+
+def test_rerank_scores_whole_texts(spark):
+    df = spark.createDataFrame([(1, "liver " + "x" * 3000 + " iron"), (2, "liver")], "id int, c string")
+    got = search.lexical_rerank(df, "id", "c", "iron liver", 2).collect()
+    assert [(r.id, r.rerank_score, r.reason) for r in got] == [(1, 1.0, "iron, liver"), (2, 0.5, "liver")]
+    cut = search.lexical_rerank(df, "id", "c", "iron", 2, scorer=lambda text, terms: F.length(text).cast("double"))
+    assert [r.rerank_score for r in cut.collect()] == [2000.0, 5.0]
