@@ -10,7 +10,7 @@ from marginalia.functions.text import sentences
 _STATE = "struct<done:array<string>,cur:string>"
 
 
-def _fold(parts: Column, most: int, overlap: int, carry) -> Column:
+def _fold(parts: Column, most: int, overlap: int, carry, split: bool) -> Column:
     zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur")).cast(_STATE)
 
     def step(s: Column, p: Column) -> Column:
@@ -18,8 +18,9 @@ def _fold(parts: Column, most: int, overlap: int, carry) -> Column:
         done = F.when(flush, F.concat(s["done"], F.array(s["cur"]))).otherwise(s["done"])
         cur = F.when(flush, carry(s["cur"], overlap)).otherwise(s["cur"])
         alone = (cur == "") & (F.length(p) > most)
+        pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length(p) - 1) / most).cast("int")), lambda i: F.substring(p, i * most + 1, F.lit(most)))
         return F.struct(
-            F.when(alone, F.concat(done, F.array(F.substring(p, 1, most)))).otherwise(done).alias("done"),
+            F.when(alone, F.concat(done, pieces if split else F.array(p))).otherwise(done).alias("done"),
             F.when(alone, "").when(cur == "", p).otherwise(F.concat(cur, F.lit(" "), p)).alias("cur"),
         )
 
@@ -42,18 +43,18 @@ def sentence_chunks(df: DataFrame, id_col: str, text_col: str, most: int = 500,
     """(id, chunk_index, total_chunks, text): sentences packed greedily into at most ``most`` characters.
 
     A chunk starts with the last sentence of the one before, if it begins within its last ``overlap`` characters, and
-    may exceed ``most`` by that; a sentence longer than ``most`` that starts a chunk is cut to it. A text of white space
+    may exceed ``most`` by that; a sentence longer than ``most`` that starts a chunk is split into chunks of ``most`` characters. A text of white space
     is one chunk; null and empty texts give no row.
     """
     text = F.col(text_col)
-    found = _fold(sentences(text), most, overlap, _last_sentence)
+    found = _fold(sentences(text), most, overlap, _last_sentence, True)
     return _rows(df, id_col, F.when((F.size(sentences(text)) == 0) & (text != ""), F.array(F.substring(text, 1, most))).otherwise(found))
 
 
 def word_chunks(df: DataFrame, id_col: str, text_col: str, most: int = 500, overlap: int = 50) -> DataFrame:
-    """The same with words as units; no word is lost, unless it alone is longer than ``most``."""
+    """The same with words as units; no word is lost or split, so one longer than ``most`` makes a longer chunk."""
     parts = F.filter(F.split(F.col(text_col), r"\s+"), lambda w: w != "")
-    return _rows(df, id_col, _fold(parts, most, overlap, _last_words))
+    return _rows(df, id_col, _fold(parts, most, overlap, _last_words, False))
 
 
 def _rows(df: DataFrame, id_col: str, chunks: Column) -> DataFrame:

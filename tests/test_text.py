@@ -98,3 +98,15 @@ def test_json_object(spark, raw, want):
 def test_hashed_vector(spark):
     df = spark.createDataFrame([("iron liver iron",), ("",)], "x string").select(X.hashed_vector(X.index_tokens(F.col("x")), 16).alias("v")).collect()
     assert len(df[0].v) == 16 and abs(sum(v * v for v in df[0].v) - 1) < 1e-6 and set(df[1].v) == {0.0}
+
+
+def test_chunks_keep_long_units_whole(spark):
+    long = "".join(f"{i:04d}" for i in range(300))
+    df = spark.createDataFrame([(1, long), (2, f"Short one. {long}. Last one."), (3, "")], "id int, t string")
+    got = {}
+    for r in chunks.sentence_chunks(df, "id", "t", 500, 0).orderBy("id", "chunk_index").collect():
+        got.setdefault(r.id, []).append(r.text)
+    assert got[1] == [long[:500], long[500:1000], long[1000:]] and set(got) == {1, 2}
+    assert "".join(got[2]).replace(" ", "") == f"Shortone.{long}.Lastone." and all(len(t) <= 500 for t in got[2])
+    words = chunks.word_chunks(df.where("id = 1"), "id", "t", 500, 0).collect()
+    assert [r.text for r in words] == [long]
