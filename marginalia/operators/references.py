@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marginalia.operators.commits import CommitLog, Overtaken  # noqa: F401
 from marginalia.operators.skew import skew_join
-from marginalia.session import files_of
+from marginalia.session import own_path, release, stored
 
 REFS = "id bigint, ref_table string, key string, period string, at timestamp_ntz"
 INDEX = "ref_table string, key string, live boolean, born timestamp_ntz, undated boolean, removed boolean"
+REF_COLUMNS, INDEX_COLUMNS = ([c.split(" ")[0] for c in ddl.split(", ")] for ddl in (REFS, INDEX))
 
 
 def ref_key(c: Column) -> Column:
@@ -88,71 +90,102 @@ def orphan_counts(found: DataFrame) -> DataFrame:
 
 
 class OrphanState:
-    """Keyed state that follows references, parents and removals batch by batch.
-
-    References (with their current reason) and the parent index live in ``buckets`` hash buckets of the key. A batch
-    rewrites only the buckets its keys fall into: new references probe the index, arriving parents resolve waiting
-    orphans, removals reopen resolved ones. ``current.json``, replaced last by a rename, names the generation of
-    each bucket (as many entries as there are buckets), so a batch that dies leaves the state as it was and is
-    simply applied again.
+    """Keyed state that follows references, parents and removals batch by batch: the parent index and the references that wait.
+
+    Both are logs of changes. A batch appends, in a folder of its own, the index rows of the keys it touches and the
+    references whose state it changes (with their reason, or null where they wait no longer); the commit that names the folder is made
+    last and is never replaced (see ``CommitLog``), so a batch that dies leaves the state as it was and is applied again, and
+    of two overlapping batches the later one's commit fails. Of several rows of a key those of the newest batch count. Every ``every`` batches the logs are
+    written anew without what was replaced, so reading needs so many folders at most.
+    References in order are not kept: a removal looks for those it reopens in ``known``, the table of all references so far.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, buckets: int = 64):
-        self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
-
-    def _current(self) -> dict:
-        fs, p = files_of(self.spark, f"{self.folder}/current.json")
-        if not fs.exists(p):
-            return {"gen": 0, "refs": {}, "index": {}}
-        return json.loads(self.spark.read.text(f"{self.folder}/current.json", wholetext=True).first()[0])
-
-    def _read(self, kind: str, schema: str, gens: dict[str, int], only: list[int] | None = None) -> DataFrame:
-        paths = [f"{self.folder}/{kind}/gen={g}/bucket={b}" for b, g in gens.items() if only is None or int(b) in only]
-        fs, _ = files_of(self.spark, self.folder)
-        paths = [p for p in paths if fs.exists(files_of(self.spark, p)[1])]
-        shape = T.StructType.fromDDL(schema)
-        return self.spark.read.schema(shape).parquet(*paths) if paths else self.spark.createDataFrame([], shape)
-
-    def apply(self, refs: DataFrame, arrived: DataFrame, removed: DataFrame) -> None:
-        """Take a batch: new references (``REFS``), arrived parents and removed keys (both ``INDEX``)."""
-        now = self._current()
-        gen = now["gen"] + 1
-        bucket = F.pmod(F.xxhash64("ref_table", "key"), F.lit(self.buckets)).cast("int").alias("bucket")
-        touched = sorted(
-            r[0] for r in refs.select(bucket).union(arrived.select(bucket)).union(removed.select(bucket)).distinct().collect()
-        )  # at most ``buckets`` numbers
-        if not touched:
-            return
-        old = self._read("index", INDEX, now["index"], touched)
-        gone = removed.select("ref_table", "key", F.lit(True).alias("__gone")).distinct()
-        fresh = fold(arrived.unionByName(removed.withColumn("live", F.lit(False)).withColumn("removed", F.lit(True))))
-        kept = old.join(gone, ["ref_table", "key"], "left").withColumn("live", F.col("live") & F.col("__gone").isNull()).drop("__gone")
-        index = fold(kept.unionByName(fresh.select(*kept.columns)))
-        index.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/index/gen={gen}")
-        index = self._read("index", INDEX, {str(b): gen for b in touched})
-        state = self._read("refs", REFS + ", reason string", now["refs"], touched).drop("reason")
-        probed = classify(state.unionByName(refs.select(*state.columns)).distinct(), index)
-        probed.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/refs/gen={gen}")
-        for kind in ("index", "refs"):
-            now[kind].update({str(b): gen for b in touched})
-        self._commit(now | {"gen": gen})
-
-    def _commit(self, state: dict) -> None:
-        jvm = self.spark.sparkContext._jvm
-        fs, to = files_of(self.spark, f"{self.folder}/current.json")
-        _, tmp = files_of(self.spark, f"{self.folder}/_current.json")
-        out = fs.create(tmp, True)
-        out.write(bytearray(json.dumps(state).encode()))
-        out.close()
-        fs.delete(to, False)
-        fs.rename(tmp, to)
-        del jvm
+    def __init__(self, spark: SparkSession, folder: str, every: int = 8):
+        self.spark, self.folder, self.every = spark, folder.rstrip("/"), every
+        self.log = CommitLog(spark, f"{self.folder}/log")
+
+    def _read(self, kind: str, schema: str, upto: int, *more: str) -> DataFrame:
+        folders = list(more)
+        for n in range(upto, 0, -1):
+            found = self.log.get(n)
+            folders.append(f"{found['folder']}/{kind}")
+            if "merged" in found:
+                folders.append(f"{found['merged']}/{kind}")
+                break
+        shape = T.StructType.fromDDL(schema + ", batch bigint")
+        return self.spark.read.schema(shape).parquet(*folders) if folders else self.spark.createDataFrame([], shape)
+
+    def _index(self, upto: int, *more: str) -> DataFrame:
+        fields = [c for c in INDEX_COLUMNS if c not in ("ref_table", "key")]
+        rows = self._read("index", INDEX, upto, *more).groupBy("ref_table", "key").agg(F.max_by(F.struct(*fields), "batch").alias("v"))
+        return rows.select("ref_table", "key", *[f"v.{c}" for c in fields])
+
+    def _refs(self, upto: int) -> DataFrame:
+        rows = self._read("refs", REFS + ", reason string", upto)
+        return rows.groupBy("id", "ref_table", "key", "period", "at").agg(F.max_by("reason", "batch").alias("reason")).where(F.col("reason").isNotNull())
+
+    def apply(self, refs: DataFrame, arrived: DataFrame, removed: DataFrame, known: DataFrame | None = None) -> int:
+        """Take a batch: removed keys and arrived parents (both ``INDEX``), then new references (``REFS``); the batch's number.
+
+        The removals of a batch come before its arrivals. ``known`` (``REFS``) has the references of earlier
+        batches; it is read only if there are removals, and without it a removal reopens waiting references only.
+        Repeating a batch changes nothing. New references probe the index, arriving parents resolve or reclassify the
+        waiting ones, removals reopen.
+        """
+        done = self.log.last()
+        batch, own = done + 1, f"{self.folder}/batches/{uuid.uuid4().hex}"
+        number = F.lit(batch).cast("bigint").alias("batch")
+        lost = removed.select("ref_table", "key").distinct()
+        ends = removed.withColumn("live", F.lit(False)).withColumn("removed", F.lit(True))
+        touched = fold(arrived.select(*INDEX_COLUMNS).unionByName(ends.select(*INDEX_COLUMNS)))
+        if done:  # with what the index knew of these keys; a removal ends their life, an arrival begins one
+            old = self._index(done).join(touched.select("ref_table", "key"), ["ref_table", "key"], "left_semi")
+            old = old.join(lost.withColumn("__lost", F.lit(True)), ["ref_table", "key"], "left").withColumn("live", F.col("live") & F.col("__lost").isNull())
+            touched = fold(touched.unionByName(old.select(*INDEX_COLUMNS)))
+        touched.select(*INDEX_COLUMNS, number).write.parquet(f"{own}/index")
+        fresh = refs.select(*REF_COLUMNS)
+        if done:
+            changed = self.spark.read.schema(INDEX).parquet(f"{own}/index").select("ref_table", "key")
+            fresh = fresh.unionByName(skew_join(self._refs(done).select(*REF_COLUMNS), changed, ["ref_table", "key"], "left_semi"))
+        if known is not None and not lost.isEmpty():
+            fresh = fresh.unionByName(skew_join(known.select(*REF_COLUMNS), lost, ["ref_table", "key"], "left_semi"))
+        fresh = stored(fresh.distinct(), "references")
+        found = classify(fresh, self._index(done, f"{own}/index"))
+        if not done:  # nothing waits yet, so references in order need no row
+            found = found.where(F.col("reason").isNotNull())
+        found.select(*REF_COLUMNS, "reason", number).write.parquet(f"{own}/refs")
+        release(fresh)
+        what = {"folder": own}
+        if batch % self.every == 0:
+            what["merged"] = f"{own}/merged"
+            self._index(done).withColumn("batch", F.lit(done).cast("bigint")).write.parquet(f"{own}/merged/index")
+            self._refs(done).withColumn("batch", F.lit(done).cast("bigint")).write.parquet(f"{own}/merged/refs")
+        self.log.commit(batch, what)
+        return batch
 
     def waiting(self) -> DataFrame:
         """References that are orphans now."""
-        now = self._current()
-        return self._read("refs", REFS + ", reason string", now["refs"]).where(F.col("reason").isNotNull())
+        return self._refs(self.log.last())
 
     def snapshot(self) -> DataFrame:
         """Counts by table, period and reason."""
-        return orphan_counts(self.waiting())
+        return orphan_counts(self.waiting().select("id", "ref_table", "period", "reason").distinct())
+
+
+def followed(records: DataFrame, columns: dict[str, str], parents: dict[str, tuple[DataFrame, str, str]], removals: DataFrame | None, batches: int = 2) -> OrphanState:
+    """The state after the records, parents and removals have come in ``batches`` slices of time.
+
+    Slices are bounded by quantiles of the records' times. What was removed is known from the start (a row that is there counts more than
+    the log), records and parents without a time come first. A reference waits until the batch that brings its parent.
+    """
+    spark = records.sparkSession
+    refs = stored(references(records, columns), "all")
+    bounds = refs.agg(F.percentile_approx(F.unix_micros(F.col("at").cast("timestamp")), [i / batches for i in range(1, batches)])).first()[0] or []
+    part = lambda c: sum((F.coalesce((F.unix_micros(c.cast("timestamp")) > b).cast("int"), F.lit(0)) for b in bounds), F.lit(0))
+    index = stored(parent_events(parents, None), "parents")
+    gone = parent_events({}, removals) if removals is not None else index.limit(0)
+    state = OrphanState(spark, own_path(spark, "orphans"))
+    for i in range(batches):
+        state.apply(refs.where(part(F.col("at")) == i), index.where(part(F.col("born")) == i), gone if i == 0 else index.limit(0))
+    release(refs, index)
+    return state

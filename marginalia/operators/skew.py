@@ -16,7 +16,7 @@ def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left
     """Equi-join whose hot left keys are split over ``salts`` tasks.
 
     The hot keys are those with more than ``HOT_SHARE`` of all left rows, so their number is at most
-    1 / ``HOT_SHARE`` whatever the data: only that list is broadcast. Right rows of a hot key are copied to
+    1 / ``HOT_SHARE`` whatever the data: only that list is collected and broadcast. Right rows of a hot key are copied to
     each salt, all others are sent once. Null keys match nothing and are never hot. Left rows are counted with a
     map-side combine before anything else moves. ``how`` may be inner, left, left_semi or left_anti.
     """
@@ -26,7 +26,10 @@ def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left
     if total < HOT_ROWS:
         return left.join(right, on, how)
     floor = max(HOT_ROWS // salts, int(total * HOT_SHARE))
-    hot = left.dropna(subset=on).groupBy(*on).count().where(F.col("count") > floor).select(*on, F.lit(True).alias("__hot"))
+    hot = left.dropna(subset=on).groupBy(*on).count().where(F.col("count") > floor).select(*on).collect()  # at most 1 / HOT_SHARE rows
+    if not hot:
+        return left.join(right, on, how)
+    hot = left.sparkSession.createDataFrame(hot, left.select(*on).schema).withColumn("__hot", F.lit(True))
     # a hash of the row, not a random number: a task that is run again must send each row to the same place
     plain = [F.col(c) for c, kind in left.dtypes if "map<" not in kind and "variant" not in kind]
     salted = left.withColumn("__row", F.xxhash64(*plain)).join(F.broadcast(hot), on, "left").withColumn(

@@ -10,30 +10,34 @@ from marginalia.session import table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    found = incremental.pending_observations(table(spark, d, "watched_files"))
-    return found.select("scan_id", "path")
+    return incremental.replay(table(spark, d, "watched_files")).select("scan_id", "path")
 
 
 def p1_scan_plan(spark: SparkSession, d: str) -> DataFrame:
-    found = incremental.pending_observations(table(spark, d, "watched_files"))
+    found = incremental.replay(table(spark, d, "watched_files"))
     return found.groupBy("scan_id", "reason").agg(F.count("*").alias("paths"))
 
 
-def p3_orphans(spark: SparkSession, d: str) -> DataFrame:
+def p1_pending(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of ``p1_found`` with their reason, decided for all scans in one pass over the log."""
+    return incremental.pending_observations(table(spark, d, "watched_files")).select("scan_id", "path", "reason")
+
+
+def _state(spark: SparkSession, d: str) -> references.OrphanState:
     parents = {
         "file_sections": (table(spark, d, "file_sections"), "id", "created_at"),
         "files": (table(spark, d, "files"), "id", "first_indexed_at"),
     }
     columns = {"file_sections": "section_id", "files": "file_id"}
-    return references.orphans(table(spark, d, "embedding_records"), columns, parents, table(spark, d, "removal_log"))
+    return references.followed(table(spark, d, "embedding_records"), columns, parents, table(spark, d, "removal_log"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return p3_orphans(spark, d)
+    return _state(spark, d).waiting().select("id", "ref_table", "period", "reason").distinct()
 
 
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
-    return references.orphan_counts(p3_orphans(spark, d))
+    return _state(spark, d).snapshot()
 
 
 _P1 = r"""
@@ -60,10 +64,11 @@ g AS (SELECT DISTINCT lower(trim(ref_table)) AS ref_table, regexp_replace(lower(
 o AS (SELECT DISTINCT r.id, r.ref_table, r.period, CASE WHEN q.key IS NULL AND g.key IS NOT NULL THEN 'deleted' WHEN q.key IS NULL THEN 'missing' ELSE 'late' END AS reason
   FROM r LEFT JOIN q USING (ref_table, key) LEFT JOIN g USING (ref_table, key) WHERE q.key IS NULL OR (undated = 0 AND q.born > r.seen))"""
 
-QUERIES = {"p1_found": p1_found, "p1_scan_plan": p1_scan_plan, "p3_found": p3_found, "p3_report": p3_report}
+QUERIES = {"p1_found": p1_found, "p1_scan_plan": p1_scan_plan, "p1_pending": p1_pending, "p3_found": p3_found, "p3_report": p3_report}
 SQL = {
     "p1_found": f"WITH {_P1} SELECT scan_id, path FROM f",
     "p1_scan_plan": f"WITH {_P1} SELECT scan_id, reason, count(*) AS paths FROM f GROUP BY 1, 2",
+    "p1_pending": f"WITH {_P1} SELECT scan_id, path, reason FROM f",
     "p3_found": f"WITH {_P3} SELECT id, ref_table, period, reason FROM o",
     "p3_report": f"WITH {_P3} SELECT ref_table, period, reason, count(*) AS refs FROM o GROUP BY 1, 2, 3",
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -35,9 +36,14 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir`` of the session, or a temporary one where it is unset (tests)."""
+    """The folder all executors see: ``spark.checkpoint.dir`` of the session, or a temporary one where it is unset and all runs in one process.
+
+    On a cluster a folder of one machine would hold what its own executors wrote only, so an unset setting is an error there.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="marginalia-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
@@ -47,9 +53,24 @@ def shared_folder(spark: SparkSession) -> str:
 def stored(df: DataFrame, hint: str = "step") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = os.path.join(_own_folder(spark), f"{hint}-{uuid.uuid4().hex}")
+    path = own_path(spark, hint)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def release(*frames: DataFrame | None) -> None:
+    """Delete what ``stored`` wrote for these very frames; nothing derived from them may be read any more."""
+    for df in frames:
+        path = getattr(df, "_stored_at", None)
+        if path:
+            drop_folder(df.sparkSession, path)
+
+
+def own_path(spark: SparkSession, hint: str) -> str:
+    """A path of its own in the application's part of the shared folder."""
+    return os.path.join(_own_folder(spark), f"{hint}-{uuid.uuid4().hex}")
 
 
 def _own_folder(spark: SparkSession) -> str:

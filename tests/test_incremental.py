@@ -63,27 +63,107 @@ def test_last_before_blocks(spark):
         assert r["last"] == (None if r.v == 0 else (r.v - 1) // 7 * 7)
 
 
-def test_runs_survive_a_failure(spark, tmp_path):
-    src, sink, man = tmp_path / "in", f"file://{tmp_path}/out", inc.Manifest(spark, f"file://{tmp_path}/manifest")
+def test_replay_gives_the_same(spark):
+    rng = random.Random(2)
+    rows = [(scan, p, rng.choice([None, "x1", "sha256:X1", "x2", ""]), rng.choice([None, "10", "20.5", "30"]), rng.choice(["processed", "processed", "error", None]), 1)
+            for p in "abcdefg" for scan in range(1, 14) if rng.random() < 0.8]
+    rows += [*rows[:9], (None, "a", "x", "1", "processed", 1), (1, None, "x", "1", "processed", 1)]
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1L AS size", "2 AS batch", "3 AS checksum", "4 AS done")
+    got = [(r.scan_id, r.path) for r in inc.replay(df, span=3).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected(rows)
+    assert {tuple(r) for r in inc.replay(df, span=100).select("scan_id", "path", "reason").collect()} == {tuple(r) for r in inc.pending_observations(df).select("scan_id", "path", "reason").collect()}
+    assert inc.replay(df.limit(0)).count() == 0
+
+
+def folders(tmp_path):
+    src = tmp_path / "in"
     src.mkdir()
     (src / "a.txt").write_text("one")
-    (src / "b.txt").write_text("two")
-    plain = lambda files: files.select("path", "checksum")
+    (src / "b c.txt").write_text("two")
+    return src, f"file://{tmp_path}/out", f"file://{tmp_path}/manifest"
+
+
+def plain(files):
+    return files.select("path", "checksum")
+
+
+def named(out):
+    return sorted((r.batch, r.path.rsplit("/", 1)[1]) for r in out.collect())
+
+
+def test_runs_survive_a_failure(spark, tmp_path, monkeypatch):
+    src, sink, where = folders(tmp_path)
+    man = inc.Manifest(spark, where, every=2)
 
     def dies(files):
-        plain(files).write.mode("overwrite").parquet(f"{sink}/batch=1")
         raise RuntimeError("lost")
 
-    with pytest.raises(RuntimeError):
-        inc.run_batch(spark, f"file://{src}", sink, man, dies)
-    assert man.batches() == [] and inc.committed_output(spark, sink, man) is None
+    def dies_writing(files):
+        return plain(files).withColumn("x", F.raise_error(F.lit("disk")))
+
+    for broken in (dies, dies_writing):
+        with pytest.raises(Exception):
+            inc.run_batch(spark, f"file://{src}", sink, man, broken)
+        assert man.batches() == [] and inc.committed_output(spark, sink, man) is None
+    with monkeypatch.context() as m:  # dies after its output, before its commit
+        m.setattr(inc.Manifest, "commit", dies)
+        with pytest.raises(Exception):
+            inc.run_batch(spark, f"file://{src}", sink, man, plain)
+    assert man.batches() == []
     assert inc.run_batch(spark, f"file://{src}", sink, man, plain) == 1
     assert inc.run_batch(spark, f"file://{src}", sink, man, plain) is None
-    (src / "b.txt").write_text("2")
+    (src / "b c.txt").write_text("2")
     (src / "c.txt").write_text("three")
-    assert inc.run_batch(spark, f"file://{src}", sink, man, plain) == 2
-    out = inc.committed_output(spark, sink, man)
-    assert sorted((r.batch, r.path[-5:]) for r in out.collect()) == [(1, "a.txt"), (1, "b.txt"), (2, "b.txt"), (2, "c.txt")]
+    assert inc.run_batch(spark, f"file://{src}", sink, inc.Manifest(spark, where, every=2), plain) == 2  # with a snapshot
+    (src / "a.txt").write_text("1")
+    assert inc.run_batch(spark, f"file://{src}", sink, man, plain) == 3
+    assert named(inc.committed_output(spark, sink, man)) == [(1, "a.txt"), (1, "b c.txt"), (2, "b c.txt"), (2, "c.txt"), (3, "a.txt")]
     assert man.entries().count() == 3
-    with pytest.raises(RuntimeError):
-        man.commit(2, man.entries())
+    import os
+
+    os.utime(src / "a.txt", (1, 1))  # another time, the same content
+    assert inc.run_batch(spark, f"file://{src}", sink, man, plain) is None
+    with pytest.raises(inc.Overtaken):
+        man.commit(2, None)
+
+
+def test_overlapping_runs_lose_nothing(spark, tmp_path):
+    src, sink, where = folders(tmp_path)
+    slow, fast = inc.Manifest(spark, where), inc.Manifest(spark, where)
+
+    def overtaken(files):
+        if fast.batches() == []:  # another run starts and commits while this one works
+            assert inc.run_batch(spark, f"file://{src}", sink, fast, plain) == 1
+            (src / "d.txt").write_text("late")
+        return plain(files)
+
+    assert inc.run_batch(spark, f"file://{src}", sink, slow, overtaken) == 2
+    assert named(inc.committed_output(spark, sink, slow)) == [(1, "a.txt"), (1, "b c.txt"), (2, "d.txt")]
+    assert inc.run_batch(spark, f"file://{src}", sink, fast, plain) is None
+
+
+def test_commits_by_renaming(spark, tmp_path, monkeypatch):
+    """The way of distributed file systems, here on a local one."""
+    from marginalia.operators import commits
+
+    class Elsewhere:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def __getattr__(self, name):
+            return getattr(self.fs, name)
+
+        def getUri(self):
+            return self
+
+        def getScheme(self):
+            return "hdfs"
+
+    real = commits.files_of
+    monkeypatch.setattr(commits.FILE_CONTEXT, "of", lambda spark, fs: spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(real(spark, f"file://{tmp_path}")[0].getUri()))
+    monkeypatch.setattr(commits, "files_of", lambda s, p: (Elsewhere(real(s, p)[0]), real(s, p)[1]))
+    log = commits.CommitLog(spark, f"file://{tmp_path}/log")
+    log.commit(1, {"a": 1})
+    with pytest.raises(commits.Overtaken):
+        log.commit(1, {"a": 2})
+    assert commits.CommitLog(spark, f"file://{tmp_path}/log").get(1) == {"a": 1} and log.last() == 1

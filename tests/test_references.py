@@ -57,24 +57,62 @@ def test_state_follows_batches(spark, tmp_path):
     records, parents, log = frames(spark)
     refs = ref.references(records, COLUMNS)
     no_refs, no_index = refs.limit(0), ref.parent_events(parents, log).limit(0)
-    state = ref.OrphanState(spark, f"file://{tmp_path}/state", buckets=4)
+    state = ref.OrphanState(spark, f"file://{tmp_path}/state", every=3)
     state.apply(refs, no_index, no_index)
     assert {r.reason for r in state.waiting().collect()} == {"missing"}
     state.apply(no_refs, ref.parent_events(parents, None), no_index)
-    state.apply(no_refs, no_index, ref.parent_events({}, log))
+    state.apply(no_refs, no_index, ref.parent_events({}, log), known=refs)
     # a removal log entry for a key that has a parent is an event here: the parent is gone
     got = {(r.id, r.ref_table, r.period, r.reason) for r in state.waiting().collect()}
     assert got == EXPECTED
     gone = ref.parent_events({}, spark.createDataFrame([("file_sections", "s1")], "ref_table string, ref_id string"))
-    state.apply(no_refs, no_index, gone)
+    state.apply(no_refs, no_index, gone, known=refs)
     again = {(r.id, r.ref_table, r.reason) for r in state.waiting().collect()}
     assert (1, "file_sections", "deleted") in again and (2, "file_sections", "deleted") in again
     state.apply(no_refs, ref.parent_events(parents, None), no_index)
     assert {(r.id, r.ref_table, r.period, r.reason) for r in state.waiting().collect()} == EXPECTED
     before = state.snapshot().count()
-    state.apply(refs, no_index, no_index)  # repeating a batch changes nothing
+    state.apply(refs, no_index, no_index)  # repeating a batch changes nothing; the sixth merges the logs
     assert state.snapshot().count() == before
     state.apply(no_refs, no_index, no_index)
+    assert {(r.id, r.ref_table, r.period, r.reason) for r in state.waiting().collect()} == EXPECTED
+    # only what waits is kept
+    kept = spark.read.parquet(f"{state.log.get(6)['merged']}/refs")
+    assert kept.where("reason IS NULL").count() == 0 and kept.count() == len(EXPECTED)
+
+
+def test_a_batch_that_dies_changes_nothing(spark, tmp_path, monkeypatch):
+    records, parents, log = frames(spark)
+    refs = ref.references(records, COLUMNS)
+    none = ref.parent_events(parents, log).limit(0)
+    state = ref.OrphanState(spark, f"file://{tmp_path}/state")
+    state.apply(refs, none, none)
+    want = sorted(map(str, state.waiting().collect()))
+    real = ref.classify
+    for step in ("classify", "commit"):
+        with monkeypatch.context() as m:
+            if step == "classify":
+                m.setattr(ref, "classify", lambda *a: real(*a).withColumn("reason", ref.F.raise_error(ref.F.lit("lost"))))
+            else:
+                m.setattr(ref.CommitLog, "commit", lambda *a: 1 / 0)
+            with pytest.raises(Exception):
+                state.apply(refs.limit(0), ref.parent_events(parents, None), none)
+        assert sorted(map(str, ref.OrphanState(spark, f"file://{tmp_path}/state").waiting().collect())) == want
+    other = ref.OrphanState(spark, f"file://{tmp_path}/state")
+    with monkeypatch.context() as m:  # another run commits while this one works
+        m.setattr(ref, "classify", lambda *a: (m.undo(), other.apply(refs.limit(0), ref.parent_events({}, log), none), real(*a))[2])
+        with pytest.raises(ref.Overtaken):
+            state.apply(refs.limit(0), ref.parent_events(parents, None), none)
+    state.apply(refs.limit(0), ref.parent_events(parents, None), none)
+    assert {(r.id, r.ref_table, r.period, r.reason) for r in state.waiting().collect()} == EXPECTED
+
+
+@pytest.mark.parametrize("batches", [1, 2, 4])
+def test_slices_of_time_give_the_same(spark, batches):
+    records, parents, log = frames(spark)
+    got = [tuple(r) for r in ref.followed(records, COLUMNS, parents, log, batches).waiting().select("id", "ref_table", "period", "reason").distinct().collect()]
+    assert set(got) == EXPECTED and len(got) == len(EXPECTED)
+    assert ref.followed(records.limit(0), COLUMNS, parents, log.limit(0), batches).snapshot().count() == 0
 
 
 def test_rank_within(spark):

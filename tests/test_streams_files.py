@@ -1,7 +1,9 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
+from marginalia.operators.incremental import Manifest
 from marginalia.sources import files
 from marginalia.streaming import watcher, windows
 
@@ -46,8 +48,36 @@ def test_watcher(spark, tmp_path):
     def broken(df, n):
         raise ValueError("hook")
 
-    watcher.follow(watcher.file_stream(spark, f"file://{tmp_path}/in"), f"{tmp_path}/cp", broken, lambda n, e: errors.append(str(e))).awaitTermination(60)
+    run = lambda handle, **more: watcher.follow(watcher.file_stream(spark, f"file://{tmp_path}/in"), f"{tmp_path}/cp", handle, lambda n, e: errors.append(str(e)), **more).awaitTermination(60)
+    with pytest.raises(Exception):
+        run(broken)
     assert errors == ["hook"]
+    keep = lambda df, n: seen.extend(r.text for r in df.collect())
+    run(keep)  # the failed batch comes again
+    assert seen == ["# A", "# D"]
+    (tmp_path / "in/e.md").write_text("# E")
+    run(broken, parked=f"{tmp_path}/parked")
+    assert watcher.parked_batches(spark, f"{tmp_path}/parked") and watcher.retry(spark, f"{tmp_path}/parked", broken) == 0
+    assert watcher.retry(spark, f"{tmp_path}/parked", keep) == 1 and seen[-1] == "# E" and not watcher.parked_batches(spark, f"{tmp_path}/parked")
+
+
+def test_changed_files_are_seen(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.md").write_text("v1")
+    man, seen = Manifest(spark, f"file://{tmp_path}/man"), []
+
+    def keep(df, n):
+        seen.append([(r.path.rsplit("/", 1)[1], r.todo) for r in df.collect()])
+        if len(seen) == 2:
+            raise ValueError("hook")
+
+    look = lambda: watcher.observe(spark, f"file://{tmp_path}/in", man, keep)
+    assert look() == 1 and look() is None
+    (tmp_path / "in/a.md").write_text("v2")
+    with pytest.raises(ValueError):
+        look()
+    assert watcher.watch(spark, f"file://{tmp_path}/in", man, keep, seconds=0, rounds=2) == 1
+    assert seen == [[("a.md", "new")], [("a.md", "changed")], [("a.md", "changed")]]
 
 
 def test_path_states(spark, tmp_path):
