@@ -77,7 +77,7 @@ def p7_topk(spark: SparkSession, d: str) -> DataFrame:
     """The five most similar sections of each section whose job_id is divisible by 20, at any similarity."""
     index = _vectors(spark, d)
     asked = index.members.where("vec_id % 20 = 0").select("vec_id")
-    near = index.nearest(5, -1.0, probes=max(1, round(0.8 * index.lists)), asked=asked)
+    near = index.nearest(5, None, asked=asked)
     return near.select(F.col("key").alias("section_id"), F.col("neighbour").alias("similar_id"), "similarity", "place")
 
 

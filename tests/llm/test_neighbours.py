@@ -73,13 +73,51 @@ def test_topk_recall(spark, monkeypatch):
     index = neighbours.VectorIndex(frame(spark, v))
     asked = index.members.where("rep % 20 = 0").selectExpr("rep AS vec_id")
     got = {}
-    for r in index.nearest(5, -1.0, round(0.8 * index.lists), asked).collect():
+    for r in index.nearest(5, None, asked).collect():
         got.setdefault(r.key, set()).add(r.neighbour)
     assert len(got) == 60 and all(len(g) == 5 for g in got.values())
     want = brute(v, 5, -1.0)
     assert np.mean([len(g & set(want[key])) / 5 for key, g in got.items()]) >= 0.9
 
 
+def test_divided_lists(spark, monkeypatch):
+    """More lists than centres may be sent: each is divided by the same parts."""
+    monkeypatch.setattr(neighbours, "PER_LIST", 20)
+    monkeypatch.setattr(neighbours, "MOST_LISTS", 6)
+    v = fixture()
+    index = neighbours.VectorIndex(frame(spark, v))
+    assert index.lists == 30
+    want = {tuple(sorted((a, b))) for a, near in brute(v).items() for b in near}
+    got = {tuple(r) for r in neighbours.similar_pairs(index).collect()}
+    assert not got - want and len(got) >= 0.99 * len(want)
+    free = {}
+    for r in index.nearest(5, None).collect():
+        free.setdefault(r.key, set()).add(r.neighbour)
+    every = brute(v, 5, -1.0)
+    assert len(free) == len(v) and np.mean([len(near & set(every[key])) / 5 for key, near in free.items()]) >= 0.9
+
+
+def test_dense_list_needs_little_memory():
+    """One list in which every pair is near: only the best of each row are held."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    x = neighbours._unit(rng.standard_normal(128) + 0.02 * rng.standard_normal((6000, 128)))
+    ids = np.arange(len(x))
+    tracemalloc.start()
+    a, b, s = neighbours.scan(x, x, ids, ids, 5, 0.8, True)
+    assert tracemalloc.get_traced_memory()[1] < 120e6
+    tracemalloc.stop()
+    some = rng.choice(len(x), 50, replace=False)
+    full = np.round(x[some].astype(np.float64) @ x.T.astype(np.float64), 6)
+    full[np.arange(50), some] = -1
+    mine = {}
+    for i, j in zip(a.tolist(), b.tolist()):
+        mine.setdefault(i, set()).add(j)
+    for row, i in enumerate(some.tolist()):
+        assert len(mine[i]) == 5 and min(full[row, j] for j in mine[i]) >= np.sort(full[row])[-5] - 2e-6
+
+
 def test_scan_keeps_every_near_pair():
     v = fixture(300)
     x = np.array(list(v.values()), np.float64)
