@@ -32,7 +32,7 @@ STEP, STRICT = 32, 3.0
 #: A list is probed if a neighbour just similar enough could lie in it, at so many deviations of what sets the two apart.
 PROBE = 3.5
 #: The same for searches without a least similarity, where the k-th best so far takes its place; recall is measured, see the README.
-PROBE_FREE = 1.0
+PROBE_FREE = 0.7
 #: Keys of outdated vectors and copies that are broadcast at most; beyond, they are removed by a shuffle.
 BROADCAST_KEYS = 4_000_000
 

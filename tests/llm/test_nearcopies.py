@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from marginalia.llm import graphs, nearcopies
 
@@ -47,13 +48,32 @@ def test_pairs(spark):
     assert len(got) == len(set(got)) and set(got) == brute(r) and len(got) > 40
 
 
-def test_large_buckets_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(nearcopies, "BLOCK", 3)
-    rng = random.Random(1)
+def crowd(n=60, seed=1):
+    rng = random.Random(seed)
     base = [f"w{i}" for i in range(80)]
-    r = [(f"{i:02d}", " ".join(base[:i] + [f"x{rng.random()}"] + base[i + 1 :])) for i in range(25)]
-    got = [tuple(x) for x in nearcopies.NearCopies(frame(spark, r)).pairs().collect()]
-    assert len(got) == len(set(got)) and set(got) == brute(r)
+    r = [(f"{i:03d}", " ".join(base[: i % 80] + [f"x{rng.random()}"] + base[i % 80 + 1 :])) for i in range(n)]
+    far = [w if i % 3 else f"y{i}" for i, w in enumerate(base)]  # shares bands with the others, but is no near-copy of them
+    r += [(f"f{i:02d}", " ".join([*far[: i + 1], f"z{i}", *far[i + 2 :]])) for i in range(12)]
+    return r + [("000b", r[0][1]), ("one", " ".join(base))]
+
+
+@pytest.mark.parametrize("limits", [(3, 1024, 2_000_000), (3, 8, 2_000_000), (5, 16, 10)])
+def test_crowds(spark, monkeypatch, limits):
+    """Large buckets, cells of few texts, and buckets that are split over tasks: the links stay the same."""
+    for name, value in zip(("CROWD", "CELL", "HOT_TEXTS"), limits):
+        monkeypatch.setattr(nearcopies, name, value)
+    r = crowd()
+    found = nearcopies.NearCopies(frame(spark, r))
+    assert found.labels is not None
+    got = [tuple(x) for x in found.pairs().collect()]
+    want = brute(r)
+    assert len(got) == len(set(got)) and set(got) == want
+    links = [tuple(x) for x in found.links.select("a", "other_a", "b", "other_b").collect()]
+    assert len(links) == len({tuple(sorted(((a, b), (c, d)))) for a, b, c, d in links})
+    classes = {x.id: x for x in found.classes().collect()}
+    degree = Counter(i for p in want if "000b" not in p for i in p)
+    assert {i: x.links for i, x in classes.items() if i != "000b"} == {i: degree[i] for i, _ in r if i != "000b"}
+    assert classes["000b"].copy_of == "000" and len({x.group_id for i, x in classes.items() if i[0] != "f"}) == 1 and len({x.group_id for i, x in classes.items() if i[0] == "f"}) == 1
 
 
 def test_classes(spark):
