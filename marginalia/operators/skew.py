@@ -6,10 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from marginalia.session import stored
+
 #: A key is hot when it holds more than this share of the left rows, so at most 1 / share keys are hot.
 HOT_SHARE = 0.001
 #: Below this many left rows no key is worth splitting.
 HOT_ROWS = 200_000
+#: Keys that are broadcast at most; beyond, rows are sent to them by a shuffle.
+BROADCAST_KEYS = 1_000_000
 
 
 def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", salts: int = 32) -> DataFrame:
@@ -41,6 +45,25 @@ def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left
     return salted.drop("__hot", "__row").join(copies.drop("__hot"), [*on, "__salt"], how).drop("__salt")
 
 
+def by_repetition(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key occurs once, the rest): null keys belong to the rest.
+
+    Only keys are shuffled to find out, so rows with long texts stay where they are unless their key is repeated. The repeated
+    keys are broadcast if they are no more than BROADCAST_KEYS.
+    """
+    keys = df.groupBy(key).agg(F.count("*").alias("__n")).where((F.col("__n") > 1) & F.col(key).isNotNull()).select(key)
+    keys = stored(keys, "repeated")
+    side = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+    there = df.where(F.col(key).isNotNull())
+    return there.join(side, key, "left_anti"), there.join(side, key, "left_semi").unionByName(df.where(F.col(key).isNull()))
+
+
+def distinct_rows(df: DataFrame, key: str) -> DataFrame:
+    """``df.distinct()`` where ``key`` is the same in repeated rows and seldom in others: only rows with a repeated key are shuffled."""
+    once, rest = by_repetition(df, key)
+    return once.unionByName(rest.distinct())
+
+
 def rank_within(df: DataFrame, group: list[str], unique: Column, out: str, slices: int = 64) -> DataFrame:
     """Number the rows of each group from 0 in an arbitrary but repeatable order, without one task per group.
 
