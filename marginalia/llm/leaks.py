@@ -11,12 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.batches import values
+from marginalia.session import stored
 
 #: A word is a maximal run of letters and digits, in lower case.
 WORD = re.compile(r"[^\W_]+")
 #: Texts of items that one pass may hold, in characters; more items are taken in several passes.
 PASS_CHARS = 2_000_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+#: Documents with spans, and spans in them, that are broadcast at most.
+BROADCAST_DOCS = 500_000
 #: Texts are put together up to so many words before they are compared.
 TOGETHER = 200_000
 
@@ -162,10 +165,18 @@ def _by_document(hits: list[tuple[int, int]], begins: np.ndarray) -> dict[int, l
     return out
 
 
+def _places(text: str) -> list[tuple[int, int]]:
+    """Where the words of the lower-cased text lie in the text itself, though a letter may have another length in lower case."""
+    low = text.lower()
+    spans = [m.span() for m in WORD.finditer(low)]
+    if len(low) == len(text):
+        return spans
+    origin = np.repeat(np.arange(len(text)), [len(c.lower()) for c in text])
+    return [(int(origin[s]), int(origin[e - 1]) + 1) for s, e in spans]
+
+
 def _describe(grams: Grams, key: int, text: str, hits: list[tuple[int, int]]) -> Iterator[dict]:
-    where = [m.span() for m in WORD.finditer(text)]
-    if len(where) != len(WORD.findall(text.lower())):  # lower() changed the number of words: rare capitals
-        where = []
+    where = _places(text)
     starts: dict[int, list[int]] = {}
     for at, gram in hits:
         for owner in grams.owners[gram]:
@@ -181,44 +192,48 @@ def _describe(grams: Grams, key: int, text: str, hits: list[tuple[int, int]]) ->
         yield {
             "id": key, "item_id": item, "part": part, "item_words": length, "matched_words": sum(e - s for s, e in runs),
             "longest_words": max(e - s for s, e in runs),
-            "spans": [{"start": where[s][0], "end": where[e - 1][1]} for s, e in runs] if where else [{"start": 0, "end": len(text)}],
+            "spans": [{"start": where[s][0], "end": where[e - 1][1]} for s, e in runs],
         }
 
 
+def merged_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, overlapping and touching ones joined."""
+    out: list[list[int]] = []
+    for start, end in sorted(spans):
+        if out and start <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], end)
+        else:
+            out.append([start, end])
+    return [(a, b) for a, b in out]
+
+
 def without_leaks(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_share: float = 0.8) -> DataFrame:
     """Documents with leaked spans cut out: id, text, removed_chars, dropped.
 
     A document whose spans cover at least ``drop_share`` of its characters is dropped: its text is null. Documents
-    without leaks keep their text. ``found`` is the result of ``leaks``; overlapping spans are merged.
+    without leaks keep their text. ``found`` is the result of ``leaks``; overlapping spans are merged. The spans are broadcast while the
+    documents that have any are no more than BROADCAST_DOCS, so texts stay where they are; beyond, only these documents' ids and spans and the documents themselves are joined by a shuffle.
     """
-    spans = found.select("id", F.explode("spans").alias("s")).groupBy("id").agg(F.array_sort(F.collect_set("s")).alias("spans"))
-    merged = F.aggregate(
-        "spans",
-        F.array().cast("array<struct<start:int,end:int>>"),
-        lambda acc, s: F.when(
-            (F.size(acc) > 0) & (s["start"] <= F.element_at(acc, -1)["end"]),
-            F.concat(
-                F.slice(acc, 1, F.size(acc) - 1),
-                F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"))),
-            ),
-        ).otherwise(F.concat(acc, F.array(s))),
-    )
-    spans = spans.withColumn("spans", merged)
-    joined = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).join(spans, "id", "left")
-    removed = F.coalesce(F.aggregate("spans", F.lit(0), lambda a, s: a + s["end"] - s["start"]), F.lit(0))
-    n = F.size("spans")
-    kept = F.concat(
-        F.expr("substring(text, 1, spans[0].start)"),
-        F.array_join(
-            F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(
-                F.col("text"), F.element_at("spans", i)["end"] + 1,
-                F.when(i < n, F.get("spans", i)["start"]).otherwise(F.length("text")) - F.element_at("spans", i)["end"],
-            )), "",
-        ),
-    )
-    share = removed / F.greatest(F.length("text"), F.lit(1))
-    return joined.select(
-        F.col("id").alias(id_col),
-        F.when(n.isNull() | F.col("spans").isNull(), F.col("text")).when(share < drop_share, kept).alias("text"),
-        removed.alias("removed_chars"), (F.coalesce(share, F.lit(0.0)) >= drop_share).alias("dropped"),
-    )
+    spans = stored(found.select("id", F.explode("spans").alias("s")).groupBy("id").agg(F.collect_set("s").alias("spans")), "spans")
+    few = spans.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
+    side = F.broadcast(spans) if max(few) <= BROADCAST_DOCS else spans
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).join(side, "id", "left")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, gone, drops = [], [], []
+            for text, marks in zip(values(b.column(1)), values(b.column(2))):
+                parts = merged_spans([(m["start"], m["end"]) for m in marks]) if marks and text else []
+                n = sum(e - s for s, e in parts)
+                dropped = bool(n) and n >= drop_share * len(text)
+                if parts and not dropped:
+                    ends = [0, *(e for _, e in parts)]
+                    text = "".join(text[e:s] for e, s in zip(ends, [*(s for s, _ in parts), len(text)]))
+                texts.append(None if dropped else text)
+                gone.append(n)
+                drops.append(dropped)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(gone, pa.int32()), pa.array(drops, pa.bool_())], ["id", "text", "removed_chars", "dropped"])
+
+    plain = rows.where(F.col("spans").isNull()).select("id", "text", F.lit(0).alias("removed_chars"), F.lit(False).alias("dropped"))
+    leaked = rows.where(F.col("spans").isNotNull()).mapInArrow(cut, "id bigint, text string, removed_chars int, dropped boolean")
+    return plain.unionByName(leaked).withColumnRenamed("id", id_col)

@@ -7,9 +7,11 @@ emits the tree's visible text with block spacing, list marks and aligned cells.
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -22,6 +24,8 @@ from marginalia.llm.batches import values
 ANY = re.compile(r"[<&\\{\[*_~|>'=$`]")
 #: Elements open at once; deeper ones are treated as if their tags were absent, their text stays.
 DEPTH = 200
+#: Rows or columns that a cell spans at most.
+SPAN = 200
 
 # Element names, by what they mean for a tree and its layout.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
@@ -41,18 +45,32 @@ IMPLIED = {
 PARAGRAPH_ENDS = BLOCK - {"li", "tr", "td", "th", "dt", "dd", "thead", "tbody", "tfoot", "caption", "colgroup", "script", "style", "template", "noscript", "object", "iframe", "canvas", "audio", "video", "svg", "math", "map", "picture"}
 MARKS = {'"': "\u0308", "'": "\u0301", "`": "\u0300", "^": "\u0302", "~": "\u0303", "=": "\u0304", ".": "\u0307"}
 SYMBOLS = {"ldots": "…", "dots": "…", "textbackslash": "\\", "ss": "ß", "ae": "æ", "oe": "œ", "o": "ø", "aa": "å", "LaTeX": "LaTeX", "TeX": "TeX", "textendash": "–", "textemdash": "—", "euro": "€", "textmu": "µ", "quad": " ", "par": "\n\n", "newline": "\n", "linebreak": "\n"}
+# Greek letters whose Unicode name is another one.
+LETTERS = {"lambda": "lamda"}
+# Environments that hold a formula, and commands that set the layout only.
+FORMULAS = set("equation align gather displaymath math eqnarray multline alignat flalign".split())
+SILENT = set(
+    "centering raggedright raggedleft noindent indent bfseries itshape scshape ttfamily rmfamily sffamily normalfont tiny scriptsize footnotesize small normalsize large Large LARGE huge Huge "
+    "maketitle tableofcontents listoffigures listoftables newpage clearpage pagebreak smallskip medskip bigskip hfill vfill hline toprule midrule bottomrule item appendix begin end bf it em tt sc rm sf protect".split()
+)
+SIGNS = {"times": "×", "cdot": "·", "leq": "≤", "geq": "≥", "neq": "≠", "pm": "±", "approx": "≈", "infty": "∞", "rightarrow": "→", "to": "→"}
 HEADINGS = {"part": 1, "chapter": 1, "section": 1, "subsection": 2, "subsubsection": 3, "paragraph": 4, "subparagraph": 5}
 FILES = {"datei", "file", "bild", "image", "media", "medium"}
 CATEGORIES = {"kategorie", "category"}
 
-ASIDE = re.compile(
-    r"(?P<fence>^[ \t]*(?P<mark>`{3,}|~{3,})[^\n]*\n(?:.*?^[ \t]*(?P=mark)[`~]*[ \t]*$|.*\Z))"
-    r"|(?P<code>(?<!`)(?P<ticks>`+)(?!`)(?:(?!\n[ \t]*\n).)+?(?<!`)(?P=ticks)(?!`))"
-    r"|(?P<formula>\$\$(?:(?!\n[ \t]*\n).)+?\$\$|(?<!\\)\\\[.+?\\\]|(?<!\\)\\\(.+?\\\)|(?<![\\$\w])\$(?=[^\s$])(?:[^$\n\\]|\\.)*?(?<=[^\s\\])\$(?![\w$]))"
-    r"|(?P<path>(?<![A-Za-z0-9])[A-Za-z]:\\[^\s\"<>|]*|(?<!\S)\\\\[\w.-]+\\[^\s\"<>|]*|(?<![\\\w{])[\w.-]+(?:\\[\w.-]+){2,}(?![{\w])|https?://[^\s\"'<>)\]|}]+)"
+#: What is set aside begins with one of these; where it ends is found by ``Rendering._aside`` without looking at any text twice.
+OPENERS = re.compile(
+    r"(?P<fence>^[ \t]*(?P<mark>`{3,}|~{3,})[^\n]*\n)"
+    r"|(?P<ticks>(?<!`)`+(?!`))"
+    r"|(?P<display>\$\$)"
+    r"|(?P<square>(?<!\\)\\\[)|(?P<round>(?<!\\)\\\()"
+    r"|(?P<inline>(?<![\\$\w])\$(?=[^\s$])(?:[^$\n\\]|\\.)*?(?<=[^\s\\])\$(?![\w$]))"
+    r"|(?P<path>(?<![A-Za-z0-9])[A-Za-z]:\\[^\s\"<>|]*|(?<!\S)\\\\[\w.-]+\\[^\s\"<>|]*|(?<![\\\w{.-])[\w.-]+(?:\\[\w.-]+){2,}(?![{\w])|https?://[^\s\"'<>)\]|}]+)"
     r"|(?P<own>[\ue000-\ue003]+)",
     re.M | re.S,
 )
+BLANK_LINE = re.compile(r"\n[ \t]*\n")
+TICKS = re.compile(r"(?<!`)`+(?!`)")
 COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
 HIDDEN = re.compile(r"<(script|style|template)\b[^<>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)((?:\s+[^\s\"'<>/=]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'=<>`]+))?)*)\s*(/?)>|<!DOCTYPE[^<>]*>", re.I)
@@ -61,23 +79,28 @@ ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 SLOT = re.compile("\ue000(\\d+)\ue001")
 TAG_SLOT = re.compile("(\ue002\\d+\ue003)")
 
-ENVIRONMENT = re.compile(r"\\begin\{(\w+\*?)\}((?:\[[^\]]*\]|\{[^{}]*\})*)((?:(?!\\begin\{).)*?)\\end\{\1\}", re.S)
-TITLE = re.compile(r"[ \t]*\\(" + "|".join(HEADINGS) + r")\*?(?:\[[^\]]*\])?\{([^{}]*)\}[ \t]*")
+ENVIRONMENT = re.compile(r"\\begin\{(\w+\*?)\}((?:\[[^\]\n]{0,200}\]|\{[^{}\n]{0,200}\})*)|\\end\{(\w+\*?)\}")
+TITLE = re.compile(r"[ \t]*\\(" + "|".join(HEADINGS) + r")\*?(?:\[[^\]\n]{0,200}\])?\{([^{}]*)\}[ \t]*")
 ACCENT = re.compile(r"\{\\([\"'`^~=.])\s*\{?(\w|\\i)\}?\}|\\([\"'`^~=.])(?:\{(\w|\\i)\}|([A-Za-z]))")
-DROPPED = re.compile(r"\\(?:label|index|vspace|hspace|usepackage|documentclass|input|include|bibliography|bibliographystyle|begin|end)\*?(?:\[[^\]]*\])?\{[^{}]*\}")
-KEYED = re.compile(r"\\(cite\w*|ref|eqref|pageref|autoref)\*?(?:\[[^\]]*\])?\{([^{}]*)\}")
+DROPPED = re.compile(r"\\(?:label|index|vspace|hspace|usepackage|documentclass|input|include|bibliography|bibliographystyle|begin|end)\*?(?:\[[^\]\n]{0,200}\])?\{[^{}]*\}")
+KEYED = re.compile(r"\\(cite\w*|ref|eqref|pageref|autoref)\*?(?:\[[^\]\n]{0,200}\])?\{([^{}]*)\}")
 LINKED = re.compile(r"\\href\{[^{}]*\}\{([^{}]*)\}")
-NOTED = re.compile(r"\\footnote(?:\[[^\]]*\])?\{([^{}]*)\}")
-COMMAND = re.compile(r"\\[A-Za-z]+\*?(?:\[[^\]]*\])?\{([^{}]*)\}")
-BARE = re.compile(r"\\([A-Za-z]+)\*?[ \t]?")
-NEWLINE = re.compile(r"\\\\(?:\[[^\]\n]*\])?(?=\s|$)[ \t]*\n?")
-
-WIKI_TABLE = re.compile(r"^[ \t]*\{\|[^\n]*\n(.*?)^[ \t]*\|\}[ \t]*$", re.M | re.S)
-TEMPLATE = re.compile(r"\{\{([^{}]*)\}\}")
+#: A command with an argument, or a brace by itself.
+BRACE = re.compile(r"\\([A-Za-z]+)\*?(?:\[[^\]\n]{0,200}\])?\{|(?<!\\)[{}]")
+FONT = re.compile(r"\\(?:bf|it|em|tt|sc|rm|sf|sl|bfseries|itshape|scshape|ttfamily|small|large|tiny)\b[ \t]*")
+BARE = re.compile(r"\\([A-Za-z]+)\*?([ \t]?)")
+NEWLINE = re.compile(r"\\\\(?:\[[^\]\n]{0,40}\])?(?=\s|$)[ \t]*\n?")
+#: Characters that LaTeX and Markdown write with a backslash.
+ESCAPED = re.compile(r"\\([%&_#${}*\[\]|~^<>+!`-])")
+
+TABLE_OPENS, TABLE_ENDS = re.compile(r"^[ \t]*\{\|[^\n]*\n", re.M), re.compile(r"^[ \t]*\|\}[ \t]*$", re.M)
+TEMPLATE = re.compile(r"\{\{|\}\}|[{}]")
 WIKI_LINK = re.compile(r"!?\[\[([^\[\]]+)\]\]")
 QUOTES = re.compile(r"('{5}|'{2,3})(?=[^\s'])((?:(?!\n[ \t]*\n)(?:[^']|'(?!')))+?)(?<=[^\s'])\1(?!')")
 WIKI_HEADING = re.compile(r"^[ \t]*(={1,6})[ \t]*([^=\s](?:[^\n]*?[^=\s])?)[ \t]*\1[ \t]*$", re.M)
 
+#: A line of text, alone in its paragraph, above a line of equals signs or hyphens.
+SETEXT = re.compile(r"(?:(?<=\n\n)|\A)(?![ \t]*(?:[-*+#>|=]|\d+[.)]))([^\n|]*[^\s|][^\n|]*)\n(={3,}|-{3,})[ \t]*(?=\n|\Z)")
 MD_DELIMITER = re.compile(r"[ \t]*\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
 MD_LINK = re.compile(r"(!?)\[([^\[\]]*)\]\([ \t]*<?([^()\s<>]*(?:\([^()\s]*\)[^()\s]*)?)>?(?:\s+(?:\"[^\"]*\"|'[^']*'))?[ \t]*\)")
 MD_DEFINITION = re.compile(r"^ {0,3}\[([^\]\n]+)\]:[ \t]*\S+[^\n]*$\n?", re.M)
@@ -88,6 +111,15 @@ UNDERLINES = re.compile(r"(?<![\w\\])(_{1,3})(?=[^\s_])((?:(?!\n[ \t]*\n)(?:[^_]
 QUOTED = re.compile(r"^ {0,3}(?:>[ \t]?)+", re.M)
 
 
+def greek(name: str) -> str:
+    """The letter that a command names, or nothing."""
+    try:
+        found = unicodedata.lookup(f"GREEK {'SMALL' if name.islower() else 'CAPITAL'} LETTER {LETTERS.get(name.lower(), name.lower())}") if name[1:].islower() or len(name) > 1 else ""
+    except KeyError:
+        return ""
+    return found
+
+
 def aligned(rows: list[list[str]]) -> str:
     """Cells in columns of equal width, separated by a bar."""
     rows = [[" ".join(c.split()) for c in r] for r in rows if any(c.strip() for c in r)]
@@ -124,13 +156,9 @@ class Rendering:
             self.kinds.add(kind)
         return out
 
-    def _keep(self, m: re.Match | str) -> str:
-        self.kept.append((m, True) if isinstance(m, str) else (m.group(0), False))
-        return f"\ue000{len(self.kept) - 1}\ue001"
-
     def _whole(self, text: str) -> str:
         text = text.replace("\r\n", "\n")
-        text = ASIDE.sub(self._keep, text)
+        text = self._aside(text)
         if "<" in text:
             text = self._note("html", COMMENT, "", text)
             text = self._note("html", HIDDEN, "", text)
@@ -139,12 +167,63 @@ class Rendering:
             text = self._latex(text)
         if "[[" in text or "{" in text or "''" in text or "=" in text:
             text = self._wiki(text)
+        if "\n=" in text or "\n-" in text:
+            text = SETEXT.sub(lambda m: ("# " if m.group(2)[0] == "=" else "## ") + m.group(1).strip(), text)
         text = self._markdown(text)
         if self.tags or "&" in text:
             text = self._html(text)
+        if "\\" in text:
+            text = ESCAPED.sub(r"\1", text)
         text = self._restored(text)
         return re.sub(r"\n{3,}", "\n\n", text) if self.kinds else text
 
+    def _aside(self, text: str) -> str:
+        """Set aside code, formulas, file paths and addresses. Every search for an end starts where the last one of its kind stopped."""
+        if not OPENERS.search(text):
+            return text
+        blanks = [m.start() for m in BLANK_LINE.finditer(text)]
+        runs: dict[int, list[int]] = {}
+        for m in TICKS.finditer(text):
+            runs.setdefault(len(m.group(0)), []).append(m.start())
+        missing: set[str] = set()
+        out, done, at = [], 0, 0
+        while m := OPENERS.search(text, at):
+            kind, start, end = m.lastgroup, m.start(), -1
+            kind = "fence" if m.group("fence") else kind
+            if kind == "fence":
+                close = re.compile(r"^[ \t]*" + re.escape(m.group("mark")) + r"[`~]*[ \t]*$", re.M).search(text, m.end())
+                end = close.end() if close else len(text)
+            elif kind in ("ticks", "display"):
+                i = bisect.bisect_left(blanks, m.end())
+                stop = blanks[i] if i < len(blanks) else len(text)
+                if kind == "ticks":
+                    same = runs[len(m.group(0))]
+                    i = bisect.bisect_left(same, m.end() + 1)
+                    end = same[i] + len(m.group(0)) if i < len(same) and same[i] < stop else -1
+                else:
+                    close = text.find("$$", m.end() + 1, stop + 1)
+                    end = close + 2 if close >= 0 else -1
+            elif kind in ("square", "round"):
+                mark = "\\]" if kind == "square" else "\\)"
+                close = -1 if mark in missing else text.find(mark, m.end() + 1)
+                if close < 0:
+                    missing.add(mark)
+                end = close + 2 if close >= 0 else -1
+            else:
+                end = m.end()
+            if end < 0:
+                at = m.end() if kind != "display" else start + 1
+                continue
+            out += [text[done:start], self._slot(text[start:end], False)]
+            done = at = end
+            if at >= len(text):
+                break
+        return "".join([*out, text[done:]])
+
+    def _slot(self, part: str, nested: bool) -> str:
+        self.kept.append((part, nested))
+        return f"\ue000{len(self.kept) - 1}\ue001"
+
     def _restored(self, text: str) -> str:
         def one(m: re.Match) -> str:
             part, nested = self.kept[int(m.group(1))]
@@ -155,41 +234,105 @@ class Rendering:
     # ---- LaTeX
 
     def _latex(self, text: str) -> str:
-        while ENVIRONMENT.search(text):
-            text = self._note("latex", ENVIRONMENT, self._environment, text)
+        if "\\begin{" in text:
+            text = self._environments(text)
         text = self._note("latex", TITLE, lambda m: "\n" + "#" * HEADINGS[m.group(1)] + " " + m.group(2).strip() + "\n", text)
         text = self._note("latex", ACCENT, self._accent, text)
         text = self._note("latex", LINKED, r"\1", text)
         text = self._note("latex", KEYED, lambda m: f"[{m.group(2)}]" if m.group(1).startswith("cite") else m.group(2), text)
         text = self._note("latex", DROPPED, "", text)
-        while NOTED.search(text) or COMMAND.search(text):
-            text = self._note("latex", COMMAND, lambda m: m.group(1), self._note("latex", NOTED, r" (\1)", text))
-        text = self._note("latex", BARE, lambda m: SYMBOLS.get(m.group(1), ""), text)
+        if "{" in text:
+            text = self._commands(text)
+        text = self._note("latex", BARE, self._bare, text)
         return self._note("latex", NEWLINE, "\n", text)
 
+    def _bare(self, m: re.Match) -> str:
+        """A command without argument: its symbol, nothing if it only sets the layout, else it stays, as it may belong to a formula."""
+        name = m.group(1)
+        if name in SYMBOLS:
+            return SYMBOLS[name]
+        if name in SILENT:
+            return ""
+        letter = SIGNS.get(name) or greek(name)
+        return letter + m.group(2) if letter else m.group(0)
+
+    def _commands(self, text: str) -> str:
+        """Commands with an argument become their argument, a footnote its text in parentheses; one pass with a stack of open braces."""
+        stack: list[tuple[str | None, str, list[str]]] = [(None, "", [])]
+        at = 0
+        for m in BRACE.finditer(text):
+            top = stack[-1][2]
+            top.append(text[at : m.start()])
+            at = m.end()
+            if m.group(0) != "}":
+                stack.append((m.group(1), m.group(0), []))
+            elif len(stack) == 1:
+                top.append("}")
+            else:
+                name, _, parts = stack.pop()
+                inside = "".join(parts)
+                if name is None:
+                    font = FONT.match(inside)
+                    if font:
+                        self.kinds.add("latex")
+                    inside = inside[font.end() :] if font else "{" + inside + "}"
+                else:
+                    self.kinds.add("latex")
+                    inside = f" ({inside})" if name == "footnote" else inside
+                stack[-1][2].append(inside)
+        stack[-1][2].append(text[at:])
+        return "".join(opening + "".join(parts) for _, opening, parts in stack)
+
     def _accent(self, m: re.Match) -> str:
         mark, letter = m.group(1) or m.group(3), m.group(2) or m.group(4) or m.group(5)
         return unicodedata.normalize("NFC", letter.replace("\\", "") + MARKS[mark])
 
-    def _environment(self, m: re.Match) -> str:
-        name, inside = m.group(1).rstrip("*"), m.group(3)
+    def _environments(self, text: str) -> str:
+        """Environments become their content, innermost first; one pass with a stack of open ones. Ends without a beginning stay."""
+        stack: list[tuple[str, str, list[str]]] = [("", "", [])]
+        open_: Counter[str] = Counter()
+        at = 0
+        for m in ENVIRONMENT.finditer(text):
+            stack[-1][2].append(text[at : m.start()])
+            at = m.end()
+            if m.group(1):
+                stack.append((m.group(1), m.group(0), []))
+                open_[m.group(1)] += 1
+            elif not open_[m.group(3)]:
+                stack[-1][2].append(m.group(0))
+            else:
+                while stack[-1][0] != m.group(3):  # begun inside and never ended
+                    name, opening, parts = stack.pop()
+                    open_[name] -= 1
+                    stack[-1][2].append(opening + "".join(parts))
+                name, _, parts = stack.pop()
+                open_[name] -= 1
+                self.kinds.add("latex")
+                stack[-1][2].append(self._environment(name.rstrip("*"), "".join(parts)))
+        stack[-1][2].append(text[at:])
+        return "".join(opening + "".join(parts) for _, opening, parts in stack)
+
+    def _environment(self, name: str, inside: str) -> str:
         if name in ("itemize", "enumerate", "description"):
-            items = [" ".join(x.split()) for x in re.split(r"\\item\b(?:\[([^\]]*)\])?", inside)[2::2]]
-            return "\n".join((f"{i}. " if name == "enumerate" else "- ") + x for i, x in enumerate(items, 1))
+            items = re.split(r"\\item\b(?:\[([^\]\n]{0,200})\])?", inside)[1:]
+            lines = [" ".join(f"{label}: {x}".split() if label else x.split()) for label, x in zip(items[::2], items[1::2])]
+            return "\n".join((f"{i}. " if name == "enumerate" else "- ") + x for i, x in enumerate(lines, 1))
         if name in ("tabular", "tabularx", "longtable", "array"):
-            rows = re.split(r"\\\\(?:\[[^\]]*\])?|\\(?:hline|toprule|midrule|bottomrule)\b", inside)
+            rows = re.split(r"\\\\(?:\[[^\]\n]{0,40}\])?|\\(?:hline|toprule|midrule|bottomrule)\b", inside)
             return "\n" + aligned([re.split(r"(?<!\\)&", r) for r in rows]) + "\n"
-        if name in ("equation", "align", "gather", "displaymath", "math", "eqnarray", "verbatim", "lstlisting"):
-            return self._keep(inside.strip("\n"))
+        if name in FORMULAS:
+            return self._slot("$$\n" + inside.strip("\n") + "\n$$", True)
+        if name in ("verbatim", "lstlisting", "minted"):
+            return "\n" + self._slot("```\n" + inside.strip("\n") + "\n```", True) + "\n"
         return inside
 
     # ---- wiki
 
     def _wiki(self, text: str) -> str:
         if "{|" in text:
-            text = self._note("wiki", WIKI_TABLE, self._wiki_table, text)
-        while "{{" in text and TEMPLATE.search(text):
-            text = self._note("wiki", TEMPLATE, self._template, text)
+            text = self._wiki_tables(text)
+        if "{{" in text:
+            text = self._templates(text)
         if "[[" in text:
             text = self._note("wiki", WIKI_LINK, self._wiki_link, text)
         if "''" in text:
@@ -198,9 +341,22 @@ class Rendering:
             text = self._note("wiki", WIKI_HEADING, lambda m: "#" * len(m.group(1)) + " " + m.group(2), text)
         return text
 
-    def _wiki_table(self, m: re.Match) -> str:
+    def _wiki_tables(self, text: str) -> str:
+        ends = [(m.start(), m.end()) for m in TABLE_ENDS.finditer(text)]
+        out, done = [], 0
+        for m in TABLE_OPENS.finditer(text):
+            i = bisect.bisect_left(ends, (m.end(), 0))
+            if i == len(ends):
+                break
+            if m.start() >= done:
+                self.kinds.add("wiki")
+                out += [text[done : m.start()], self._wiki_table(text[m.end() : ends[i][0]])]
+                done = ends[i][1]
+        return "".join([*out, text[done:]])
+
+    def _wiki_table(self, inside: str) -> str:
         rows: list[list[str]] = [[]]
-        for line in m.group(1).split("\n"):
+        for line in inside.split("\n"):
             line = line.strip()
             if line.startswith("|-"):
                 rows.append([])
@@ -214,9 +370,34 @@ class Rendering:
                 rows[-1][-1] += " " + line
         return aligned(rows)
 
-    def _template(self, m: re.Match) -> str:
-        parts = [p.strip() for p in m.group(1).split("|")][1:]
-        return "; ".join(re.sub(r"\s*=\s*", ": ", p, count=1) for p in parts if p) or m.group(1).split("|")[0].strip()
+    def _templates(self, text: str) -> str:
+        """Templates become their values, innermost first; one pass with a stack of open ones. One with single braces inside stays."""
+        stack: list[tuple[list[str], bool]] = [([], False)]
+        at = 0
+        for m in TEMPLATE.finditer(text):
+            stack[-1][0].append(text[at : m.start()])
+            at = m.end()
+            mark = m.group(0)
+            if mark == "{{":
+                stack.append(([], False))
+            elif mark != "}}" or len(stack) == 1:
+                stack[-1][0].append(mark)
+                stack[-1] = (stack[-1][0], True)
+            else:
+                parts, braces = stack.pop()
+                inside = "".join(parts)
+                if braces:
+                    stack[-1][0].append("{{" + inside + "}}")
+                    stack[-1] = (stack[-1][0], True)
+                else:
+                    self.kinds.add("wiki")
+                    stack[-1][0].append(self._template(inside))
+        stack[-1][0].append(text[at:])
+        return "{{".join("".join(parts) for parts, _ in stack)
+
+    def _template(self, inside: str) -> str:
+        parts = [p.strip() for p in inside.split("|")][1:]
+        return "; ".join(re.sub(r"\s*=\s*", ": ", p, count=1) for p in parts if p) or inside.split("|")[0].strip()
 
     def _wiki_link(self, m: re.Match) -> str:
         parts = [p.strip() for p in m.group(1).split("|")]
@@ -403,6 +584,38 @@ class Rendering:
     def _table(self, e: Element, level: int) -> str:
         rows: list[list[str]] = []
         extra: list[str] = []
+        below: dict[int, int] = {}  # columns that a cell of an earlier row reaches down into, and for how many rows
+
+        def span(d: Element, name: str) -> int:
+            text = d.attributes.get(name, "").strip()
+            return min(int(text), SPAN) if text.isascii() and text.isdigit() and int(text) else 1
+
+        def row(x: Element) -> None:
+            cells: list[str] = []
+
+            def skip() -> None:
+                while below.get(len(cells), 0):
+                    below[len(cells)] -= 1
+                    cells.append("")
+
+            for d in x.children:
+                if isinstance(d, Element) and d.name in ("td", "th"):
+                    if not d.seen:
+                        continue
+                    skip()
+                    deep, wide = span(d, "rowspan"), span(d, "colspan")
+                    for k in range(wide):
+                        if deep > 1:
+                            below[len(cells)] = deep - 1
+                        cells.append("" if k else self._flow(d, True, level).replace("\n", " "))
+                elif t := self._loose(d, level):
+                    extra.append(t)
+            while any(n and at >= len(cells) for at, n in below.items()):
+                if below.get(len(cells), 0):
+                    skip()
+                else:
+                    cells.append("")
+            rows.append(cells)
 
         def visit(x: Element) -> None:
             for c in x.children:
@@ -412,8 +625,7 @@ class Rendering:
                 elif not c.seen:
                     continue
                 elif c.name == "tr":
-                    rows.append([self._flow(d, True, level).replace("\n", " ") for d in c.children if isinstance(d, Element) and d.seen and d.name in ("td", "th")])
-                    extra.extend(t for d in c.children if not (isinstance(d, Element) and d.name in ("td", "th")) for t in [self._loose(d, level)] if t)
+                    row(c)
                 elif c.name in ("thead", "tbody", "tfoot", "table"):
                     visit(c)
                 else:

@@ -10,6 +10,9 @@ from marginalia.llm.tokens import TOKENIZER, token_counts
 from marginalia.operators.skew import rank_within
 from marginalia.session import stored
 
+#: Items of one length that are numbered in one task, about.
+SLICE = 250_000
+
 
 def patterns(histogram: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
     """Packing patterns (how often, {length: copies}) for a histogram of lengths in 1..capacity.
@@ -77,7 +80,9 @@ def pack(df: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text_col:
     )
     histogram = {r[0]: r[1] for r in items.groupBy("length").count().collect()}  # at most ``capacity`` rows
     table = F.broadcast(spark.createDataFrame(slots(patterns(histogram, capacity)), SLOTS))
-    ranked = rank_within(items, ["length"], F.struct("id", "piece"), "rank")
+    # so many slices that the most frequent length is numbered in parts of at most SLICE items
+    slices = max(16, -(-max(histogram.values(), default=0) // SLICE))
+    ranked = rank_within(items, ["length"], F.struct("id", "piece"), "rank", slices)
     on = (ranked["length"] == table["length"]) & (ranked["rank"] >= table["first"]) & (ranked["rank"] < table["end"])
     placed = ranked.join(table, on).select(
         F.col("id").alias(id_col), "piece", "token_start", ranked["length"].alias("n_tokens"),

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from marginalia.llm.batches import values
 from marginalia.llm.tokens import BREAK, BREAKS, CLAUSE_END, COUNT, HASH, LENGTH, LONGEST, LOOK, SENTENCE_END, SPACED, TOKENIZER, WHITE, Tokens, tokens
 
-#: Pre-tokens that decide a landmark, and one landmark in so many places on average (as a share of the room for cuts).
-WINDOW = 12
+#: Pre-tokens that decide a landmark's hash, and places within a landmark's reach that may be one.
+WINDOW, CHANCES = 12, 8.0
 #: A pre-token of more characters is first cut into parts of this length, as it may exceed a piece by itself.
 LONG = 96
 MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -43,43 +43,67 @@ def strengths(seen: np.ndarray) -> np.ndarray:
     return out
 
 
+def landmarks(bits: np.ndarray, ends: np.ndarray, reach: float) -> np.ndarray:
+    """Places whose hash of the last WINDOW pre-tokens is the least within ``reach`` tokens on both sides.
+
+    Only places with a small hash, CHANCES of them within ``reach`` tokens on average, are looked at. Whether a place is a landmark
+    depends on the text within ``reach`` and a window of it, and on nothing else.
+    """
+    n = len(bits)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((bits & 0xFFFFFFFF).astype(np.uint64), dtype=np.uint64)))
+    at = np.arange(1, n)
+    rolled = ((sums[at] - sums[np.maximum(at - WINDOW, 0)]) * MIX) >> np.uint64(40)
+    at = at[rolled < (np.minimum(1.0, CHANCES * (ends[at] - ends[at - 1]) / reach) * (1 << 24)).astype(np.uint64)]
+    hashes, place = rolled[at - 1], ends[at]
+    least = np.ones(len(at), bool)
+    for off in range(1, len(at)):
+        near = place[off:] - place[:-off] <= reach
+        if not near.any():
+            break
+        least[off:] &= ~(near & (hashes[:-off] <= hashes[off:]))  # of equal ones the first counts
+        least[:-off] &= ~(near & (hashes[off:] < hashes[:-off]))
+    return at[least]
+
+
 def cuts(bits: np.ndarray, ends: np.ndarray, least: int, most: int) -> list[int]:
     """Starts of the pieces, as numbers of pre-tokens.
 
-    Landmarks are the places where a hash of the last WINDOW pre-tokens is small; they depend on the nearby text only.
-    From a start on, the first landmark at ``least`` tokens or more is snapped to the nearest boundary of the greatest
-    strength within a quarter of the room around it, or if it has none but between words, within all the room; without a landmark the last strongest boundary is taken. A
-    piece holds ``most`` tokens at most; text without any boundary is cut between pre-tokens.
+    Landmarks (``landmarks``, within a third of ``most``) are snapped to the nearest boundary of the greatest strength within
+    a third of that, or a half where there is none but between words. They depend on the text around them only, so an edit moves none
+    that is farther off. What lies between two of them and is longer than ``most`` tokens is cut further by itself (``_steps``).
     """
-    n = len(bits)
-    hashes = bits & 0xFFFFFFFF
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes.astype(np.uint64), dtype=np.uint64)))
-    back = np.maximum(np.arange(n + 1) - WINDOW, 0)
-    rolled = ((sums - sums[back]) * MIX) >> np.uint64(40)
-    often = max(1.0, (most - least) / 3 * n / max(1, int(ends[-1])))
-    marks = np.nonzero(rolled < (1 << 24) / often)[0]
     strong = strengths(bits >> LOOK)
-    out, start = [0], 0
-    while ends[-1] - ends[start] > most and start + 1 < n:
+    reach = max(1.0, most / 3)
+    snapped = set()
+    for at in landmarks(bits, ends, reach).tolist():
+        for part in (3, 2):
+            a, z = np.searchsorted(ends, [ends[at] - reach / part, ends[at] + reach / part])
+            a, z = max(int(a), 1), min(max(int(z), at + 1), len(bits))
+            near = strong[a:z]
+            if near.max() > BLANK:
+                break
+        best = a + np.nonzero(near == near.max())[0]
+        snapped.add(int(best[np.argmin(np.abs(ends[best] - ends[at]))]))
+    edge = reach / 3
+    fixed = [0, *sorted(c for c in snapped if ends[c] >= edge and ends[-1] - ends[c] >= edge), len(bits)]
+    return [c for a, z in zip(fixed, fixed[1:]) for c in _steps(ends, strong, a, z, least, most)]
+
+
+def _steps(ends: np.ndarray, strong: np.ndarray, start: int, stop: int, least: int, most: int) -> list[int]:
+    """Starts of pieces of at most ``most`` tokens in the stretch from ``start`` to ``stop``: each ends at the last strongest boundary that leaves
+    it ``least`` tokens or more; text without any boundary is cut between pre-tokens."""
+    out = [start]
+    while ends[stop] - ends[start] > most and start + 1 < stop:
         lo = int(np.searchsorted(ends, ends[start] + least, "left"))
         hi = int(np.searchsorted(ends, ends[start] + most, "right")) - 1
+        if ends[stop] - ends[start] <= most + least:  # leave no crumb
+            hi = min(hi, int(np.searchsorted(ends, ends[stop] - least / 2, "right")) - 1)
         lo = max(min(lo, hi), start + 1)
-        hi = max(hi, lo)
-        mark = int(np.searchsorted(marks, lo, "left"))
-        if mark < len(marks) and marks[mark] <= hi:
-            at = int(marks[mark])
-            reach = (ends[hi] - ends[lo]) / 4
-            a, z = lo + int(np.searchsorted(ends[lo : hi + 1], ends[at] - reach)), lo + int(np.searchsorted(ends[lo : hi + 1], ends[at] + reach, "right")) - 1
-            near = strong[a : z + 1]
-            if near.max() <= BLANK:  # no natural boundary that near
-                a, near = lo, strong[lo : hi + 1]
-            best = a + np.nonzero(near == near.max())[0]
-            cut = int(best[np.argmin(np.abs(best - at))])
-        else:
-            near = strong[lo : hi + 1]
-            cut = lo + int(np.nonzero(near == near.max())[0][-1])
-        out.append(cut)
-        start = cut
+        hi = min(max(hi, lo), stop - 1)
+        lo = min(lo, hi)
+        near = strong[lo : hi + 1]
+        start = lo + int(np.nonzero(near == near.max())[0][-1])
+        out.append(start)
     return out
 
 
@@ -109,22 +133,29 @@ def pieces(text: str, limit: int, overlap: int, t: Tokens, share: float = 0.4) -
     zero = np.zeros(1, np.int64)
     ends = np.concatenate((zero, np.cumsum(bits >> COUNT)))
     chars = np.concatenate((zero, np.cumsum((bits >> LENGTH) & LONGEST)))
-    while True:
-        starts = cuts(bits, ends, max(1, int(room * share)), room)
-        begins = [0, *np.searchsorted(ends, ends[starts[1:]] - overlap, "left").tolist()]
-        out = []
-        for s, b, e in zip(starts, begins, [*starts[1:], len(parts)]):
-            # at the end of a piece its trailing white space is one pre-token
-            tail = e
-            while tail > b and parts[tail - 1].isspace():
-                tail -= 1
-            n = int(ends[tail] - ends[b]) + (t.counts["".join(parts[tail:e])] if tail < e else 0)
-            if uneven:
-                n = t.count(text[chars[b] : chars[e]])
+    least = max(1, int(room * share))
+    starts = cuts(bits, ends, least, room)
+    strong = strengths(bits >> LOOK)
+    todo = [(s, e, room) for s, e in zip(starts, [*starts[1:], len(parts)])][::-1]
+    out = []
+    while todo:
+        s, e, most = todo.pop()
+        b = int(np.searchsorted(ends, ends[s] - overlap, "left")) if s else 0
+        # at the end of a piece its trailing white space is one pre-token
+        tail = e
+        while tail > b and parts[tail - 1].isspace():
+            tail -= 1
+        n = int(ends[tail] - ends[b]) + (t.counts["".join(parts[tail:e])] if tail < e else 0)
+        if uneven:
+            n = t.count(text[chars[b] : chars[e]])
+        if n <= limit or e - s <= 1 or most <= 1:
             out.append((int(chars[b]), int(chars[s]), int(chars[e]), n))
-        if max(p[3] for p in out) <= limit or room <= 8:
-            return out
-        room = room * 9 // 10  # parts of a cut pre-token may merge differently; leave more room
+            continue
+        # parts of a cut pre-token may merge differently: this piece alone is cut again, with less room
+        most = min(most, int(ends[e] - ends[s])) * 9 // 10
+        again = _steps(ends, strong, s, e, min(least, max(1, most // 2)), max(1, most))
+        todo += [(x, y, most) for x, y in zip(again, [*again[1:], e])][::-1]
+    return out
 
 
 PIECES = "id bigint, piece int, char_start int, core_start int, char_end int, n_tokens int, text string"

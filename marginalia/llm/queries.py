@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm import distinctive, leaks, markup, nearcopies, neighbours, packing, pieces, ranking
+from marginalia.operators.skew import distinct_rows
 from marginalia.session import table
 
 CAPACITY, LIMIT, OVERLAP = 2048, 512, 64
@@ -60,7 +61,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_clean(spark: SparkSession, d: str) -> DataFrame:
-    found = markup.rendered(table(spark, d, "file_sections").select("id", "content_full").distinct())
+    found = markup.rendered(distinct_rows(table(spark, d, "file_sections").select("id", "content_full"), "id"))
     return found.select(F.col("id").alias("section_id"), "text")
 
 

@@ -10,13 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from marginalia.session import stored
+from marginalia.session import release, stored
 
 #: Items of a list that one task ranks in memory; longer lists are ranked by distributed prefix sums.
 LONG_LIST = 20_000
-DAMPING, ROUNDS, LEAST_CHANGE = 0.9, 200, 1e-12
-#: The distributed form stops at this change.
-LEAST_CHANGE_LONG = 1e-7
+#: Rounds stop when no item of a list has changed by more than this share of its even part; with this damping ROUNDS always suffice.
+DAMPING, ROUNDS, LEAST_CHANGE = 0.9, 250, 1e-9
+#: Long lists whose names and sizes are broadcast at most.
+BROADCAST_LISTS = 1_000_000
 
 
 def rank_walk(lists: np.ndarray, scores: np.ndarray) -> np.ndarray:
@@ -52,7 +53,7 @@ def rank_walk(lists: np.ndarray, scores: np.ndarray) -> np.ndarray:
             sums = np.concatenate(([0.0], np.cumsum(q * inverse)))
             new[order] += sums[list_end] - sums[run_end] + np.where(better == 0, q, 0.0)
         new = DAMPING * new / m + (1 - DAMPING) * even
-        change = np.abs(new - p).max()
+        change = (np.abs(new - p) / even).max()
         p = new
         if change < LEAST_CHANGE:
             break
@@ -84,7 +85,8 @@ def _rank_lists(n_scores: int, winners: bool):
             names = np.array(rows.column(1).to_pylist(), object)
             scores = np.stack([rows.column(2 + k).to_numpy().astype(np.float64) for k in range(n_scores)], axis=1)
             p = rank_walk(lists, scores)
-            order = np.lexsort((names, -np.round(p, 12), lists)) if len(p) else np.zeros(0, np.int64)
+            which = np.unique(lists, return_inverse=True)[1]
+            order = np.lexsort((names, -np.round(p * np.bincount(which)[which], 8), lists)) if len(p) else np.zeros(0, np.int64)
             lists, names, scores, p = lists[order], names[order], scores[order], p[order]
             first = np.nonzero(np.concatenate(([True], lists[1:] != lists[:-1])))[0] if len(lists) else np.zeros(0, np.int64)
             size = np.diff(np.append(first, len(lists)))
@@ -133,25 +135,36 @@ def ranking(items: DataFrame, list_col: str, item_col: str, scores: list[Column]
     rows = stored(rows.select("list", "item", *[F.when(~F.isnan(f"s{k}"), F.col(f"s{k}")).alias(f"s{k}") for k in range(len(scores))]), "items")
     long_lists = rows.groupBy("list").count().where(F.col("count") > LONG_LIST).select("list")
     short, far = rows, None
-    if not long_lists.isEmpty():  # at most all items / LONG_LIST of them
-        long_lists = stored(long_lists, "long")
-        short = rows.join(F.broadcast(long_lists), "list", "left_anti")
-        far = long_ranking(rows.join(F.broadcast(long_lists), "list", "left_semi"), len(scores), winners)
+    long_lists = stored(long_lists, "long")
+    n_long = long_lists.count()
+    if n_long:
+        side = _sized(n_long)
+        short = rows.join(side(long_lists), "list", "left_anti")
+        far = long_ranking(stored(rows.join(side(long_lists), "list", "left_semi"), "far"), len(scores), winners, n_long)
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     near = short.repartition(parts, "list").sortWithinPartitions("list", "item").mapInArrow(_rank_lists(len(scores), winners), RANKED)
     return near if far is None else near.unionByName(far)
 
 
-def long_ranking(rows: DataFrame, n_scores: int, winners: bool) -> DataFrame:
-    """``ranking`` for lists that no task should hold: every sum over a list goes over range partitions of its sorted order."""
+def _sized(lists: int):
+    """How a table with one row for each of so many lists is joined: broadcast while they are few enough."""
+    return F.broadcast if lists <= BROADCAST_LISTS else (lambda df: df)
+
+
+def long_ranking(rows: DataFrame, n_scores: int, winners: bool, n_lists: int) -> DataFrame:
+    """``ranking`` for ``n_lists`` lists that no task should hold: every sum over a list goes over range partitions of its sorted order.
+
+    The rounds are those of ``rank_walk`` and stop by the same rule; a round's table is deleted when the next one is written.
+    """
     f = F
+    side = _sized(n_lists)
     score = f.explode(f.array(*[f.struct(f.lit(k).alias("s"), f.coalesce(f.col(f"s{k}"), f.lit(float("-inf"))).alias("x")) for k in range(n_scores)]))
     long = rows.select("list", "item", score.alias("v")).select("list", "item", "v.s", "v.x")
     values_ = long.groupBy("list", "s", "x").agg(f.count("*").alias("n"))
     worth = running(values_, ["list", "s"], f.col("x").desc(), "n", "better")
     slots = stored(long.join(worth.select("list", "s", "x", "part", "better"), ["list", "s", "x"]), "slots")
-    size = rows.groupBy("list").agg(f.count("*").alias("size"))
-    p = stored(rows.select("list", "item").join(f.broadcast(size), "list").select("list", "item", (1 / f.col("size")).alias("p")), "walk")
+    size = stored(rows.groupBy("list").agg(f.count("*").alias("size")), "sizes")
+    walk = p = stored(rows.select("list", "item").join(side(size), "list").select("list", "item", (1 / f.col("size")).alias("p")), "walk")
     for _ in range(ROUNDS):
         flow = slots.join(p, ["list", "item"]).withColumn("q", f.when(f.col("better") > 0, f.col("p") / f.col("better")).otherwise(0.0))
         per_value = flow.groupBy("list", "s", "part", "x").agg(f.sum("q").alias("q"))
@@ -163,14 +176,15 @@ def long_ranking(rows: DataFrame, n_scores: int, winners: bool) -> DataFrame:
         step = flow.join(worse, ["list", "s", "x"]).groupBy("list", "item").agg(
             f.sum(f.col("worse") + f.when(f.col("better") == 0, f.col("p")).otherwise(0.0)).alias("sum"), f.first("p").alias("old")
         )
-        new = step.join(f.broadcast(size), "list").select("list", "item", "old", (DAMPING / n_scores * f.col("sum") + (1 - DAMPING) / f.col("size")).alias("p"))
+        new = step.join(side(size), "list").select("list", "item", "old", "size", (DAMPING / n_scores * f.col("sum") + (1 - DAMPING) / f.col("size")).alias("p"))
         new = stored(new, "walk")
-        change = new.agg(f.max(f.abs(f.col("p") - f.col("old")) / f.col("old"))).first()[0]
-        p = new.select("list", "item", "p")
-        if change is None or change < LEAST_CHANGE_LONG:
+        change = new.agg(f.max(f.abs(f.col("p") - f.col("old")) * f.col("size"))).first()[0]
+        release(walk)
+        walk, p = new, new.select("list", "item", "p")
+        if change is None or change < LEAST_CHANGE:
             break
-    key = f.struct(f.round(-f.col("p"), 12).alias("p"), f.col("item").alias("i"))
-    placed = running(p.withColumn("key", key).withColumn("one", f.lit(1)), ["list"], f.col("key").asc(), "one", "before")
+    key = f.struct(f.round(-f.col("p") * f.col("size"), 8).alias("p"), f.col("item").alias("i"))
+    placed = running(p.join(side(size), "list").withColumn("key", key).withColumn("one", f.lit(1)), ["list"], f.col("key").asc(), "one", "before")
     out = placed.select("list", "item", f.col("p").alias("stationary"), (f.col("before") + 1).alias("place"))
     if not winners:
         return out.withColumn("unbeaten", f.lit(False))
@@ -181,12 +195,12 @@ def long_ranking(rows: DataFrame, n_scores: int, winners: bool) -> DataFrame:
         best = left.groupBy("list").agg(f.min_by(f.struct("item", *[f"s{k}" for k in range(n_scores)]), "place").alias("b"))
         low = lambda c: f.coalesce(c, f.lit(float("-inf")))
         margin = sum((_versus(low(f.col("b")[f"s{k}"]), low(f.col(f"s{k}"))) for k in range(n_scores)), f.lit(0))
-        against = every.join(f.broadcast(best), "list").where(f.col("b")["item"] != f.col("item")).withColumn("margin", margin)
+        against = every.join(side(best), "list").where(f.col("b")["item"] != f.col("item")).withColumn("margin", margin)
         beaten = against.where("margin <= 0").select("list").distinct()
         won = best.join(beaten, "list", "left_anti").select("list", f.col("b")["item"].alias("item"))
         won = stored(won, "won")
         found = won if found is None else found.union(won)
-        left = stored(left.join(against.where("margin < 0").select("list", "item"), ["list", "item"], "left_semi").join(f.broadcast(won.select("list")), "list", "left_anti"), "left")
+        left = stored(left.join(against.where("margin < 0").select("list", "item"), ["list", "item"], "left_semi").join(side(won.select("list")), "list", "left_anti"), "left")
     flags = found.withColumn("unbeaten", f.lit(True)) if found is not None else None
     return out.join(flags, ["list", "item"], "left").withColumn("unbeaten", f.coalesce("unbeaten", f.lit(False))) if flags is not None else out.withColumn("unbeaten", f.lit(False))
 

@@ -49,6 +49,26 @@ def test_spans_and_removal(spark):
     assert kept.text == "Intro.  end"
 
 
+def test_spans_where_lower_case_has_another_length(spark):
+    passage = "one two three four five six seven eight nine ten eleven twelve"
+    text = "İİ before İx. " + "filler " * 500 + passage.upper() + ". İ after " + "more " * 500
+    d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    i = spark.createDataFrame([(1, None, passage), (2, "i̇stanbul a b c d e f g h i j k l", None)], "item_id long, question string, passage string")
+    found = leaks.leaks(d, i, 12)
+    spans = [(s.start, s.end) for r in found.collect() for s in r.spans]
+    assert [text[a:b] for a, b in spans] == [passage.upper()]
+    clean = leaks.without_leaks(d, found).first()
+    assert not clean.dropped and clean.removed_chars == len(passage) and clean.text == text.replace(passage.upper(), "")
+
+
+def test_removal_by_shuffle_gives_the_same(spark, monkeypatch):
+    _, _, d, i = fixture(spark)
+    found = leaks.leaks(d, i, 12)
+    want = sorted(map(str, leaks.without_leaks(d, found).collect()))
+    monkeypatch.setattr(leaks, "BROADCAST_DOCS", 0)
+    assert sorted(map(str, leaks.without_leaks(d, found).collect())) == want
+
+
 def test_empty(spark):
     _, _, d, i = fixture(spark)
     assert leaks.leaks(d.limit(0), i).count() == 0 and leaks.leaks(d, i.limit(0)).count() == 0

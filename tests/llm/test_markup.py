@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from marginalia.llm.markup import Rendering, rendered
@@ -30,6 +32,19 @@ CASES = [
     ("<pre>a\n  b</pre>", {"html"}, "```\na\n  b\n```\n\n"),
     ("<span\n style=\"c\">x</span>", {"html"}, "x"),
     ("one<br/>two", {"html"}, "one\ntwo"),
+    ("\\alpha + \\Omega \\leq \\foo", {"latex"}, "α + Ω ≤ \\foo"),
+    ("50 \\% of \\textbf{A \\& B}, x\\_y \\#1", {"latex"}, "50 % of A & B, x_y #1"),
+    ("{\\bf bold} and \\emph{a {b} c}", {"latex"}, "bold and a {b} c"),
+    ("\\begin{verbatim}\n\\textbf{x} **y**\n\\end{verbatim}", {"latex"}, "\n```\n\\textbf{x} **y**\n```\n"),
+    ("\\begin{equation}\nE = mc^2\n\\end{equation}", {"latex"}, "$$\nE = mc^2\n$$"),
+    ("\\begin{description}\n\\item[A] one\n\\end{description}", {"latex"}, "- A: one"),
+    ("\\begin{quote}\\begin{itemize}\\item a\\end{itemize}\\end{quote}", {"latex"}, "- a"),
+    ("{{a|{{b|c}}|d}} {{ {x} }}", {"wiki"}, "c; d {{ {x} }}"),
+    ("{|\n| a\n{| b", set(), None),
+    ("Title\n=====\n\ntext\n\nSub\n---\nmore **b**", {"markdown"}, "# Title\n\ntext\n\n## Sub\nmore b"),
+    ("- item\n---\n\na | b\n---\n", set(), None),
+    ("<table><tr><td rowspan=2>a<td>1<tr><td>2<tr><td>b<td>3</table>", {"html"}, "a | 1\n  | 2\nb | 3\n\n"),
+    ("<table><tr><td>a<td rowspan=2>r<tr><td>b<tr><td colspan=2>w</table>", {"html"}, "a | r\nb |\nw |\n\n"),
     # no markup
     ("```html\n<b>x</b> **y** [[z]]\n```", set(), None),
     ("~~~tex\n\\textbf{x}\n~~~", set(), None),
@@ -58,6 +73,17 @@ def test_hostile_texts():
     assert Rendering("\ue0000\ue001 **x**").text == "\ue0000\ue001 x"
 
 
+@pytest.mark.parametrize("part", ["\\(a ", "\\[a ", "{|\n", "{| x\n| a\n", "\\a{", "\\textbf{x ", "{{a|", "\\begin{a}", "\\begin{a}[", "`a ``b ", "$$a ", "$a ", "a.", "_a_b ", "''a ", "**a ", "[a](", "<a x=\"", "<a b ", "</b", "&a", "==a ", "~~a ", "![[a", "> ", "<td rowspan=9>", "\\item[a", "[a]: ", "|-", "<!-", "a\n===\n", "\\end{a}", "#{", "\ue000"])
+def test_time_grows_with_the_text(part):
+    """Openings without an end, over and over."""
+    took = []
+    for n in (50_000, 400_000):
+        began = time.process_time()
+        Rendering(part * (n // len(part)))
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * took[0] + 0.3
+
+
 def test_table(spark):
     df = spark.createDataFrame([("a", "**x** <i>y</i>"), ("a", "**x** <i>y</i>"), ("n", None), ("e", ""), (None, "[[z]]")], "id string, content_full string").selectExpr("*", "1 AS text", "2 AS kinds")
     got = [(r.id, r.text, r.kinds) for r in rendered(df).collect()]

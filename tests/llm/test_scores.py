@@ -115,6 +115,21 @@ def test_rare_keywords(spark):
     assert distinctive.rare_keywords(df.limit(0)).count() == 0 and distinctive.distinctive_terms(df.where("id = 's1'")).count() == 4
 
 
+def test_an_id_with_several_texts(spark):
+    rows = [("a", "iron iron", "iron"), ("a", "iron", "iron"), ("a", "iron", "iron"), ("b", "iron", None), ("c", "x", None)]
+    df = spark.createDataFrame(rows, "id string, content_full string, keywords string")
+    assert {(r.id, r.term): r.tf for r in distinctive.distinctive_terms(df).collect()} == {("a", "iron"): 5, ("b", "iron"): 1, ("c", "x"): 1}
+    assert [(r.id, r.term) for r in distinctive.rare_keywords(df).collect()] == [("a", "iron")]
+
+
+def test_every_case_is_above_the_bound(spark):
+    """Terms spread evenly over five texts weigh least of all cases."""
+    rows = [(f"r{i}", " ".join([f"even{i // 5}"] * 3 + ["common"] * 9 + [f"own{i}"] * 4), f"even{i // 5}, common, own{i}") for i in range(40)]
+    rows = [(a, b.translate(str.maketrans("0123456789", "abcdefghij")), c.translate(str.maketrans("0123456789", "abcdefghij"))) for a, b, c in rows]
+    got = {(r.id, r.term) for r in distinctive.rare_keywords(spark.createDataFrame(rows, "id string, content_full string, keywords string")).collect()}
+    assert got == {(f"r{i}", f"even{'abcdefghij'[i // 5]}") for i in range(40)}
+
+
 def test_shuffled_statistics_give_the_same(spark, monkeypatch):
     df = spark.createDataFrame(SECTIONS, "id string, content_full string, keywords string")
     want = sorted(tuple(r) for r in distinctive.distinctive_terms(df).collect())

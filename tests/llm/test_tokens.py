@@ -49,12 +49,28 @@ def test_cuts_fall_on_boundaries():
     assert good >= 0.95 * (len(got) - 1)
 
 
-def test_an_edit_alters_only_its_neighbours():
-    text = sentence_text(600)
-    before = {text[c:e] for _, c, e, _ in pieces.pieces(text, 128, 0, tokens())}
-    edited = "Quite another beginning, of some length. " + text
-    after = {edited[c:e] for _, c, e, _ in pieces.pieces(edited, 128, 0, tokens())}
-    assert len(before & after) >= 0.7 * len(before)
+UNLIKE = {"digits": "4711 0815 " * 400, "japanese": "吾輩は猫である。名前はまだ無い。" * 120, "symbols": "%%%///" * 300, "words": "Quite another sentence, of some length. ", "none": "x" * 3000, "lines": "\n\n# h\n\n" * 60}
+
+
+@pytest.mark.parametrize("kind", UNLIKE)
+@pytest.mark.parametrize("overlap", [0, 16])
+def test_an_edit_alters_only_its_neighbours(kind, overlap):
+    """Appended, prepended, inserted, deleted: of the untouched part at most two pieces on each side of the edit change."""
+    text, t, new = sentence_text(600), tokens(), UNLIKE[kind]
+    cores = lambda x: [(c, e) for _, c, e, _ in pieces.pieces(x, 128, overlap, t)]
+    before = cores(text)
+    rng = random.Random(1)
+    spots = [0, len(text), *(rng.randrange(len(text)) for _ in range(4))]
+    for at in spots:
+        after = set(cores(text[:at] + new + text[at:]))
+        left = [p for p in before if p[1] <= at and p not in after]
+        right = [p for p in before if p[0] >= at and (p[0] + len(new), p[1] + len(new)) not in after]
+        assert len(left) <= 2 and len(right) <= 2, (at, left, right)
+        cut = text[:at] + text[at + 500 :]
+        after = set(cores(cut))
+        left = [p for p in before if p[1] <= at and p not in after]
+        right = [p for p in before if p[0] >= at + 500 and (p[0] - 500, p[1] - 500) not in after]
+        assert len(left) <= 2 and len(right) <= 2, (at, left, right)
 
 
 def test_split_table(spark):
