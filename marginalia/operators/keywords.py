@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import heapq
+import re
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from marginalia.functions.text import keyword_tokens, umlauts, words
 from marginalia.functions.wordlists import FIELD, GERMAN, SECTION
+from marginalia.operators.skew import by_repetition
 
 
 def token_rows(df: DataFrame, id_col: str, tokens: Column) -> DataFrame:
@@ -16,21 +22,48 @@ def token_rows(df: DataFrame, id_col: str, tokens: Column) -> DataFrame:
     return rows.groupBy(id_col, "word").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
 
 
+def _most_frequent(df: DataFrame, id_col: str, text_col: str, pattern: str, tokens: Column, keep: Column, stopwords: list[str], least: int, n: int) -> DataFrame:
+    """(id, rank, word, n) of the ``n`` most frequent words of each record, ties by first occurrence.
+
+    Counted inside the row, in Arrow batches, so no word is shuffled; only records whose id is repeated are taken together by a shuffle.
+    """
+    once, rest = by_repetition(df.select(id_col, text_col), id_col)
+    stop = frozenset(stopwords)
+    kind = dict(df.dtypes)[id_col]
+
+    def run(batches):
+        words = re.compile(pattern)
+        for b in batches:
+            ids, out = [], []
+            for i in range(b.num_rows):
+                text = b.column(1)[i].as_py()
+                if text:
+                    count = Counter(w for w in words.findall(text.lower()) if len(w) >= least and w not in stop)
+                    # most_common keeps the order of first occurrence among equals
+                    top = count.most_common() if len(count) <= n else heapq.nsmallest(n, ((-c, at, w) for at, (w, c) in enumerate(count.items())))
+                    top = top if len(count) <= n else [(w, -c) for c, _, w in top]
+                    ids += [i] * len(top)
+                    out += [(r, w, c) for r, (w, c) in enumerate(top, 1)]
+            ranks, names, counts = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), pa.array(ranks, pa.int32()), pa.array(names, pa.string()), pa.array(counts, pa.int64())], [id_col, "rank", "word", "n"])
+
+    near = once.mapInArrow(run, f"`{id_col}` {kind}, rank int, word string, n bigint")
+    counted = token_rows(rest, id_col, tokens).where(keep & ~F.col("word").isin(stopwords))
+    w = W.partitionBy(id_col).orderBy(F.desc("n"), "first")
+    return near.unionByName(counted.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select(id_col, "rank", "word", "n"))
+
+
 def top_keywords(df: DataFrame, id_col: str, text_col: str, n: int = 10, least: int = 4, stopwords: list[str] | None = None) -> DataFrame:
     """(id, rank, word, n): the most frequent keywords of each record, ties by first occurrence.
 
     Null and empty texts give no row; repeated ids are taken together.
     """
-    counted = token_rows(df, id_col, keyword_tokens(F.col(text_col), least)).where(~F.col("word").isin(SECTION if stopwords is None else stopwords))
-    w = W.partitionBy(id_col).orderBy(F.desc("n"), "first")
-    return counted.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select(id_col, "rank", "word", "n")
+    return _most_frequent(df, id_col, text_col, rf"(?<!\w)[a-zäöüß]{{{least},}}(?!\w)", keyword_tokens(F.col(text_col), least), F.lit(True), SECTION if stopwords is None else stopwords, least, n)
 
 
 def handler_keywords(df: DataFrame, id_col: str, text_col: str, stopwords: list[str] | None = None, n: int = 20) -> DataFrame:
     """``top_keywords`` over all words of two characters or more; by default without the German and the field's stopwords."""
-    counted = token_rows(df, id_col, words(F.col(text_col))).where((F.length("word") >= 2) & ~F.col("word").isin(GERMAN + FIELD if stopwords is None else stopwords))
-    w = W.partitionBy(id_col).orderBy(F.desc("n"), "first")
-    return counted.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select(id_col, "rank", "word", "n")
+    return _most_frequent(df, id_col, text_col, r"\w+", words(F.col(text_col)), F.length("word") >= 2, GERMAN + FIELD if stopwords is None else stopwords, 2, n)
 
 
 def dictionary(bridge: DataFrame) -> DataFrame:

@@ -12,15 +12,18 @@ from marginalia.operators.skew import skew_join
 def delta_plan(stored: DataFrame, current: DataFrame, key: str = "path", mark: str = "hash", scope: str | None = None) -> DataFrame:
     """(key, action) with action new, changed, same or removed.
 
-    Rows are compared by their mark, null-safe. With ``scope`` only stored keys below that prefix can be removed, so a run
-    over one root leaves the others alone. Repeated rows count once.
+    Rows are compared by their mark, null-safe. With ``scope`` only stored keys that are that folder or below it can be removed, so a run
+    over one root leaves the others alone. Of several rows of a key the one with the greatest mark counts.
     """
-    old = stored.select(F.col(key), F.col(mark).alias("__old"), F.lit(True).alias("__has_old")).dropDuplicates([key])
-    new = current.select(F.col(key), F.col(mark).alias("__new"), F.lit(True).alias("__has_new")).dropDuplicates([key])
+    one = lambda df, n: df.groupBy(key).agg(F.max(mark).alias(f"__{n}"), F.lit(True).alias(f"__has_{n}"))
+    old, new = one(stored, "old"), one(current, "new")
     both = old.join(new, key, "full_outer")
     action = F.when(F.col("__has_old").isNull(), "new").when(F.col("__has_new").isNull(), "removed").when(F.col("__old").eqNullSafe(F.col("__new")), "same").otherwise("changed")
     out = both.select(key, action.alias("action"))
-    return out if scope is None else out.where((F.col("action") != "removed") | F.col(key).startswith(scope))
+    if scope is None:
+        return out
+    folder = scope.rstrip("/")
+    return out.where((F.col("action") != "removed") | (F.col(key) == folder) | F.col(key).startswith(folder + "/"))
 
 
 def apply_delta(old: DataFrame, fresh: DataFrame, plan: DataFrame, key: str = "path") -> DataFrame:
@@ -58,8 +61,10 @@ def upsert_latest(old: DataFrame, new: DataFrame, keys: list[str], order: list[C
 
 
 def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """INSERT OR IGNORE."""
-    return old.unionByName(new.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti").select(*old.columns))
+    """INSERT OR IGNORE; of several new rows of a key the greatest (column by column) is inserted."""
+    rest = [c for c in old.columns if c not in keys]
+    one = new.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("__r")).select(*keys, "__r.*") if rest else new.select(*keys).distinct()
+    return old.unionByName(one.join(old.select(*keys), keys, "left_anti").select(*old.columns))
 
 
 def upsert_counter(old: DataFrame, seen: DataFrame, key: str, counter: str = "scan_count") -> DataFrame:

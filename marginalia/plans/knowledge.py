@@ -6,14 +6,15 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import text as X
 from marginalia.operators import knowledge
+from marginalia.operators.skew import distinct_rows
 from marginalia.session import table
 from marginalia.streaming import windows
 
 
-def _essences(spark, d):
-    """Sections as essences: keywords as they are, the header as entity."""
-    s = table(spark, d, "file_sections").distinct()
-    return s.select("id", "file_id", "parent_section_id", "section_header", "content_preview", "content_full", "section_level", "line_start", "created_at", X.keyword_array(F.col("keywords")).alias("keys"),
+def _essences(spark, d, *more):
+    """Sections as essences: keywords as they are, the header as entity, and what else is asked for; repeated rows count once, by their id and these columns."""
+    s = table(spark, d, "file_sections").select("id", "section_header", "keywords", *more).distinct()
+    return s.select("id", "section_header", *more, X.keyword_array(F.col("keywords")).alias("keys"),
                     F.when(F.col("section_header").isNotNull(), F.array("section_header")).otherwise(F.array().cast("array<string>")).alias("entities"))
 
 
@@ -27,7 +28,7 @@ def hotspots_mentions(spark, d):
 
 def hotspot_score(spark, d):
     """How many files name each hotspot."""
-    e = _essences(spark, d)
+    e = _essences(spark, d, "file_id")
     top = knowledge.hotspots(e, "id", {"keyword": F.col("keys")})
     named = e.select("file_id", F.explode("keys").alias("k")).select("file_id", F.lower(F.trim("k")).alias("topic")).distinct()
     return named.join(F.broadcast(top.select("topic")), "topic").groupBy("topic").agg(F.count("file_id").alias("files"))  # at most 20 topics
@@ -67,7 +68,7 @@ def essence_gc(spark, d):
 
 
 def _pairs(spark, d):
-    e = _essences(spark, d)
+    e = _essences(spark, d, "parent_section_id", "content_preview")
     p = e.select(F.col("id").alias("parent_section_id"), F.col("keys").alias("parent_keys"), F.col("content_preview").alias("parent_text"))
     return e.join(p, "parent_section_id")
 
@@ -103,7 +104,8 @@ def report_unified_diff(spark, d):
 
 def report_merge(spark, d):
     """Upper and lower sections of a file merged by title, with their whole texts; same-titled sections of a side are joined in the order of their lines."""
-    e = _essences(spark, d).where("section_header IS NOT NULL").select("file_id", F.col("section_header").alias("title"), "section_level", "line_start", "id", F.col("content_full").alias("text"))
+    rows = table(spark, d, "file_sections").where("section_header IS NOT NULL").select("file_id", F.col("section_header").alias("title"), "section_level", "line_start", "id", F.col("content_full").alias("text"))
+    e = distinct_rows(rows, "id")
     texts = F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("line_start", "id", "text"))))["text"]
     part = lambda c: e.where(c).groupBy("file_id", "title").agg(F.when(F.count("text") > 0, F.array_join(texts, "\n\n")).alias("text"))
     return knowledge.merge_sections(part("section_level <= 2"), part("section_level > 2"), "file_id")
@@ -159,8 +161,9 @@ SELECT id, parent_section_id, coalesce(array_to_string(list_transform(list_filte
     "report_line_diff": """WITH a AS (SELECT doc_id, line, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY 1, 2),
 b AS (SELECT doc_id, line, count(*) AS n FROM (SELECT doc_id, unnest(string_split(replace(text, 'iron', 'steel'), chr(10))) AS line FROM documents) GROUP BY 1, 2),
 c AS (SELECT doc_id, line, coalesce(b.n, 0) - coalesce(a.n, 0) AS d FROM a FULL JOIN b USING (doc_id, line)) SELECT doc_id, CASE WHEN d > 0 THEN '+' ELSE '-' END AS side, line, abs(d) AS n FROM c WHERE d <> 0""",
-    "report_merge": f"""WITH {_E}, a AS (SELECT file_id, section_header AS title, max(content_preview) AS x FROM e WHERE section_header IS NOT NULL AND section_level <= 2 GROUP BY 1, 2),
-b AS (SELECT file_id, section_header AS title, max(content_preview) AS y FROM e WHERE section_header IS NOT NULL AND section_level > 2 GROUP BY 1, 2)
+    "report_merge": f"""WITH e AS (SELECT DISTINCT id, file_id, section_header, section_level, line_start, content_full AS t FROM file_sections WHERE section_header IS NOT NULL),
+a AS (SELECT file_id, section_header AS title, string_agg(t, chr(10) || chr(10) ORDER BY line_start NULLS FIRST, id) AS x FROM e WHERE section_level <= 2 GROUP BY 1, 2),
+b AS (SELECT file_id, section_header AS title, string_agg(t, chr(10) || chr(10) ORDER BY line_start NULLS FIRST, id) AS y FROM e WHERE section_level > 2 GROUP BY 1, 2)
 SELECT file_id, title, CASE WHEN x IS NULL THEN y WHEN y IS NULL OR trim(x) = trim(y) THEN x ELSE x || chr(10) || '[supplement]' || chr(10) || y END AS text FROM a FULL JOIN b USING (file_id, title)""",
     "cron_matches": "SELECT doc_id, created_at FROM documents WHERE (minute(created_at) % 20 = 0 OR minute(created_at) = 7) AND hour(created_at) BETWEEN 8 AND 18 AND (month(created_at) <= 6 OR month(created_at) = 9) AND isodow(created_at) <= 5",
     "event_windows": "SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE ts IS NOT NULL GROUP BY 1, 2",

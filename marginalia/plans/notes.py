@@ -23,7 +23,7 @@ _NOTE = """
 
 def notes(spark: SparkSession, d: str) -> DataFrame:
     expr = _NOTE.format(nl="'\\n'", half="(doc_id div 2)", third="(doc_id div 3)")
-    return table(spark, d, "documents").selectExpr("doc_id", "created_at", *[e.strip() for e in _split(expr)])
+    return table(spark, d, "documents", spread=True).selectExpr("doc_id", "created_at", *[e.strip() for e in _split(expr)])
 
 
 def _split(expr: str) -> list[str]:
@@ -41,11 +41,12 @@ STOP_HANDLER = ", ".join(f"'{w}'" for w in wordlists.GERMAN + wordlists.FIELD)
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    return table(spark, d, "documents", spread=True)
 
 
-def _sections(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "file_sections").distinct()
+def _sections(spark: SparkSession, d: str, **columns) -> DataFrame:
+    """What is asked of each section, made row by row; repeated rows count once, by their id and these columns."""
+    return table(spark, d, "file_sections").select("id", *[c.alias(n) for n, c in columns.items()]).distinct()
 
 
 def keywords_top10(spark, d):
@@ -65,11 +66,11 @@ def keyword_dictionary(spark, d):
 
 
 def section_keywords(spark, d):
-    return keywords.section_keywords(_sections(spark, d), "id", X.keyword_array(F.col("keywords")))
+    return keywords.section_keywords(table(spark, d, "file_sections"), "id", X.keyword_array(F.col("keywords")))
 
 
 def keyword_parse_json_csv(spark, d):
-    return _sections(spark, d).select("id", F.array_join(X.keyword_array(F.col("keywords")), "|").alias("keywords"))
+    return _sections(spark, d, keywords=F.array_join(X.keyword_array(F.col("keywords")), "|"))
 
 
 def synonym_expand(spark, d):
@@ -78,8 +79,7 @@ def synonym_expand(spark, d):
 
 
 def embedding_text(spark, d):
-    s = _sections(spark, d)
-    return s.select("id", X.embedding_text(F.col("section_header"), F.col("content_full"), X.keyword_array(F.col("keywords"))).alias("embedding_text"))
+    return _sections(spark, d, embedding_text=X.embedding_text(F.col("section_header"), F.col("content_full"), X.keyword_array(F.col("keywords"))))
 
 
 def content_hashes(spark, d):
@@ -266,10 +266,10 @@ SELECT id, file_path, CASE WHEN contains(p, 'learnings') OR contains(n, 'learnin
     "chunks_sentence": """WITH s AS (SELECT doc_id, text, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS l FROM documents WHERE text <> ''),
 f AS (SELECT doc_id, CASE WHEN len(l) = 0 THEN [left(text, 500)] ELSE list_filter(string_split(list_reduce(list_prepend('', l), lambda acc, p: CASE
   WHEN acc[-1:] <> chr(1) AND acc <> '' AND len(string_split(acc, chr(1))[-1]) + len(p) > 500 THEN acc || chr(1) || (CASE WHEN contains(right(string_split(acc, chr(1))[-1], 50), '. ') AND string_split(right(string_split(acc, chr(1))[-1], 50), '. ')[-1] <> '' THEN string_split(right(string_split(acc, chr(1))[-1], 50), '. ')[-1] || ' ' || p
-    WHEN contains(right(string_split(acc, chr(1))[-1], 50), '. ') THEN (CASE WHEN len(p) > 500 THEN left(p, 500) || chr(1) ELSE p END)
+    WHEN contains(right(string_split(acc, chr(1))[-1], 50), '. ') THEN (CASE WHEN len(p) > 500 THEN array_to_string(list_transform(range(0, len(p), 500), lambda i: substring(p, i + 1, 500)), chr(1)) || chr(1) ELSE p END)
     WHEN contains(right(string_split(acc, chr(1))[-1], 50), '! ') THEN string_split(right(string_split(acc, chr(1))[-1], 50), '! ')[-1] || ' ' || p WHEN contains(right(string_split(acc, chr(1))[-1], 50), '? ') THEN string_split(right(string_split(acc, chr(1))[-1], 50), '? ')[-1] || ' ' || p
-    WHEN len(p) > 500 THEN left(p, 500) || chr(1) ELSE p END)
-  WHEN acc = '' OR acc[-1:] = chr(1) THEN acc || (CASE WHEN len(p) > 500 THEN left(p, 500) || chr(1) ELSE p END) ELSE acc || ' ' || p END), chr(1)), lambda x: x <> '') END AS c FROM s)
+    WHEN len(p) > 500 THEN array_to_string(list_transform(range(0, len(p), 500), lambda i: substring(p, i + 1, 500)), chr(1)) || chr(1) ELSE p END)
+  WHEN acc = '' OR acc[-1:] = chr(1) THEN acc || (CASE WHEN len(p) > 500 THEN array_to_string(list_transform(range(0, len(p), 500), lambda i: substring(p, i + 1, 500)), chr(1)) || chr(1) ELSE p END) ELSE acc || ' ' || p END), chr(1)), lambda x: x <> '') END AS c FROM s)
 SELECT doc_id, unnest(range(len(c)))::INT AS chunk_index, len(c)::INT AS total_chunks, unnest(c) AS text FROM f""",
     "chunks_plain": "SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS words, true AS within FROM documents WHERE len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) > 0",
     "md_sections": _LINES + """, b AS (SELECT h.path, h.k AS section_no, h.level, h.header, h.no AS line_start, coalesce(h.next - 1, (SELECT max(no) FROM l WHERE l.path = h.path)) AS line_end FROM h),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from marginalia.functions import text as X
 from marginalia.functions.text import FOLD_FROM, FOLD_TO
 from marginalia.operators import search
+from marginalia.operators.skew import distinct_rows
 from marginalia.session import table
 
 QUERY = "iron sleep"
@@ -14,7 +15,7 @@ TERMS = QUERY.split()
 
 
 def _docs(spark, d):
-    return table(spark, d, "documents")
+    return table(spark, d, "documents", spread=True)
 
 
 def _query_vector(spark, d):
@@ -32,7 +33,7 @@ def keyword_provider_score(spark, d):
 
 
 def sections_bm25(spark, d):
-    s = table(spark, d, "file_sections").distinct()
+    s = distinct_rows(table(spark, d, "file_sections").select("id", "section_header", "content_full"), "id")
     hits = search.bm25(s, "id", F.concat_ws(" ", "section_header", "content_full"), "zinc check")
     return hits.select("id", "row_num", F.round("rank", 6).alias("rank"))
 
@@ -92,7 +93,7 @@ def rerank_lexical(spark, d):
 
 
 def refinements(spark, d):
-    s = table(spark, d, "file_sections").distinct()
+    s = distinct_rows(table(spark, d, "file_sections").select("id", "section_header", "content_full", "keywords"), "id")
     hits = search.like(s, "id", F.col("section_header"), F.col("content_full"), "iron", limit=5)
     return search.refinements(s.join(F.broadcast(hits), "id"), "id", X.keyword_array(F.col("keywords")), "iron")
 
@@ -113,8 +114,8 @@ def search_stats(spark, d):
 
 
 def display_lines(spark, d):
-    s = table(spark, d, "file_sections").distinct()
-    return s.select("id", X.location(F.col("file_path"), F.col("line_start")).alias("location"), X.shown(F.col("content_full")).alias("line"))
+    s = table(spark, d, "file_sections")
+    return s.select("id", X.location(F.col("file_path"), F.col("line_start")).alias("location"), X.shown(F.col("content_full")).alias("line")).distinct()
 
 
 QUERIES = {f.__name__: f for f in (
@@ -169,7 +170,7 @@ SQL = {
     "hybrid_fused": _hybrid("SELECT * FROM documents", 20),
     "hybrid_filtered": _hybrid("SELECT * FROM documents WHERE lower(regexp_extract(file_path, '\\.([^./\\\\]+)$', 1)) = 'md' AND (created_at IS NULL OR created_at BETWEEN TIMESTAMP '2024-03-01' AND TIMESTAMP '2025-06-30') AND contains(lower(text), 'the')", 50),
     "semantic_only": _hybrid("SELECT * FROM documents", 20, False),
-    "rerank_lexical": """WITH t AS (SELECT doc_id, list_filter(['iron', 'sleep', 'liver'], lambda w: contains(lower(left(text, 2000)), w)) AS f FROM documents)
+    "rerank_lexical": """WITH t AS (SELECT doc_id, list_filter(['iron', 'sleep', 'liver'], lambda w: contains(lower(text), w)) AS f FROM documents)
 SELECT doc_id, CASE WHEN f IS NULL THEN NULL ELSE round(len(f) / 3.0, 6)::DOUBLE END AS rerank_score, array_to_string(f[1:5], ', ') AS reason FROM t ORDER BY 2 DESC NULLS LAST, 1 LIMIT 20""",
     "refinements": """WITH s AS (SELECT DISTINCT id, section_header, content_full, CASE WHEN keywords IS NULL OR trim(keywords) = '' THEN [] WHEN ltrim(keywords) LIKE '[%' THEN list_filter(list_transform(CAST(try_cast(keywords AS JSON) AS VARCHAR[]), lambda x: trim(x)), lambda x: x <> '')
   ELSE list_filter(list_transform(string_split(keywords, ','), lambda x: trim(x)), lambda x: x <> '') END AS keys FROM file_sections),

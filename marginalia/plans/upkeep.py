@@ -12,18 +12,21 @@ from marginalia.session import table
 
 
 def _scans(spark, d, shift):
-    """Each scan's paths, named by scan and path; with ``shift`` 1 each scan stands for the one after it."""
-    w = table(spark, d, "watched_files").where(f"scan_id BETWEEN {2 - shift} AND {40 - shift} AND path IS NOT NULL")
-    name = F.concat_ws(":", F.col("scan_id") + shift, "path")
+    """Each scan's paths, named by scan and path; with ``shift`` 1 each scan stands for the one after it. All scans but the first (or, shifted, the last)."""
+    w = table(spark, d, "watched_files").where("path IS NOT NULL")
+    ends = w.agg(F.min("scan_id").alias("first"), F.max("scan_id").alias("last"))  # one row
+    w = w.join(F.broadcast(ends)).where(F.col("scan_id") < F.col("last") if shift else F.col("scan_id") > F.col("first"))
+    name = F.concat_ws("/", F.col("scan_id") + shift, "path")
     return w.groupBy(name.alias("path")).agg(F.max(hash_key(F.col("file_hash"))).alias("hash"))
 
 
-def _sections(spark, d):
-    return table(spark, d, "file_sections").distinct()
+def _sections(spark, d, *columns):
+    """Columns of the sections; repeated rows count once, by their id and these columns."""
+    return table(spark, d, "file_sections").select("id", *columns).distinct()
 
 
 def _keys(spark, d):
-    s = _sections(spark, d).select(ref_key(F.col("id")).alias("key"))
+    s = table(spark, d, "file_sections").select(ref_key(F.col("id")).alias("key"))
     e = table(spark, d, "embedding_records").select(ref_key(F.col("section_id")).alias("key")).where("key IS NOT NULL")
     return s, e
 
@@ -33,7 +36,7 @@ def delta_plan(spark, d):
 
 
 def delta_plan_scoped(spark, d):
-    return upkeep.delta_plan(_scans(spark, d, 1), _scans(spark, d, 0), scope="1")
+    return upkeep.delta_plan(_scans(spark, d, 1), _scans(spark, d, 0), scope="12")
 
 
 def delta_applied(spark, d):
@@ -48,7 +51,7 @@ def delta_twice(spark, d):
 
 def remove_cascade(spark, d):
     gone = table(spark, d, "removal_log").where("lower(trim(ref_table)) = 'files'").select(ref_key(F.col("ref_id")).alias("key"))
-    kept = upkeep.cascade(gone, _sections(spark, d).withColumn("key", ref_key(F.col("file_id"))), "key")
+    kept = upkeep.cascade(gone, _sections(spark, d, "file_id").withColumn("key", ref_key(F.col("file_id"))), "key")
     return kept.groupBy("file_id").agg(F.count("*").alias("sections"))
 
 
@@ -67,7 +70,7 @@ def sync_coverage(spark, d):
 
 
 def orphan_sections(spark, d):
-    s = _sections(spark, d).withColumn("key", ref_key(F.col("file_id")))
+    s = _sections(spark, d, "file_id").withColumn("key", ref_key(F.col("file_id")))
     return upkeep.without_parent(s, table(spark, d, "files").select(ref_key(F.col("id")).alias("key")), "key").select("id", "file_id")
 
 
@@ -78,7 +81,7 @@ def ghost_files(spark, d):
 
 def fk_cleanup(spark, d):
     e = table(spark, d, "embedding_records").distinct().withColumn("key", ref_key(F.col("section_id")))
-    return e.join(_sections(spark, d).select(ref_key(F.col("id")).alias("key")), "key", "left_semi").groupBy("model").agg(F.count("*").alias("kept"))
+    return e.join(table(spark, d, "file_sections").select(ref_key(F.col("id")).alias("key")), "key", "left_semi").groupBy("model").agg(F.count("*").alias("kept"))
 
 
 def _issues(spark, d):
@@ -88,12 +91,13 @@ def _issues(spark, d):
         ("not_indexed", "warning", F.coalesce(F.lower(F.trim("index_status")), F.lit("")) != "indexed"),
         ("no_size", "info", F.col("file_size").isNull() | (F.col("file_size") == 0)),
     ], "id")
-    sections = upkeep.issues(_sections(spark, d), [
+    # the checks are made row by row, so that of a section only what failed is shuffled
+    sections = upkeep.issues(table(spark, d, "file_sections"), [
         ("no_content", "error", F.col("content_full").isNull() | (F.trim("content_full") == "")),
         ("bad_lines", "warning", F.col("line_end") < F.col("line_start")),
         ("no_keywords", "info", F.size(X.keyword_array(F.col("keywords"))) == 0),
         ("zero_importance", "info", F.col("importance_score") == 0),
-    ], "id")
+    ], "id").distinct()
     return files.unionByName(sections)
 
 
@@ -160,11 +164,11 @@ def pending_files(spark, d):
 
 
 def embeddable(spark, d):
-    """Sections that lack an embedding of their present text, most important first."""
-    s = _sections(spark, d).where(F.length("content_full") > 10)
+    """Sections that lack an embedding of their present text."""
+    mark = F.substring(F.md5("content_full"), 1, 16).alias("mark")
+    s = table(spark, d, "file_sections").where(F.length("content_full") > 10).select("id", "importance_score", mark).distinct()
     e = table(spark, d, "embedding_records").select(ref_key(F.col("section_id")).alias("key"), F.col("embedding_hash").alias("mark"))
-    marked = s.withColumn("key", ref_key(F.col("id"))).withColumn("mark", F.substring(F.md5("content_full"), 1, 16))
-    need = marked.join(e, ["key", "mark"], "left_anti")
+    need = s.withColumn("key", ref_key(F.col("id"))).join(e, ["key", "mark"], "left_anti")
     return need.select("id", F.round(X.importance(F.col("importance_score")), 6).alias("importance"), "mark")
 
 
@@ -184,7 +188,7 @@ def _k(c: str) -> str:
 
 
 _H = "nullif(regexp_replace(lower(trim(file_hash)), '^[a-z][a-z0-9_/.\\-]*\\s*:\\s*', ''), '')"
-_PLAN = f"""WITH a AS (SELECT (scan_id + 1) || ':' || path AS path, max({_H}) AS h FROM watched_files WHERE scan_id BETWEEN 1 AND 39 AND path IS NOT NULL GROUP BY 1), b AS (SELECT scan_id || ':' || path AS path, max({_H}) AS h FROM watched_files WHERE scan_id BETWEEN 2 AND 40 AND path IS NOT NULL GROUP BY 1),
+_PLAN = f"""WITH a AS (SELECT (scan_id + 1) || '/' || path AS path, max({_H}) AS h FROM watched_files WHERE scan_id < (SELECT max(scan_id) FROM watched_files WHERE path IS NOT NULL) AND path IS NOT NULL GROUP BY 1), b AS (SELECT scan_id || '/' || path AS path, max({_H}) AS h FROM watched_files WHERE scan_id > (SELECT min(scan_id) FROM watched_files WHERE path IS NOT NULL) AND path IS NOT NULL GROUP BY 1),
 p AS (SELECT path, CASE WHEN a.path IS NULL THEN 'new' WHEN b.path IS NULL THEN 'removed' WHEN a.h IS NOT DISTINCT FROM b.h THEN 'same' ELSE 'changed' END AS action FROM a FULL JOIN b USING (path))"""
 _ISS = """f AS (SELECT DISTINCT * FROM files), s AS (SELECT DISTINCT * FROM file_sections),
 i AS (SELECT 'empty_path' AS issue, 'error' AS severity, id FROM f WHERE file_path IS NULL OR trim(file_path) = '' UNION ALL SELECT 'no_hash', 'error', id FROM f WHERE file_hash IS NULL
@@ -194,7 +198,7 @@ i AS (SELECT 'empty_path' AS issue, 'error' AS severity, id FROM f WHERE file_pa
 
 SQL = {
     "delta_plan": _PLAN + " SELECT * FROM p",
-    "delta_plan_scoped": _PLAN + " SELECT * FROM p WHERE action <> 'removed' OR starts_with(path, '1')",
+    "delta_plan_scoped": _PLAN + " SELECT * FROM p WHERE action <> 'removed' OR string_split(path, '/')[1] = '12'",
     "delta_applied": _PLAN + " SELECT path, h AS hash FROM b",
     "delta_twice": _PLAN + " SELECT 'same' AS action, count(*) AS n FROM b",
     "remove_cascade": f"WITH s AS (SELECT DISTINCT * FROM file_sections) SELECT file_id, count(*) AS sections FROM s WHERE {_k('file_id')} IS NULL OR {_k('file_id')} NOT IN (SELECT {_k('ref_id')} FROM removal_log WHERE lower(trim(ref_table)) = 'files' AND {_k('ref_id')} IS NOT NULL) GROUP BY 1",

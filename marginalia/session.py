@@ -30,9 +30,19 @@ def session(master: str | None = None, app: str = "marginalia", **conf: str) ->
     return builder.getOrCreate()
 
 
-def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    """One table of a data directory, with the schema its files carry."""
-    return spark.read.parquet(f"{directory}/{name}.parquet")
+def table(spark: SparkSession, directory: str, name: str, spread: bool = False) -> DataFrame:
+    """One table of a data directory, with the schema its files carry.
+
+    With ``spread`` rows of a table in fewer files than there are cores are dealt out to all of them (a small file is one task, however
+    long its work); a table of many files is read as it lies.
+    """
+    path = f"{directory}/{name}.parquet"
+    df, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
+    if spread:
+        fs, p = files_of(spark, path)
+        if fs.getContentSummary(p).getFileCount() < cores:
+            return df.repartition(cores)
+    return df
 
 
 def shared_folder(spark: SparkSession) -> str:
