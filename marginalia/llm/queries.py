@@ -83,7 +83,7 @@ def p7_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_packed(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack(table(spark, d, "documents"), CAPACITY)
+    return packing.pack(table(spark, d, "documents", spread=True), CAPACITY)
 
 
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:
@@ -91,22 +91,22 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
-    found = leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    found = leaks.leaks(table(spark, d, "documents", spread=True), table(spark, d, "eval_items"))
     return found.select(F.col("id").alias("doc_id"), "item_id", "part", "item_words", "matched_words", "longest_words", F.to_json("spans").alias("spans")).distinct()
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    found = leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    found = leaks.leaks(table(spark, d, "documents", spread=True), table(spark, d, "eval_items"))
     return found.select(F.col("id").alias("doc_id"), "item_id").distinct()
 
 
 def p9_clean(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
+    docs = table(spark, d, "documents", spread=True)
     return leaks.without_leaks(docs, leaks.leaks(docs, table(spark, d, "eval_items")))
 
 
 def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
-    return pieces.split_long(table(spark, d, "documents"), LIMIT, OVERLAP)
+    return pieces.split_long(table(spark, d, "documents", spread=True), LIMIT, OVERLAP)
 
 
 QUERIES = {
