@@ -115,6 +115,58 @@ def heading_slug(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(s, "-+", "-"), "^-|-$", "")
 
 
+def note_slug(c: Column) -> Column:
+    """The other slug: lower case, each blank to a hyphen, only letters, digits and hyphens of any alphabet, hyphens trimmed."""
+    return F.regexp_replace(F.regexp_replace(F.replace(F.lower(c), F.lit(" "), F.lit("-")), r"[^\p{L}\p{N}-]", ""), "^-+|-+$", "")
+
+
+def safe_path(c: Column) -> Column:
+    """Whether a relative path stays below its root: not empty, no control characters, no leading slash, drive or ``..`` step."""
+    parts = F.split(F.regexp_replace(c, r"\\", "/"), "/")
+    bad = c.rlike(r"[\x00-\x1f\x7f]") | c.rlike(r"^(?:[/\\~]|[A-Za-z]:)") | F.array_contains(parts, "..")
+    return F.coalesce((c != "") & ~bad, F.lit(False))
+
+
+def vector_hash(c: Column) -> Column:
+    """SHA-256 of a vector's numbers in millionths, so that it does not depend on how numbers are printed; null and empty vectors have none."""
+    return F.when(F.size(c) > 0, F.sha2(F.array_join(F.transform(c, lambda x: F.round(x.cast("double") * 1e6).cast("bigint").cast("string")), ","), 256))
+
+
+def essence_hash(title: Column, summary: Column) -> Column:
+    """The first 16 characters of the SHA-256 of title and summary; the time is no part of it, so it is repeatable."""
+    return F.substring(F.sha2(F.concat(F.coalesce(title, F.lit("")), F.coalesce(summary, F.lit(""))), 256), 1, 16)
+
+
+def page_embedding_text(header: Column, preview: Column, keywords: Column) -> Column:
+    """Text of an extracted page for embedding: header, preview and the first 100 characters of its keywords, joined by bars."""
+    return F.concat_ws(" | ", header, preview, F.concat(F.lit("Keywords: "), F.substring(F.array_join(keywords, ", "), 1, 100)))
+
+
+def backoff(delay: Column, attempt: Column) -> Column:
+    """Seconds to wait before the next attempt: the delay doubled with each one."""
+    return delay * F.pow(F.lit(2.0), attempt)
+
+
+def or_zeros(vector: Column, dim: int) -> Column:
+    """The vector, or zeros where a batch failed to give one."""
+    return F.coalesce(vector, F.array_repeat(F.lit(0.0).cast("float"), dim))
+
+
+# How long texts may be where they are stored.
+LIMITS = {"header": 200, "document": 2000, "error": 500, "body": 5000}
+
+
+def cut(c: Column, kind: str) -> Column:
+    """A text cut to what is stored of its kind (``LIMITS``)."""
+    return F.substring(c, 1, LIMITS[kind])
+
+
+def answer_fields(raw: Column, schema: str, defaults: dict[str, Column]) -> Column:
+    """The JSON object in a model's answer (``json_object``) as a struct; missing or wrong fields have their defaults."""
+    parsed = F.from_json(json_object(raw), schema)
+    return F.struct(*[F.coalesce(parsed[n], d).alias(n) for n, d in defaults.items()])
+
+
 def safe_name(c: Column) -> Column:
     """A title as file name: reserved characters and white space to underscores, at most 200 characters."""
     plain = F.regexp_replace(F.regexp_replace(c, r"^\s+|\s+$", ""), r'[/\\:*?"<>|#]', "_")
@@ -178,14 +230,18 @@ def frontmatter_text(fields: Column) -> Column:
     return F.concat(F.lit("---\n"), F.array_join(lines, ""), F.lit("---\n"))
 
 
+# The headings of a summary's analysis and what stands there if it has none.
+ANALYSIS = {"connections": "Verknüpfungen", "contradictions": "Widersprüche", "questions": "Offene Fragen", "none": "Keine zusätzlichen Analysen verfügbar."}
+
+
 def essence_body(connections: Column, contradictions: Column, questions: Column) -> Column:
     """The analysis part of a summary as Markdown."""
     def part(title: str, mark: str, items: Column) -> Column:
         lines = F.array_join(F.transform(items, lambda x: F.concat(F.lit("- " + mark), x)), "\n")
         return F.when(F.size(items) > 0, F.concat(F.lit(f"## {title}\n\n"), lines, F.lit("\n")))
 
-    body = F.concat_ws("\n", part("Verknüpfungen", "", connections), part("Widersprüche", "⚠️ ", contradictions), part("Offene Fragen", "❓ ", questions))
-    return F.when(body == "", "Keine zusätzlichen Analysen verfügbar.").otherwise(body)
+    body = F.concat_ws("\n", part(ANALYSIS["connections"], "", connections), part(ANALYSIS["contradictions"], "⚠️ ", contradictions), part(ANALYSIS["questions"], "❓ ", questions))
+    return F.when(body == "", ANALYSIS["none"]).otherwise(body)
 
 
 def report_title(kind: Column, start: Column, end: Column) -> Column:
@@ -198,27 +254,37 @@ def report_title(kind: Column, start: Column, end: Column) -> Column:
 
 
 def json_object(raw: Column) -> Column:
-    """The JSON object in a model's answer: inside a code fence if there is one, from the first brace to the last that balances it."""
+    """The JSON object in a model's answer: inside a code fence if there is one, from the first brace to the one that balances it; braces in strings do not count."""
     text = F.coalesce(F.nullif(F.regexp_extract(raw, r"(?s)```(?:json)?(.*?)```", 1), F.lit("")), raw)
     start = F.instr(text, "{")
     tail = F.substring(text, start, F.length(text))
+    # strings, braces and the text between them, so that a step takes a token instead of a character
+    tokens = F.regexp_extract_all(tail, F.lit(r'("(?:[^"\\]|\\.)*"|[{}]|[^"{}]+|")'), F.lit(1))
     zero = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end")).cast("struct<depth:int,at:int,end:int>")
 
-    def step(s: Column, c: Column) -> Column:
-        depth = s["depth"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)
-        end = F.when((s["end"] == 0) & (depth == 0) & (c == "}"), s["at"] + 1).otherwise(s["end"])
-        return F.struct(depth.alias("depth"), (s["at"] + 1).alias("at"), end.alias("end"))
+    def step(s: Column, t: Column) -> Column:
+        depth = s["depth"] + F.when(t == "{", 1).when(t == "}", -1).otherwise(0)
+        end = F.when((s["end"] == 0) & (depth == 0) & (t == "}"), s["at"] + 1).otherwise(s["end"])
+        return F.struct(depth.alias("depth"), (s["at"] + F.length(t)).alias("at"), end.alias("end"))
 
-    end = F.aggregate(F.split(tail, ""), zero, step, lambda s: s["end"])
+    end = F.aggregate(tokens, zero, step, lambda s: s["end"])
     return F.when(start > 0, F.when(end > 0, F.substring(tail, F.lit(1), end)).otherwise(tail))
 
 
 def hashed_vector(tokens: Column, dim: int = 64) -> Column:
-    """A deterministic embedding: signed counts of hashed tokens, of length one; a text without tokens gives zeros."""
-    spot = F.transform(tokens, lambda t: F.struct(F.pmod(F.xxhash64(t), F.lit(dim)).alias("i"), F.when(F.pmod(F.hash(t), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("s")))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.aggregate(F.filter(spot, lambda x: x["i"] == d), F.lit(0.0), lambda a, x: a + x["s"]))
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(raw, lambda x: F.when(norm > 0, x / norm).otherwise(0.0).cast("float"))
+    """A deterministic embedding: signed counts of hashed tokens, of length one; a text without tokens gives zeros. Work grows with tokens plus dimensions."""
+    signed = F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(dim)) * 2 + F.pmod(F.hash(t), F.lit(2)))
+    order = F.array_sort(F.concat(signed, F.sequence(F.lit(0).cast("bigint"), F.lit(2 * dim).cast("bigint"))))
+    # where each value begins in the sorted array, which holds every value at least once; the array is bound to a variable, so it is sorted once
+    begins = lambda o: F.filter(F.transform(o, lambda x, i: F.when((i == 0) | (F.get(o, i - 1) != x), i)), lambda i: i.isNotNull())
+    starts = F.element_at(F.transform(F.array(order), begins), 1)
+    counts = lambda s: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: (2 * F.get(s, d * 2 + 1) - F.get(s, d * 2) - F.get(s, d * 2 + 2)).cast("double"))
+    raw = F.element_at(F.transform(F.array(starts), counts), 1)
+    def unit(r: Column) -> Column:
+        norm = F.sqrt(F.aggregate(r, F.lit(0.0), lambda a, x: a + x * x))
+        return F.transform(r, lambda x: F.when(norm > 0, x / norm).otherwise(0.0).cast("float"))
+
+    return F.element_at(F.transform(F.array(raw), unit), 1)
 
 
 def importance(c: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,6 +59,39 @@ def word_chunks(df: DataFrame, id_col: str, text_col: str, most: int = 500, over
     return _rows(df, id_col, _fold(parts, most, overlap, _last_words, False))
 
 
+def chunk_document(df: DataFrame, id_col: str, text_col: str, most: int = 500, overlap: int = 50, sentences_whole: bool = True, splitter: Callable[[Column], Column] | None = None) -> DataFrame:
+    """``sentence_chunks`` or, without ``sentences_whole``, ``word_chunks``. ``splitter`` gives the sentences of a text otherwise (a model's pandas UDF, say)."""
+    if not sentences_whole:
+        return word_chunks(df, id_col, text_col, most, overlap)
+    if splitter is None:
+        return sentence_chunks(df, id_col, text_col, most, overlap)
+    return _rows(df, id_col, _fold(splitter(F.col(text_col)), most, overlap, _last_sentence, True))
+
+
+def chunk_offsets(df: DataFrame, id_col: str, text_col: str, most: int = 500, overlap: int = 50) -> DataFrame:
+    """(id, chunk_index, start_at, end_at): where the chunks of ``sentence_chunks`` lie in the text's sentences joined by blanks, counted from 0.
+
+    A chunk is followed by its carried sentence or by the next one after a blank, or by the next part of a split sentence without one; which it is
+    shows at its place in the joined text.
+    """
+    joined = F.array_join(sentences(F.col(text_col)), " ")
+    chunks = _fold(sentences(F.col(text_col)), most, overlap, _last_sentence, True)
+
+    def step(s: Column, c: Column) -> Column:
+        # carried text ends where the last chunk ended; else the chunk begins there, after a blank if there is one
+        prev, n = s["end"], F.length(c)
+        carried = F.coalesce(F.length(_last_sentence(s["last"], overlap)), F.lit(0))
+        plain = prev + F.when((prev > 0) & (F.substring(s["joined"], prev + 1, F.lit(1)) == " ") & (F.substring(s["joined"], prev + 2, n) == c), 1).otherwise(0)
+        back = prev - carried
+        start = F.when((carried > 0) & (F.substring(s["joined"], back + 1, n) == c), back).otherwise(plain)
+        return F.struct(s["joined"].alias("joined"), (start + n).cast("int").alias("end"), c.alias("last"), F.concat(s["out"], F.array(F.struct(start.cast("int").alias("start"), (start + n).cast("int").alias("end")))).alias("out"))
+
+    zero = F.struct(joined.alias("joined"), F.lit(0).alias("end"), F.lit("").alias("last"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+    kind = "struct<joined:string,end:int,last:string,out:array<struct<start:int,end:int>>>"
+    rows = df.select(F.col(id_col), F.posexplode(F.aggregate(chunks, zero.cast(kind), step, lambda s: s["out"])).alias("chunk_index", "o"))
+    return rows.select(id_col, "chunk_index", F.col("o.start").alias("start_at"), F.col("o.end").alias("end_at"))
+
+
 def _rows(df: DataFrame, id_col: str, chunks: Column) -> DataFrame:
     out = df.select(F.col(id_col), chunks.alias("c")).select(id_col, F.size("c").alias("total_chunks"), F.posexplode("c").alias("chunk_index", "text"))
     return out.select(id_col, "chunk_index", "total_chunks", "text")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import json
 import re
 from collections import Counter
 
@@ -76,8 +77,67 @@ def section_keywords(df: DataFrame, id_col: str, keywords: Column) -> DataFrame:
     return df.select(F.col(id_col), F.explode(keywords).alias("k")).select(id_col, umlauts(F.trim("k")).alias("normalized")).where(F.col("normalized") != "").distinct()
 
 
+class Stopwords:
+    """An editable list of stopwords; ``Stopwords()`` starts with those of the keyword handler."""
+
+    def __init__(self, words: list[str] | None = None):
+        self.words = dict.fromkeys(w.lower() for w in (GERMAN + FIELD if words is None else words))
+
+    def add(self, *words: str) -> None:
+        self.words.update(dict.fromkeys(w.strip().lower() for w in words if w.strip()))
+
+    def remove(self, *words: str) -> None:
+        for w in words:
+            self.words.pop(w.strip().lower(), None)
+
+    def list(self) -> list[str]:
+        return sorted(self.words)
+
+    def count(self) -> int:
+        return len(self.words)
+
+
+class Synonyms:
+    """An editable map from terms, of one word or several, to their synonyms. ``load`` reads it from JSON files ({term: [synonym, ...]}), whose path is a parameter."""
+
+    def __init__(self, table: dict[str, list[str]] | None = None):
+        self.table: dict[str, list[str]] = {}
+        for term, others in (table or {}).items():
+            self.add(term, *others)
+
+    @classmethod
+    def load(cls, *paths: str) -> Synonyms:
+        out = cls()
+        for path in paths:
+            with open(path, encoding="utf-8") as f:
+                for term, others in json.load(f).items():
+                    if isinstance(others, list):
+                        out.add(term, *map(str, others))
+        return out
+
+    def add(self, term: str, *others: str) -> None:
+        key = " ".join(term.lower().split())
+        self.table[key] = list(dict.fromkeys([*self.table.get(key, []), *others]))
+
+    def get(self, term: str) -> list[str]:
+        return self.table.get(" ".join(term.lower().split()), [])
+
+    def has(self, term: str) -> bool:
+        return " ".join(term.lower().split()) in self.table
+
+    def expand(self, df: DataFrame, query_col: str) -> DataFrame:
+        """Add ``expanded``: each word of the query followed by its synonyms, then those of the terms of several words that the query contains, first occurrences only."""
+        single = {k: v for k, v in self.table.items() if " " not in k}
+        several = {k: v for k, v in self.table.items() if " " in k}
+        none = F.array().cast("array<string>")
+        table = F.create_map(*[x for k, v in single.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]) if single else None
+        terms = F.filter(F.split(F.lower(F.col(query_col)), r"\s+"), lambda t: t != "")
+        each = F.flatten(F.transform(terms, lambda t: F.concat(F.array(t), F.coalesce(F.try_element_at(table, t), none)))) if single else terms
+        padded = F.concat(F.lit(" "), F.array_join(terms, " "), F.lit(" "))
+        more = [F.when(F.contains(padded, F.lit(f" {k} ")), F.array(*map(F.lit, v))).otherwise(none) for k, v in several.items()]
+        return df.withColumn("expanded", F.array_join(F.array_distinct(F.concat(each, *more)), " "))
+
+
 def expand(df: DataFrame, query_col: str, synonyms: dict[str, list[str]]) -> DataFrame:
-    """Add ``expanded``: each word of the query followed by its synonyms, first occurrences only."""
-    table = F.create_map(*[x for k, v in synonyms.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    terms = F.filter(F.split(F.lower(F.col(query_col)), r"\s+"), lambda t: t != "")
-    return df.withColumn("expanded", F.array_join(F.array_distinct(F.flatten(F.transform(terms, lambda t: F.concat(F.array(t), F.coalesce(F.try_element_at(table, t), F.array().cast("array<string>")))))), " "))
+    """Add ``expanded`` by a plain map (see ``Synonyms.expand``)."""
+    return Synonyms(synonyms).expand(df, query_col)

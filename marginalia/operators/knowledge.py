@@ -67,10 +67,12 @@ def diff_lists(a: Column, b: Column) -> tuple[Column, Column, Column]:
 def merge_lists(a: Column, b: Column) -> Column:
     """Items of both in order, repeats ignoring case and outer blanks left out; the first spelling stays."""
     empty = F.array().cast("array<string>")
-    return F.aggregate(
-        F.concat(F.coalesce(a, empty), F.coalesce(b, empty)), empty,
-        lambda acc, x: F.when(F.exists(acc, lambda y: F.lower(F.trim(y)) == F.lower(F.trim(x))), acc).otherwise(F.concat(acc, F.array(x))),
-    )
+    items = F.concat(F.coalesce(a, empty), F.coalesce(b, empty))
+    # sorted by key and place, the first of each key stays, and these are put back in order; arrays are bound to variables, so they are sorted once
+    keyed = F.array_sort(F.transform(items, lambda x, i: F.struct(F.lower(F.trim(x)).alias("k"), i.alias("i"), x.alias("x"))))
+    firsts = lambda o: F.filter(o, lambda e, i: (i == 0) | ~F.get(o, i - 1)["k"].eqNullSafe(e["k"]))
+    back = lambda f: F.array_sort(F.transform(f, lambda e: F.struct(e["i"].alias("i"), e["x"].alias("x"))))
+    return F.transform(back(F.element_at(F.transform(F.array(keyed), firsts), 1)), lambda e: e["x"])
 
 
 def merge_summary(a: Column, b: Column) -> Column:
@@ -106,18 +108,49 @@ def merge_sections(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 
 def generate(df: DataFrame, schema: str, generator: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    """Run an injected generator (a model) over batches; a failing batch gives rows with ``error`` set, not a failed job.
+    """Run an injected generator (a model) over batches, with columns ``schema`` and ``error``; only rows that fail by themselves are error rows (``pipeline.in_batches``)."""
+    from marginalia.operators.pipeline import in_batches
+
+    return in_batches(df, generator, schema)
 
-    ``schema`` must contain ``error string``.
-    """
-    def run(batches):
-        for pdf in batches:
-            try:
-                yield generator(pdf).assign(error=None)
-            except Exception as e:  # noqa: BLE001
-                yield pdf.assign(error=str(e)[:500])
 
-    return df.mapInPandas(run, schema)
+def hotspot_nodes(nodes: DataFrame, topics: DataFrame, label: Column) -> DataFrame:
+    """Nodes with ``hotspot_count``, the count of the hotspot (topic, n) that equals their label ignoring case, null without one. Of several kinds of a topic the greatest counts."""
+    top = topics.groupBy("topic").agg(F.max("n").alias("hotspot_count"))
+    return nodes.join(F.broadcast(top), F.lower(label) == top["topic"], "left").drop("topic")  # as many topics as were asked for, 20 by default
+
+
+def knowledge_graph(essences: DataFrame, id_col: str, title: Column, entities: Column, relationships: Column) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges): a node for each essence (its id and title) and one for each entity; edges for relationships (from, to, type) and for mentions.
+
+    Nodes and edges are listed once; a relationship without a type is ``related_to``; names of missing ends are empty.
+    """
+    entity = lambda c: F.concat(F.lit("entity:"), F.coalesce(c, F.lit("")))
+    named = essences.select(F.col(id_col).cast("string").alias("id"), title.alias("title"), F.coalesce(entities, F.array().cast("array<string>")).alias("e"), relationships.alias("r"))
+    parts = named.select("id", F.explode("e").alias("x"))
+    nodes = named.groupBy("id").agg(F.max("title").alias("t")).select("id", F.lit("essence").alias("kind"), F.coalesce("t", "id").alias("label"))
+    nodes = nodes.unionByName(parts.select(entity(F.col("x")).alias("id"), F.lit("entity").alias("kind"), F.col("x").alias("label")).distinct())
+    relations = named.select("id", F.explode("r").alias("x")).select(entity(F.col("x.from")).alias("source"), entity(F.col("x.to")).alias("target"), F.coalesce("x.type", F.lit("related_to")).alias("relation"), F.col("id").alias("essence"))
+    mentions = parts.select(F.col("id").alias("source"), entity(F.col("x")).alias("target"), F.lit("mentions").alias("relation"), F.col("id").alias("essence"))
+    return nodes, relations.unionByName(mentions).distinct()
+
+
+def by_topic(essences: DataFrame, id_col: str, topic: str, title: Column, keywords: Column, entities: Column, limit: int = 20) -> DataFrame:
+    """(id, match_type): essences on a topic: its title contains it, else a keyword equals it, else an entity, ignoring case; in this order, then by id."""
+    t = topic.lower()
+    has = lambda c: F.exists(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.lower(x) == t)
+    kind = F.when(F.contains(F.lower(title), F.lit(t)), 1).when(has(keywords), 2).when(has(entities), 3)
+    rows = essences.select(F.col(id_col), kind.alias("__k")).where(F.col("__k").isNotNull()).groupBy(id_col).agg(F.min("__k").alias("__k"))
+    return rows.orderBy("__k", id_col).limit(limit).select(id_col, F.element_at(F.array(F.lit("title"), F.lit("keyword"), F.lit("entity")), F.col("__k")).alias("match_type"))
+
+
+def date_range(text: str) -> tuple[str, str]:
+    """(start, end) of ``a..b`` (both days included) or one day, for ``in_period``."""
+    import datetime as dt
+
+    first, _, last = text.partition("..")
+    end = dt.date.fromisoformat((last or first).strip()) + dt.timedelta(days=1)
+    return dt.date.fromisoformat(first.strip()).isoformat(), end.isoformat()
 
 
 def cron_field(spec: str, low: int, high: int) -> list[int]:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.operators.skew import skew_join
+from marginalia.operators.skew import BROADCAST_KEYS, skew_join
+from marginalia.session import stored
 
 
 def candidate_keys(notes: DataFrame, path_col: str = "path") -> DataFrame:
@@ -68,6 +71,65 @@ def unlinked_mentions(notes: DataFrame, name: str, path_col: str = "path", text_
     return notes.where(stem != name.lower()).select(F.col(path_col).alias("path"), count.cast("int").alias("mentions")).where("mentions > 0")
 
 
+def backlinks_of(resolved: DataFrame, notes: DataFrame, name: str, path_col: str = "path", source_col: str = "source_path") -> DataFrame:
+    """``backlinks`` of the one note that ``name`` stands for: its path, its path without ending, its name or any suffix, ignoring case."""
+    asked = resolve(notes.sparkSession.createDataFrame([(name,)], "target string"), notes, path_col).select("target_path")  # one row
+    return backlinks(resolved.join(F.broadcast(asked), "target_path", "left_semi"), source_col)
+
+
+def vault_stats(notes: DataFrame, resolved: DataFrame) -> DataFrame:
+    """One row: notes, links, resolved, broken, linked_notes (notes that any link resolves to)."""
+    n = notes.agg(F.count("*").alias("notes"))
+    found = F.col("target_path").isNotNull()
+    return n.join(F.broadcast(resolved.agg(F.count("*").alias("links"), F.count_if(found).alias("resolved"), F.count_if(~found).alias("broken"), F.countDistinct("target_path").alias("linked_notes"))))
+
+
+def mention_contexts(notes: DataFrame, name: str, reach: int = 100, path_col: str = "path", text_col: str = "content") -> DataFrame:
+    """(path, mention_no, context): each place outside of links where a text names ``name``, ignoring case, with ``reach`` characters on both sides, white space collapsed.
+
+    Links are blanked out to their own length before the search, so places are those of the text itself.
+    """
+    text = F.col(text_col)
+    links, between = F.regexp_extract_all(text, F.lit(r"(\[\[[^\]]*\]\])"), F.lit(1)), F.split(text, r"\[\[[^\]]*\]\]")
+    blank = F.array_join(F.transform(F.arrays_zip(between.alias("b"), links.alias("l")), lambda x: F.concat(x["b"], F.coalesce(F.repeat(F.lit("\u0001"), F.length(x["l"])), F.lit("")))), "")
+    parts = F.split(F.lower(blank), re.escape(name.lower()))
+    lengths = F.transform(parts, lambda p: F.length(p))
+    step = F.aggregate(lengths, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")).cast("struct<at:int,out:array<int>>"),
+                       lambda s, n: F.struct((s["at"] + n + len(name)).alias("at"), F.concat(s["out"], F.array(s["at"] + n)).alias("out")), lambda s: s["out"])
+    rows = notes.where(F.contains(F.lower(text), F.lit(name.lower()))).select(F.col(path_col).alias("path"), text.alias("__t"), F.posexplode(F.slice(step, 1, F.size(parts) - 1)).alias("i", "at"))
+    begin = F.greatest(F.col("at") - reach, F.lit(0))
+    end = F.least(F.col("at") + len(name) + reach, F.length("__t"))
+    return rows.select("path", (F.col("i") + 1).alias("mention_no"), F.trim(F.regexp_replace(F.substring(F.col("__t"), begin + 1, end - begin), r"\s+", " ")).alias("context"))
+
+
+def all_mentions(notes: DataFrame, names: DataFrame, path_col: str = "path", text_col: str = "content", name_col: str = "name") -> DataFrame:
+    """(path, name, mentions): how often each note names any of ``names`` outside of links, as whole words, ignoring case.
+
+    Names are compared word by word: a text's runs of as many words as some name has are joined with the names, so neither texts nor names are
+    compared one by one; up to BROADCAST_KEYS names are broadcast, beyond runs are counted per note and shuffled. Names without words are left out.
+    """
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
+    keyed = names.select(F.col(name_col).alias("name"), words(F.col(name_col)).alias("w")).where(F.size("w") > 0).select("name", F.array_join("w", " ").alias("key"), F.size("w").alias("n")).distinct()
+    sizes = sorted(r[0] for r in keyed.select("n").distinct().collect())  # as many numbers as there are lengths of names
+    if not sizes:
+        return notes.select(F.col(path_col).alias("path"), F.lit("").alias("name"), F.lit(0).cast("bigint").alias("mentions")).limit(0)
+    plain = F.regexp_replace(F.col(text_col), r"\[\[[^\]]*\]\]", " \u0001 ")
+    rows = notes.select(F.col(path_col).alias("path"), F.regexp_extract_all(F.lower(plain), F.lit(r"([\p{L}\p{N}_]+|\u0001)"), F.lit(1)).alias("w"))
+    def grams(n: int) -> Column:
+        out = F.col("w")
+        for k in range(1, n):
+            left = F.greatest(F.size("w") - k, F.lit(0))
+            out = F.zip_with(F.slice(out, 1, left), F.slice("w", k + 1, left), lambda x, y: F.concat_ws(" ", x, y))
+        return out
+
+    runs = F.flatten(F.array(*map(grams, sizes)))
+    found, wanted = rows.select("path", F.explode(runs).alias("key")), keyed.select("name", "key")
+    if wanted.count() <= BROADCAST_KEYS:
+        return found.join(F.broadcast(wanted), "key").groupBy("path", "name").agg(F.count("*").alias("mentions"))
+    counted = stored(found.groupBy("path", "key").agg(F.count("*").alias("mentions")), "runs")
+    return skew_join(counted, wanted, ["key"], "inner").groupBy("path", "name").agg(F.max("mentions").alias("mentions"))
+
+
 def vault_search(notes: DataFrame, query: str, path_col: str = "path", front: Column | None = None, body: Column | None = None, limit: int = 20) -> DataFrame:
     """(path, score, match_type): by name 0.8, n words of the name 0.6 + 0.1 n, frontmatter values 0.7, body 0.5, n words of the body 0.3 + 0.2 n.
 

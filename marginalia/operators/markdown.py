@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import heading_slug, preview, word_count
 
+# What is a link, a tag and an embed.
+TAG = r"#([a-zA-Z][a-zA-Z0-9_/-]+)"
+EMBED = r"!\[\[([^\]]+)\]\]"
 ANY_LINK = r"(!?\[\[[^\]\|#]+(?:#[^\]\|]+)?(?:\|[^\]]+)?\]\])"
 LINK = r"(!?)\[\[([^\]\|#]+)(?:#([^\]\|]+))?(?:\|([^\]]+))?\]\]"
 
@@ -86,6 +91,33 @@ def front_list(fields: Column, key: str) -> Column:
     return F.filter(F.transform(F.split(raw, ","), lambda x: F.regexp_replace(F.trim(x), "^[\"']|[\"']$", "")), lambda x: x != "")
 
 
+def link_structs(c: Column) -> Column:
+    """Array of (target, heading, alias, is_embed, start, end) of every ``[[target#heading|alias]]``, in order; ``start`` counts characters from 0.
+
+    The text between links is found by splitting at them, so repeated links have their own places.
+    """
+    found = F.regexp_extract_all(c, F.lit(ANY_LINK), F.lit(1))
+    between = F.split(c, ANY_LINK.replace("(!?", "!?", 1)[:-1])
+    none = lambda x: F.when(x != "", F.trim(x))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")).cast("struct<at:int,out:array<int>>")
+    # lengths only: the texts are not copied from step to step
+    sizes = F.arrays_zip(F.transform(between, lambda x: F.length(x)).alias("b"), F.transform(found, lambda x: F.length(x)).alias("f"))
+    starts = F.aggregate(sizes, zero, lambda s, x: F.struct((s["at"] + x["b"] + F.coalesce(x["f"], F.lit(0))).alias("at"), F.concat(s["out"], F.array(s["at"] + x["b"])).alias("out")), lambda s: s["out"])
+
+    def one(x: Column) -> Column:
+        link, start = x["f"], x["s"]
+        part = lambda i: F.regexp_extract(link, LINK, i)
+        return F.struct(F.trim(part(2)).alias("target"), none(part(3)).alias("heading"), none(part(4)).alias("alias"), link.startswith("!").alias("is_embed"), start.alias("start"), (start + F.length(link)).alias("end"))
+
+    return F.transform(F.arrays_zip(found.alias("f"), F.slice(starts, 1, F.size(found)).alias("s")), one)
+
+
+def link_positions(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, link_no, target, start_at, end_at) of every link, in characters from 0."""
+    rows = df.where(F.contains(F.col(text_col), F.lit("[["))).select(F.col(id_col), F.posexplode(link_structs(F.col(text_col))).alias("i", "l"))
+    return rows.select(id_col, (F.col("i") + 1).alias("link_no"), "l.target", F.col("l.start").alias("start_at"), F.col("l.end").alias("end_at"))
+
+
 def wikilinks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, link_no, target, heading, alias, is_embed) of every ``[[target#heading|alias]]``, in order."""
     found = F.regexp_extract_all(F.col(text_col), F.lit(ANY_LINK), F.lit(1))
@@ -99,11 +131,11 @@ def wikilinks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def tags(c: Column) -> Column:
     """Tags without ``#``, lower case, in order, repeats kept."""
-    return F.transform(F.regexp_extract_all(c, F.lit(r"#([a-zA-Z][a-zA-Z0-9_/-]+)"), F.lit(1)), lambda t: F.lower(t))
+    return F.transform(F.regexp_extract_all(c, F.lit(TAG), F.lit(1)), lambda t: F.lower(t))
 
 
 def embeds(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit(r"!\[\[([^\]]+)\]\]"), F.lit(1))
+    return F.regexp_extract_all(c, F.lit(EMBED), F.lit(1))
 
 
 def link_context(df: DataFrame, id_col: str, text_col: str, reach: int = 100) -> DataFrame:
@@ -134,10 +166,79 @@ def headings(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select(id_col, (F.col("i") + 1).alias("heading_no"), F.length(F.regexp_extract("x", "^(#+)", 1)).alias("level"), text.alias("text"), heading_slug(text).alias("slug"))
 
 
+def heading_structs(c: Column) -> Column:
+    """Array of (level, text, slug) of the lines that ``headings`` finds."""
+    found = F.filter(_lines(c), lambda x: x.rlike(r"^#+\s*[^#\s]"))
+
+    def one(x: Column) -> Column:
+        text = F.trim(F.regexp_replace(x, "^#+", ""))
+        return F.struct(F.length(F.regexp_extract(x, "^(#+)", 1)).alias("level"), text.alias("text"), heading_slug(text).alias("slug"))
+
+    return F.transform(found, one)
+
+
+def _link_to(target: str) -> str:
+    return rf"\[\[{re.escape(target)}(#[^\]\|]+)?(\|[^\]]+)?\]\]"
+
+
+def count_links(c: Column, target: str) -> Column:
+    """How many links to ``target`` a text has, with or without heading and alias."""
+    return F.regexp_count(c, F.lit(_link_to(target)))
+
+
+def add_link(c: Column, target: str, context: str = "") -> Column:
+    """Append ``[[target]]`` (after ``context``) as a paragraph of its own, unless the text has a link to it already."""
+    link = f"{context} [[{target}]]" if context else f"[[{target}]]"
+    return F.when(c.rlike(_link_to(target)), c).otherwise(F.concat(F.regexp_replace(c, r"\n+$", ""), F.lit("\n\n" + link)))
+
+
+def remove_links(c: Column, target: str) -> Column:
+    """Cut out links to ``target``; runs of three line breaks or more that this leaves become two. Embeds are left as they are."""
+    cut = F.regexp_replace(c, r"(?<!!)" + _link_to(target), "")
+    return F.when(c == cut, c).otherwise(F.regexp_replace(cut, r"\n{3,}", "\n\n"))
+
+
+def append_text(c: Column, text: str, end: bool = True) -> Column:
+    """Add a paragraph at the end, or at the start below the frontmatter."""
+    if end:
+        return F.concat(F.regexp_replace(c, r"\n+$", ""), F.lit("\n\n" + text + "\n"))
+    front = F.regexp_extract(c, r"(?s)^(---\n.*?\n---(?:\n+|$))", 1)
+    return F.concat(front, F.lit(text + "\n\n"), F.substring(c, F.length(front) + 1, F.length(c)))
+
+
+def move_note(notes: DataFrame, old: str, new: str, path_col: str = "path", text_col: str = "content") -> DataFrame:
+    """The notes with the one at ``old`` moved to ``new`` and all links to its name pointing to the new name; ``links_changed`` counts them.
+
+    Nothing is moved if ``new`` is taken: then every row is as it was. Names are file names without ending; equal names need no relinking.
+    """
+    stem = lambda p: re.sub(r"\.md$", "", p.rsplit("/", 1)[-1])
+    taken = notes.agg(F.coalesce(F.bool_or(F.col(path_col) == new), F.lit(False)).alias("__taken"), F.coalesce(F.bool_or(F.col(path_col) == old), F.lit(False)).alias("__there"))
+    go = F.col("__there") & ~F.col("__taken")
+    rows = notes.join(F.broadcast(taken))  # one row
+    text, n = F.col(text_col), count_links(F.col(text_col), stem(old))
+    other = F.lit(stem(old) != stem(new))
+    return rows.select(
+        *[F.when(go & (F.col(path_col) == old), F.lit(new)).otherwise(F.col(path_col)).alias(path_col) if c == path_col
+          else F.when(go & other, relink(text, stem(old), stem(new))).otherwise(text).alias(text_col) if c == text_col else F.col(c) for c in notes.columns],
+        F.when(go & other, n).otherwise(F.lit(0)).alias("links_changed"),
+    )
+
+
+def title_sections(c: Column) -> Column:
+    """Map of the texts below ``## `` headings by their titles, what comes before the first under ``_header``; of equal titles the last counts.
+
+    Null gives null, a text without such headings its whole under ``_header``.
+    """
+    parts = F.split(F.concat(F.lit("\n"), F.regexp_replace(c, r"\r\n?", "\n")), r"\n##[ \t]+")
+    strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    rest = F.transform(F.slice(parts, 2, F.size(parts)), lambda p: F.struct(strip(F.regexp_extract(p, r"^([^\n]*)", 1)).alias("key"), strip(F.regexp_replace(p, r"^[^\n]*", "")).alias("value")))
+    every = F.concat(F.array(F.struct(F.lit("_header").alias("key"), strip(F.element_at(parts, 1)).alias("value"))), rest)
+    last = F.filter(every, lambda e, i: ~F.exists(F.slice(every, i + 2, F.size(every)), lambda later: later["key"] == e["key"]))
+    return F.map_from_entries(last)
+
+
 def relink(c: Column, old: str, new: str) -> Column:
     """Point links from ``old`` to ``new``; heading and alias stay."""
-    import re
-
     return F.regexp_replace(c, rf"\[\[{re.escape(old)}((?:#[^\]\|]+)?(?:\|[^\]]+)?)\]\]", "[[" + new.replace("\\", "\\\\").replace("$", "\\$") + "$1]]")
 
 

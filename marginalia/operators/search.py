@@ -18,7 +18,8 @@ from pyspark.sql import Window as W
 
 from marginalia.config import SearchConfig
 from marginalia.functions.text import FOLD_FROM, FOLD_TO, cosine, importance, index_tokens, suffix, term_frequency, token_count
-from marginalia.session import stored
+from marginalia.operators.skew import skew_join
+from marginalia.session import release, stored
 
 
 def query_terms(query: str) -> list[str]:
@@ -179,6 +180,25 @@ class Bm25Provider:
         return with_position_score(bm25(self.df, self.id_col, self.text, query, limit), base=0)
 
 
+class LikeProvider:
+    """Rows that hold all terms of a query (one character or more), in the order of their header, then id; the score falls evenly from 1 with the place."""
+
+    def __init__(self, df: DataFrame, id_col: str, header: Column, content: Column):
+        self.df, self.id_col, self.header, self.content = df, id_col, header, content
+
+    def search(self, query: str, limit: int = 100) -> DataFrame:
+        terms = query.lower().split()
+        if not terms:
+            return self.df.select(F.col(self.id_col), F.lit(0.0).alias("score")).limit(0)
+        keep = F.lit(True)
+        for t in terms:
+            keep = keep & (F.coalesce(F.contains(F.lower(self.header), F.lit(t)), F.lit(False)) | F.coalesce(F.contains(F.lower(self.content), F.lit(t)), F.lit(False)))
+        order = [F.col("__h").asc_nulls_first(), F.col(self.id_col)]
+        top = self.df.where(keep).select(F.col(self.id_col), self.header.alias("__h")).orderBy(*order).limit(limit)
+        n, place = F.count("*").over(W.partitionBy()), F.row_number().over(W.orderBy(*order)) - 1  # at most ``limit`` rows
+        return top.select(F.col(self.id_col), ((n - place) / n).alias("score"))
+
+
 class VectorProvider:
     """``embed`` turns the query into a one-row frame with a vector ``q``."""
 
@@ -189,6 +209,42 @@ class VectorProvider:
         return vector_topk(self.vectors, self.id_col, self.vector_col, self.embed(query), limit)
 
 
+class QueryCache:
+    """Results of the last ``size`` different searches, kept as rows on disk (``stored``); the one put in first is dropped first.
+
+    A key is the query as it is searched, with its limit.
+    """
+
+    def __init__(self, size: int = 100):
+        self.size, self.kept = size, {}
+
+    def get(self, query: str, limit: int, run: Callable[[], DataFrame]) -> DataFrame:
+        key = (query.strip().lower(), limit)
+        if key not in self.kept:
+            while len(self.kept) >= self.size:
+                release(self.kept.pop(next(iter(self.kept))))
+            self.kept[key] = stored(run(), "search")
+        return self.kept[key]
+
+
+def by_level(df: DataFrame, keep: Column, level: str, id_col: str, limit: int = 100) -> DataFrame:
+    """Rows that are kept, those of the highest level number first (a missing one counts as 0), ties by id."""
+    return df.where(keep).orderBy(F.desc(F.coalesce(F.col(level), F.lit(0))), id_col).limit(limit)
+
+
+def in_places(df: DataFrame, tags: Column, **places: str) -> DataFrame:
+    """Rows whose tags name every given place (``wing="lab"`` asks for the tag ``wing:lab``), ignoring case."""
+    for kind, value in places.items():
+        df = df.where(F.array_contains(F.transform(tags, lambda t: F.lower(F.trim(t))), f"{kind}:{value}".lower()))
+    return df
+
+
+def with_file(sections: DataFrame, files: DataFrame, key: str = "file_id", file_key: str = "id", path_col: str = "file_path") -> DataFrame:
+    """Sections with the path of their file as ``source_path``, empty where there is none; of several rows of a file the greatest path counts."""
+    one = files.groupBy(F.col(file_key).alias(key)).agg(F.max(path_col).alias("source_path"))
+    return skew_join(sections, one, [key], "left").withColumn("source_path", F.coalesce("source_path", F.lit("")))
+
+
 def hybrid(query: str, details: DataFrame, id_col: str, semantic: Provider | None, keyword: Provider | None, cfg: SearchConfig = SearchConfig(), importance_col: str | None = None, limit: int | None = None) -> DataFrame:
     """Hybrid search through providers; a blank query or no provider gives an empty result."""
     s = semantic.search(query, cfg.semantic_limit) if semantic and query.strip() else None
