@@ -15,7 +15,7 @@ from marginalia.session import release, stored
 #: Items of a list that one task ranks in memory; longer lists are ranked by distributed prefix sums.
 LONG_LIST = 20_000
 #: Rounds stop when no item of a list has changed by more than this share of its even part; with this damping ROUNDS always suffice.
-DAMPING, ROUNDS, LEAST_CHANGE = 0.9, 250, 1e-9
+DAMPING, ROUNDS, LEAST_CHANGE = 0.9, 320, 1e-12
 #: Long lists whose names and sizes are broadcast at most.
 BROADCAST_LISTS = 1_000_000
 
