@@ -30,6 +30,12 @@ def read_notes(spark: SparkSession, *roots: str, glob: str = "*.md", since: str
     )
 
 
+def read_listing(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, size) of every file below a folder; no content is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return files.select("path", F.col("length").alias("size"))
+
+
 def read_vault(spark: SparkSession, root: str) -> DataFrame:
     """Notes with their frontmatter as a map, title and body; a note without title is named by its file."""
     n = read_notes(spark, root).withColumn("front", front_fields(F.col("content")))

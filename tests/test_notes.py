@@ -2,11 +2,12 @@ from pyspark.sql import functions as F
 
 from marginalia.operators import links, markdown
 
+#: A harbour that names a quay and a crane, a quay and a shed that name the harbour, a crane that names nothing.
 VAULT = [
-    ("Note A.md", "# Note A\nSee [[Note B]] and [[Note C]] for details.\n"),
-    ("Note B.md", "# Note B\nRelated to [[Note A]].\n"),
-    ("Note C.md", "# Note C\nNo links here.\n"),
-    ("Folder/Note D.md", "# Note D\nBack to [[Note A]] again.\n"),
+    ("Harbour.md", "# Harbour\nShips lie at the [[Quay]]; loads hang from the [[Crane]].\n"),
+    ("Quay.md", "# Quay\nPart of the [[Harbour]].\n"),
+    ("Crane.md", "# Crane\nLifts forty tonnes.\n"),
+    ("yard/Shed.md", "# Shed\nBehind the [[Harbour]] wall.\n"),
 ]
 
 
@@ -15,9 +16,9 @@ def vault(spark, rows):
 
 
 def test_sections(spark):
-    df = vault(spark, [("t", "# Header 1\nSome content here.\n\n## Header 2\nMore content.\n"), ("no", "plain\n#NoSpace\n####### x\n"), ("n", None), ("pre", "dropped\n# A")])
+    df = vault(spark, [("t", "# Tides\nHigh at noon.\n\n## Springs\nTwice a month.\n"), ("no", "plain\n#NoSpace\n####### x\n"), ("n", None), ("pre", "dropped\n# A")])
     got = {(r.path, r.header, r.level, r.line_start, r.line_end) for r in markdown.sections(df, "path", "content").collect()}
-    assert got == {("t", "Header 1", 1, 1, 3), ("t", "Header 2", 2, 4, 6), ("pre", "A", 1, 2, 2)}
+    assert got == {("t", "Tides", 1, 1, 3), ("t", "Springs", 2, 4, 6), ("pre", "A", 1, 2, 2)}
 
 
 def test_parents_by_level_and_by_position(spark):
@@ -28,18 +29,18 @@ def test_parents_by_level_and_by_position(spark):
 
 
 def test_links_tags_embeds(spark):
-    df = vault(spark, [("x", "Siehe [[Test Note]] und [[Test Note#Heading|Alias]] ![[folder/file.png]] and ![[image.jpg]] #tag1 #tag/subtag #TAG")])
+    df = vault(spark, [("x", "At [[Low Water]], or [[Low Water#Neaps|then]], ![[charts/bay.png]] with ![[pier.jpg]] #sea1 #sea/tide #SEA")])
     got = [(r.target, r.heading, r.alias, r.is_embed) for r in markdown.wikilinks(df, "path", "content").orderBy("link_no").collect()]
-    assert got == [("Test Note", None, None, False), ("Test Note", "Heading", "Alias", False), ("folder/file.png", None, None, True), ("image.jpg", None, None, True)]
+    assert got == [("Low Water", None, None, False), ("Low Water", "Neaps", "then", False), ("charts/bay.png", None, None, True), ("pier.jpg", None, None, True)]
     row = df.select(markdown.tags(F.col("content")).alias("t"), markdown.embeds(F.col("content")).alias("e")).first()
-    assert row.t == ["heading", "tag1", "tag/subtag", "tag"] and row.e == ["folder/file.png", "image.jpg"]
+    assert row.t == ["neaps", "sea1", "sea/tide", "sea"] and row.e == ["charts/bay.png", "pier.jpg"]
 
 
 def test_frontmatter(spark):
-    df = vault(spark, [("x", '---\ntitle: A b\ntags: [x, "y"]\ntitle: C\n---\n\nbody'), ("y", "Just plain content")])
+    df = vault(spark, [("x", '---\ntitle: A b\ntags: [x, "y"]\ntitle: C\n---\n\nbody'), ("y", "no block at all")])
     f = markdown.front_fields(F.col("content"))
     got = {r.path: (r.f, r.t, r.b) for r in df.select("path", f.alias("f"), markdown.front_list(f, "tags").alias("t"), markdown.body(F.col("content")).alias("b")).collect()}
-    assert got["x"] == ({"title": "C", "tags": '[x, "y"]'}, ["x", "y"], "body") and got["y"] == ({}, None, "Just plain content")
+    assert got["x"] == ({"title": "C", "tags": '[x, "y"]'}, ["x", "y"], "body") and got["y"] == ({}, None, "no block at all")
 
 
 def test_rewriting(spark):
@@ -64,17 +65,17 @@ def resolved(spark, rows):
 def test_backlinks(spark):
     n, r = resolved(spark, VAULT)
     got = {(b.target_path, b.source_path) for b in links.backlinks(r).collect()}
-    assert got == {("Note A.md", "Note B.md"), ("Note A.md", "Folder/Note D.md"), ("Note B.md", "Note A.md"), ("Note C.md", "Note A.md")}
+    assert got == {("Harbour.md", "Quay.md"), ("Harbour.md", "yard/Shed.md"), ("Quay.md", "Harbour.md"), ("Crane.md", "Harbour.md")}
     nodes = {x.path: (x.out_links, x.in_links) for x in links.graph_nodes(n, links.edges(r)).collect()}
-    assert nodes == {"Note A.md": (2, 2), "Note B.md": (1, 1), "Note C.md": (0, 1), "Folder/Note D.md": (1, 0)}
-    assert links.unlinked_mentions(n, "Note B").where("path = 'Note A.md'").count() == 0
+    assert nodes == {"Harbour.md": (2, 2), "Quay.md": (1, 1), "Crane.md": (0, 1), "yard/Shed.md": (1, 0)}
+    assert links.unlinked_mentions(n, "Quay").where("path = 'Harbour.md'").count() == 0
     assert links.broken(r).count() == 0
 
 
 def test_resolver(spark):
-    paths = ["Simple.md", "Folder/Note.md", "Folder/SubFolder/Deep.md", "index.md", "ALLCAPS.md", "Dup/Simple.md", "Wiki/index.md"]
-    targets = {"Simple": "Simple.md", "simple": "Simple.md", "SIMPLE": "Simple.md", "Folder/Note": "Folder/Note.md", "Note": "Folder/Note.md", "Folder/SubFolder/Deep": "Folder/SubFolder/Deep.md",
-               "Dup/Simple": "Dup/Simple.md", "NonExistent": None, "Wiki": "Wiki/index.md", "../Folder/Note": "Folder/Note.md", "note.md": "Folder/Note.md"}
+    paths = ["Rope.md", "deck/Sail.md", "deck/aft/Rudder.md", "index.md", "SOS.md", "store/Rope.md", "Crew/index.md"]
+    targets = {"Rope": "Rope.md", "rope": "Rope.md", "ROPE": "Rope.md", "deck/Sail": "deck/Sail.md", "Sail": "deck/Sail.md", "deck/aft/Rudder": "deck/aft/Rudder.md", "aft/rudder": "deck/aft/Rudder.md",
+               "store/Rope": "store/Rope.md", "Anchor": None, "Crew": "Crew/index.md", "../deck/Sail": "deck/Sail.md", "sail.md": "deck/Sail.md", "sos": "SOS.md"}
     notes = spark.createDataFrame([(p,) for p in paths], "path string")
     asked = spark.createDataFrame([(t,) for t in targets], "target string")
     assert {r.target: r.target_path for r in links.resolve(asked, notes).collect()} == targets
@@ -89,7 +90,7 @@ def test_pages_and_paragraphs(spark):
 
 
 def test_vault_search(spark):
-    rows = [("AI.md", "x", ""), ("NeuralNetworks.md", "neural things", ""), ("z.md", "about ai", "title: AI"), ("no.md", "nothing", "")]
+    rows = [("Log.md", "x", ""), ("Compass.md", "north", ""), ("z.md", "of the day", "title: log book"), ("no.md", "nothing", "")]
     n = spark.createDataFrame(rows, "path string, body string, front string")
-    got = [(r.path, r.match_type) for r in links.vault_search(n, "AI", front=F.col("front"), body=F.col("body")).collect()]
-    assert got == [("AI.md", "name"), ("z.md", "frontmatter")]
+    got = [(r.path, r.match_type) for r in links.vault_search(n, "log", front=F.col("front"), body=F.col("body")).collect()]
+    assert got == [("Log.md", "name"), ("z.md", "frontmatter")]

@@ -255,6 +255,23 @@ def test_files(spark, tmp_path):
     assert files.images(spark, f"file://{tmp_path}/img").count() == 1
 
 
+def test_cli(spark, data, tmp_path, capsys):
+    from marginalia import cli
+
+    (tmp_path / "n").mkdir()
+    (tmp_path / "n/a.md").write_text("# A\nx")
+    v = tmp_path / "v"
+    spark.createDataFrame([("s1", "f", "H", "text of some length", ["k"])], "id string, file_id string, header string, content string, keywords array<string>").write.parquet(f"{v}/sections.parquet")
+    spark.createDataFrame([], "id string, file_id string, mark string, embedding array<float>, failed boolean").write.parquet(f"{v}/vectors.parquet")
+    for args, words in (
+        (["search", data, "iron"], "combined"), (["search", data, "iron", "--like"], "combined"), (["audit", data], "issue"), (["coverage", data], "percent"), (["ghost", data, "--endings", ".md"], "path"),
+        (["ghost", data, "--scan", f"file://{tmp_path}/n"], "a.md"), (["report", data], "prompt"), (["backup", data, "--tables", "region", "--to", f"{tmp_path}/b"], "region"), (["warm", data, "--tables", "nation"], "rows"),
+        (["index", f"file://{tmp_path}/n", "--to", f"file://{tmp_path}/i"], "sections"), (["sync", str(v)], "embed"), (["sync", str(v), "--mode", "delta"], "vectors"),
+    ):
+        cli.main(args)
+        assert words in capsys.readouterr().out
+
+
 def test_repeated_ids_of_keywords(spark):
     df = spark.createDataFrame([(1, "zeta alpha zeta"), (1, "alpha alpha"), (2, "beta"), (None, "gamma"), (3, None), (4, "")], "id int, t string").selectExpr("*", "1 AS rank", "2 AS word")
     got = {(r.id, r["rank"], r.word, r.n) for r in keywords.top_keywords(df, "id", "t", 1).collect()}
