@@ -7,16 +7,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.batches import values
+from marginalia.operators.skew import skew_join
 from marginalia.session import stored
 
 #: A word is a maximal run of letters and digits, in lower case.
 WORD = re.compile(r"[^\W_]+")
-#: Texts of items that one pass may hold, in characters; more items are taken in several passes.
+#: Characters of items whose n-grams go to every task at most; those of more items are joined.
 PASS_CHARS = 2_000_000
+#: Logarithm of the number of bits that say which hashes some n-gram has (16 MB).
+BITS = 27
+#: Remembered words per worker.
+REMEMBER = 300_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Documents with spans, and spans in them, that are broadcast at most.
 BROADCAST_DOCS = 500_000
@@ -78,23 +84,6 @@ class Grams:
         return out
 
 
-def _passes(items: DataFrame, n: int, id_col: str, parts: tuple[str, ...]) -> Iterator[list[tuple[int, str, str]]]:
-    """The items' texts, in passes of at most PASS_CHARS characters (one text that is longer is a pass of its own)."""
-    rows = items.select(F.col(id_col).cast("bigint"), *parts).where(F.col(id_col).isNotNull()).distinct().orderBy(id_col, *parts)
-    now: list[tuple[int, str, str]] = []
-    held = 0
-    for r in rows.toLocalIterator():
-        for k, part in enumerate(parts, 1):
-            if r[k]:
-                if now and held + len(r[k]) > PASS_CHARS:
-                    yield now
-                    now, held = [], 0
-                now.append((r[0], part, r[k]))
-                held += len(r[k])
-    if now:
-        yield now
-
-
 SPANS = "id bigint, item_id bigint, part string, item_words int, matched_words int, longest_words int, spans array<struct<start:int,end:int>>"
 
 
@@ -104,23 +93,116 @@ def leaks(
 ) -> DataFrame:
     """Every document and item text with at least ``n`` consecutive words in common.
 
-    Result, one row per document row, item and part: id, item_id, part, item_words (words of the item's text),
+    Result, one row per document (id and text), item and part: id, item_id, part, item_words (words of the item's text),
     matched_words (document words covered by common windows), longest_words (longest covered run), spans
     (character ranges of the covered runs). Windows are compared by hash first and then word by word, so no pair
-    is reported in error. Null or short texts match nothing; copies of a document are reported each; an empty table
-    on either side gives an empty result. The n-grams of the items go to every task, at most PASS_CHARS characters
-    of item text at a time; the documents are read once for each such pass and never shuffled.
+    is reported in error. Null or short texts match nothing; repeated rows count once; an empty table
+    on either side gives an empty result. The documents are read once. Up to PASS_CHARS characters of items, their n-grams go to every task and
+    no window is shuffled. Beyond, the n-grams are a table: every task gets a table of bits, of bounded size, of their hashes, and the windows
+    that pass it are joined with them.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    out = spark.createDataFrame([], SPANS)
-    for group in _passes(items, n, item_col, parts):
-        grams = Grams(group, n)
-        if not len(grams.hashes):
-            continue
-        shared = spark.sparkContext.broadcast(grams)
-        out = out.unionByName(rows.mapInArrow(_scanner(shared), SPANS))
-    return out
+    texts = F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.col(p).alias("text")) for p in parts])).alias("x")
+    asked = items.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("bigint").alias("item_id"), texts).select("item_id", "x.part", "x.text").where(F.length("text") > 0).distinct()
+    size = asked.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    if size > PASS_CHARS:
+        return _joined(rows, asked, n).distinct()
+    grams = Grams([(r[0], r[1], r[2]) for r in asked.orderBy("item_id", "part", "text").collect()], n)  # at most PASS_CHARS characters
+    if not len(grams.hashes):
+        return docs.sparkSession.createDataFrame([], SPANS)
+    return rows.mapInArrow(_scanner(docs.sparkSession.sparkContext.broadcast(grams)), SPANS).distinct()
+
+
+def window_hashes(found: list[str], n: int, known: dict[str, int]) -> np.ndarray:
+    """Hashes of the windows of ``n`` words; ``known`` remembers the words' own."""
+    if len(found) < n:
+        return np.zeros(0, np.uint64)
+    for w in found:
+        if w not in known:
+            known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+    each = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
+    h = np.zeros(len(found) - n + 1, np.uint64)
+    for k in range(n):
+        h = (h ^ each[k : k + len(h)]) * MULTIPLIER
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def _item_grams(n: int):
+    """Rows (h, gram, item_id, part, item_words) of rows (item_id, part, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for b in batches:
+            for item, part, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), values(b.column(2))):
+                found = words(text)
+                h = window_hashes(found, n, known)
+                if len(known) > REMEMBER:
+                    known.clear()
+                grams = [" ".join(found[i : i + n]) for i in range(len(h))]
+                m = len(h)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(grams, pa.string()), pa.array([item] * m, pa.int64()), pa.array([part] * m, pa.string()), pa.array([len(found)] * m, pa.int32())], ["h", "gram", "item_id", "part", "item_words"])
+
+    return run
+
+
+def _windows(n: int, shared):
+    """Rows (h, gram, id, copy, at, start, end) of the documents' windows whose bit is set; ``copy`` tells texts of one id apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits: np.ndarray = shared.value
+        known: dict[str, int] = {}
+        kind = pa.schema([("h", pa.int64()), ("gram", pa.string()), ("id", pa.int64()), ("copy", pa.int64()), ("at", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
+        for b in batches:
+            for key, text in zip(b.column(0).to_pylist(), values(b.column(1))):
+                found = words(text)
+                h = window_hashes(found, n, known)
+                if len(known) > REMEMBER:
+                    known.clear()
+                spot = h >> np.uint64(64 - BITS)
+                at = np.nonzero((bits[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63))) & np.uint64(1))[0]
+                if not len(at):
+                    continue
+                where = _places(text)
+                copy = np.uint64(xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))).astype(np.int64)
+                m = len(at)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(h[at].view(np.int64)), pa.array([" ".join(found[i : i + n]) for i in at.tolist()], pa.string()), pa.array([key] * m, pa.int64()), pa.array([int(copy)] * m, pa.int64()), pa.array(at.astype(np.int32)),
+                    pa.array([where[i][0] for i in at.tolist()], pa.int32()), pa.array([where[i + n - 1][1] for i in at.tolist()], pa.int32()),
+                ], schema=kind)
+
+    return run
+
+
+def _joined(rows: DataFrame, asked: DataFrame, n: int) -> DataFrame:
+    """``leaks`` by a join of windows with n-grams; a gram that many documents share is split over tasks."""
+    grams = stored(asked.mapInArrow(_item_grams(n), "h bigint, gram string, item_id bigint, part string, item_words int").distinct(), "grams")
+    spots = grams.select(F.shiftrightunsigned("h", 64 - BITS).alias("s")).select(F.shiftrightunsigned("s", 6).alias("i"), F.expr("shiftleft(1L, cast(s & 63 AS int))").alias("v"))
+    table = spots.groupBy("i").agg(F.bit_or("v").alias("v")).toArrow()  # at most 2 ** (BITS - 6) rows
+    bits = np.zeros(1 << (BITS - 6), np.uint64)
+    bits[table.column("i").to_numpy()] = table.column("v").to_numpy().view(np.uint64)
+    found = rows.mapInArrow(_windows(n, rows.sparkSession.sparkContext.broadcast(bits)), "h bigint, gram string, id bigint, copy bigint, at int, start int, end int")
+    hits = skew_join(stored(found, "windows"), grams, ["h", "gram"], "inner")
+    # the windows that one document and one text of an item share
+    each = hits.groupBy("id", "copy", "item_id", "part", "item_words").agg(F.array_sort(F.collect_set(F.struct("at", "start", "end"))).alias("w")).drop("copy")
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            matched, longest, spans = [], [], []
+            for w in values(b.column(4)):
+                joined: list[list[int]] = []
+                for x in w:
+                    if joined and x["at"] <= joined[-1][1]:
+                        joined[-1][1], joined[-1][3] = x["at"] + n, x["end"]
+                    else:
+                        joined.append([x["at"], x["at"] + n, x["start"], x["end"]])
+                matched.append(sum(r[1] - r[0] for r in joined))
+                longest.append(max(r[1] - r[0] for r in joined))
+                spans.append([{"start": r[2], "end": r[3]} for r in joined])
+            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(matched, pa.int32()), pa.array(longest, pa.int32()), pa.array(spans, kind)], ["id", "item_id", "part", "item_words", "matched_words", "longest_words", "spans"])
+
+    return each.select("id", "item_id", "part", "item_words", "w").mapInArrow(runs, SPANS)
 
 
 def _scanner(shared):

@@ -36,6 +36,14 @@ def test_against_brute_force(spark, monkeypatch):
     assert {(r.id, r.item_id) for r in leaks.leaks(d, i, 6).collect()} == want
 
 
+def test_joined_grams_give_the_same(spark, monkeypatch):
+    docs, items, d, i = fixture(spark)
+    want = sorted(map(str, leaks.leaks(d, i, 6).collect()))
+    monkeypatch.setattr(leaks, "PASS_CHARS", 0)
+    assert sorted(map(str, leaks.leaks(d, i, 6).collect())) == want and want
+    assert leaks.leaks(d.limit(0), i, 6).count() == 0
+
+
 def test_spans_and_removal(spark):
     docs, items, d, i = fixture(spark)
     found = leaks.leaks(d.where("doc_id >= 100"), i, 12)
