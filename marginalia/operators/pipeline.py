@@ -178,11 +178,9 @@ def postings_status(docs: DataFrame, postings: DataFrame, key: str, length: Colu
 
 
 def in_batches(df: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str, each: Callable[[pd.DataFrame], pd.DataFrame] | None = None) -> DataFrame:
-    """Rows of ``work`` over Arrow batches, with columns ``schema`` and ``error``. A batch that fails is done row by row (by ``each``, else ``work``), so only the
+    """Rows of ``work`` over Arrow batches, with columns ``schema`` and ``error`` (added if ``schema`` lacks it). A batch that fails is done row by row (by ``each``, else ``work``), so only the
     rows that fail themselves are error rows: their columns are null but for those the input has under the same name and type."""
-    fields = T.StructType.fromDDL(schema)
-    if "error" in fields.names:
-        raise ValueError("error is added")
+    fields = T.StructType([f for f in T.StructType.fromDDL(schema) if f.name != "error"])
     shared = [f.name for f in fields if dict(df.dtypes).get(f.name) == f.dataType.simpleString()]
 
     def failed(part: pd.DataFrame, e: Exception) -> pd.DataFrame:
