@@ -137,19 +137,28 @@ def vault_search(notes: DataFrame, query: str, path_col: str = "path", front: Co
     """
     q = query.lower().strip()
     terms = F.array(*[F.lit(t) for t in dict.fromkeys(q.split())])
-    name = F.lower(F.regexp_extract(F.col(path_col), r"([^/]+?)(?:\.md)?$", 1))
-    text = F.lower(F.coalesce(body, F.lit("")))
-    in_name = F.size(F.array_intersect(terms, F.split(name, r"[\s_-]+")))
-    in_body = F.size(F.array_intersect(terms, F.split(text, r"\s+")))
-    rules = [
-        (F.contains(name, F.lit(q)), F.lit(0.8), "name"),
-        (in_name > 0, 0.6 + 0.1 * in_name, "name"),
-        (F.contains(F.lower(F.coalesce(front, F.lit(""))), F.lit(q)), F.lit(0.7), "frontmatter"),
-        (F.contains(text, F.lit(q)), F.lit(0.5), "content"),
-        (in_body > 0, 0.3 + 0.2 * in_body, "content"),
-    ]
-    best = F.greatest(*[F.when(c, s) for c, s, _ in rules])
-    score = F.when(best.isNotNull(), F.least(F.lit(1.0), best))
-    kind = F.coalesce(*[F.when(c, F.lit(k)) for c, _, k in rules])
-    out = notes.select(F.col(path_col).alias("path"), F.round(score, 6).alias("score"), kind.alias("match_type")).where(F.col("score").isNotNull())
+
+    def counted(x: Column) -> Column:
+        in_name = F.size(F.array_intersect(terms, F.split(x["name"], r"[\s_-]+")))
+        in_body = F.size(F.array_intersect(terms, F.split(x["text"], r"\s+")))
+        has = lambda c: F.contains(c, F.lit(q))
+        return F.struct(has(x["name"]).alias("name"), in_name.alias("in_name"), has(x["front"]).alias("front"), has(x["text"]).alias("text"), in_body.alias("in_body"))
+
+    def judged(x: Column) -> Column:
+        rules = [
+            (x["name"], F.lit(0.8), "name"),
+            (x["in_name"] > 0, 0.6 + 0.1 * x["in_name"], "name"),
+            (x["front"], F.lit(0.7), "frontmatter"),
+            (x["text"], F.lit(0.5), "content"),
+            (x["in_body"] > 0, 0.3 + 0.2 * x["in_body"], "content"),
+        ]
+        best = F.greatest(*[F.when(c, s) for c, s, _ in rules])
+        return F.struct(F.round(F.when(best.isNotNull(), F.least(F.lit(1.0), best)), 6).alias("score"), F.coalesce(*[F.when(c, F.lit(k)) for c, _, k in rules]).alias("match_type"))
+
+    # bound to a variable, so that name, frontmatter and text, and what they hold, are made once for all rules
+    parts = F.struct(
+        F.lower(F.regexp_extract(F.col(path_col), r"([^/]+?)(?:\.md)?$", 1)).alias("name"), F.lower(F.coalesce(front, F.lit(""))).alias("front") if front is not None else F.lit("").alias("front"),
+        F.lower(F.coalesce(body, F.lit(""))).alias("text") if body is not None else F.lit("").alias("text"),
+    )
+    out = notes.select(F.col(path_col).alias("path"), F.explode(F.transform(F.transform(F.array(parts), counted), judged)).alias("j")).select("path", "j.score", "j.match_type").where(F.col("score").isNotNull())
     return out.orderBy(F.desc("score"), "path").limit(limit)
