@@ -13,11 +13,11 @@ CAPACITY, LIMIT, OVERLAP = 2048, 512, 64
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return nearcopies.NearCopies(table(spark, d, "file_sections")).pairs()
+    return nearcopies.NearCopies(table(spark, d, "file_sections", spread=True)).pairs()
 
 
 def p2_classes(spark: SparkSession, d: str) -> DataFrame:
-    return nearcopies.NearCopies(table(spark, d, "file_sections")).classes().withColumnRenamed("id", "section_id")
+    return nearcopies.NearCopies(table(spark, d, "file_sections", spread=True)).classes().withColumnRenamed("id", "section_id")
 
 
 #: Sources of search results, and whether their smaller scores are better.
@@ -47,26 +47,26 @@ def p4_rating(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return distinctive.rare_keywords(table(spark, d, "file_sections")).select(F.col("id").alias("section_id"), "term")
+    return distinctive.rare_keywords(table(spark, d, "file_sections", spread=True)).select(F.col("id").alias("section_id"), "term")
 
 
 def p5_weights(spark: SparkSession, d: str) -> DataFrame:
-    found = distinctive.distinctive_terms(table(spark, d, "file_sections"))
+    found = distinctive.distinctive_terms(table(spark, d, "file_sections", spread=True))
     return found.select(F.col("id").alias("section_id"), "term", "tf", "records", F.round("weight", 6).alias("weight"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    found = markup.rendered(table(spark, d, "file_sections"))
+    found = markup.rendered(table(spark, d, "file_sections", spread=True))
     return found.select(F.col("id").alias("section_id"), F.explode("kinds").alias("markup")).distinct()
 
 
 def p6_clean(spark: SparkSession, d: str) -> DataFrame:
-    found = markup.rendered(distinct_rows(table(spark, d, "file_sections").select("id", "content_full"), "id"))
+    found = markup.rendered(distinct_rows(table(spark, d, "file_sections", spread=True).select("id", "content_full"), "id"))
     return found.select(F.col("id").alias("section_id"), "text")
 
 
 def _vectors(spark: SparkSession, d: str) -> neighbours.VectorIndex:
-    done = table(spark, d, "embedding_jobs").where(F.lower(F.trim("status")) == "completed")
+    done = table(spark, d, "embedding_jobs", spread=True).where(F.lower(F.trim("status")) == "completed")
     return neighbours.VectorIndex(done.select(F.col("job_id").alias("vec_id"), F.col("section_id").alias("key"), F.col("processed_at").alias("at"), "embedding"))
 
 
